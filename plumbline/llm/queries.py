@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, quality, sharding, tokens, urls
+from . import decontam, langid, mixing, neardup, quality, sharding, tokens, urls
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,6 +36,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS, seed=MIX_SEED)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.train(docs))
@@ -55,6 +59,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_decontamination": op4_decontamination,
     "op5_mix_sources": op5_mix_sources,
+    "op6_near_dedup": op6_near_dedup,
     "op8_language_id": op8_language_id,
     "op9_sharding": op9_sharding,
 }
