@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, neardup, quality, sharding, tokens, urls
+from . import decontam, langid, mixing, neardup, quality, sharding, substrings, tokens, urls
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -40,6 +40,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.train(docs))
@@ -51,6 +55,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, N_SHARDS, SHARD_SLOTS)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_words(table(spark, sf_dir, "documents"))
+
+
 ORACLES: dict[str, str] = {}
 
 QUERIES = {
@@ -60,6 +68,8 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_mix_sources": op5_mix_sources,
     "op6_near_dedup": op6_near_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_language_id": op8_language_id,
     "op9_sharding": op9_sharding,
+    "op10_substring_dedup": op10_substring_dedup,
 }
