@@ -89,15 +89,15 @@ def union_length(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_block_words: int = MAX_BLOCK_WORDS) -> DataFrame:
-    """One row a document: id (or the columns in keep), n_words, n_hit, n_items, items_sha256 and contaminated."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, whole_rows: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_block_words: int = MAX_BLOCK_WORDS) -> DataFrame:
+    """One row a document: id (with whole_rows its row, a struct), n_words, n_hit, n_items, items_sha256 and contaminated."""
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text"))
     total = items.agg(F.sum(F.length("text") / 2)).first()[0] or 0  # no more words than half the characters, rounded up
     blocks = max(1, int(-(-total // max_block_words)))
     slim = docs.select(F.col(text_col).alias("text"))
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row") if keep else F.struct(F.col(id_col)).alias("row")
-    row_type = docs.schema if keep else T.StructType([docs.schema[id_col]])
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row") if whole_rows else F.struct(F.col(id_col)).alias("row")
+    row_type = docs.schema if whole_rows else T.StructType([docs.schema[id_col]])
     span = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
     head = T.StructField("row", row_type)
     state = T.StructType([head, T.StructField("text", T.StringType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType()))])
@@ -130,4 +130,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, keep:
 
         out = map_rows(out, fn, final if k == blocks - 1 else state)
     bad = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    return out.select(*[F.col("row").getField(c).alias(c) for c in (keep or [id_col])], "n_words", "n_hit", "n_items", "items_sha256", bad.alias("contaminated"))
+    head = F.col("row") if whole_rows else F.col("row").getField(id_col).alias(id_col)
+    return out.select(head, "n_words", "n_hit", "n_items", "items_sha256", bad.alias("contaminated"))

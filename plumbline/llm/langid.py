@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import binary, map_rows
 
@@ -161,34 +162,19 @@ def train(df: DataFrame, folds: int = 5, train_docs: int = TRAIN_DOCS, max_words
     return build([(r["lang"], r["word"], r["n"]) for r in rows])
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id (and the columns in keep), lang_pred and score of every document; labels are not read."""
-    spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    picked = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = df.schema[id_col].dataType.simpleString()
+def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
+    """id, lang_pred and score of every document, or with whole_rows its row (a struct) and these two; labels are not read."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    row = F.struct(*[F.col(c) for c in df.columns]) if whole_rows else F.struct(F.col(id_col))
+    row_type = df.schema if whole_rows else T.StructType([df.schema[id_col]])
+    schema = T.StructType([T.StructField("row", row_type), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     scorer: list[Scorer] = []
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not scorer:
             scorer.append(Scorer(sent.value))
         out = [("und", 0.0) if t is None else scorer[0].predict(t.decode("utf-8", "replace")) for t in binary(batch, "text")]
-        cols = [batch.column("id")] + ([batch.column("text")] if keep else [])
-        names = ["id"] + (["text"] if keep else [])
-        return pa.RecordBatch.from_arrays([*cols, pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], [*names, "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], schema.names)
 
-    if keep:  # the other columns ride along in one struct, whatever their names and types
-        rest = F.struct(*[F.col(c) for c in df.columns]).alias("row")
-        picked = df.select(F.col(text_col).alias("text"), rest)
-
-        def fn_keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-            if not scorer:
-                scorer.append(Scorer(sent.value))
-            out = [("und", 0.0) if t is None else scorer[0].predict(t.decode("utf-8", "replace")) for t in binary(batch, "text")]
-            return pa.RecordBatch.from_arrays([batch.column("row"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], ["row", "lang_pred", "score"])
-
-        from pyspark.sql import types as T
-
-        schema = T.StructType([T.StructField("row", df.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-        return map_rows(picked, fn_keep, schema).select(*[F.col(f"row.{c}").alias(c) for c in keep if c in df.columns], "lang_pred", "score")
-    return map_rows(picked, fn, f"id {id_type}, lang_pred string, score double").select(F.col("id").alias(id_col), "lang_pred", "score")
+    found = map_rows(df.select(row.alias("row"), F.col(text_col).alias("text")), fn, schema)
+    return found if whole_rows else found.select(F.col("row").getField(id_col).alias(id_col), "lang_pred", "score")
