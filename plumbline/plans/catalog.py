@@ -2,5 +2,580 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import cache, gate, images, leaks, markdown, packing, regions, units
+from . import views as v
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, **derived: str) -> Callable[[Query], Query]:
+    """Register a query; derived views become the oracle's common table expressions."""
+
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            head = ", ".join(f"{name} as ({v.duck(text)})" for name, text in derived.items())
+            ORACLES[fn.__name__] = (f"with {head} " if head else "") + sql
+        return fn
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# DuckDB forms that several oracles share.
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_LINES = "(select doc_id, unnest(string_split({0}, chr(10))) as line, unnest(range(1, len(string_split({0}, chr(10))) + 1)) as n from {1})"
+_W = r"[\p{L}\p{N}_]"
+_TOKEN = r"\[\[(?:EQ|IMG|CITE):[^\]\r\n]+\]\]"
+_NUMS = r"""list_sort(list_transform(regexp_extract_all(regexp_replace({0}, '""" + _TOKEN + r"""', '', 'g'), '(?:^|[^\p{L}\p{N}_.])([+\-−]?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?(?:[eE][+\-−]?[0-9]+)?(?:\s*[%％])?)', 1), lambda x: translate(regexp_replace(x, '\s+', '', 'g'), '−％,', '-%')))"""
+
+
+def nums(c: str) -> str:
+    return _NUMS.replace("{0}", c)
+
+
+def toks(c: str) -> str:
+    return f"list_sort(regexp_extract_all({c}, '{_TOKEN}'))"
+
+
+# ---- Markdown and text
+
+
+@query(
+    r"""select doc_id, cast(count(*) filter (hit) as bigint) as n_hits, cast(min(n) filter (hit) as bigint) as first_line, cast(max(m) as bigint) as n_markers from (
+  select doc_id, n, m, s <> '' and not (starts_with(s, '$$') or starts_with(s, '![') or starts_with(s, '#') or starts_with(s, '|') or starts_with(s, '`') or starts_with(s, 'http') or starts_with(s, '- [') or starts_with(s, '[') or starts_with(s, '>') or contains(s, chr(92)))
+    and length(regexp_replace(s, '[^A-Za-z]', '', 'g')) > 60 and not regexp_matches(s, '[\x{4e00}-\x{9fff}\x{3040}-\x{30ff}]') as hit
+  from (select doc_id, n, regexp_replace(line, '^\s+|\s+$', '', 'g') as s, m from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as n, cast(contains(text, 'English original') as int) + cast(contains(text, '**English**') as int) as m from documents))
+) group by doc_id having count(*) filter (hit) > 0 or max(m) > 0"""
+)
+def english_residue(spark, sf_dir):
+    return markdown.english_residue(_t(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(
+    r"select doc_id, cast(len(list_filter(string_split(md, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') = '$$')) as bigint) as display_lines, cast(len(replace(md, '$$', '')) - len(replace(replace(md, '$$', ''), '$', '')) as bigint) as inline_dollars, cast((len(md) - len(replace(md, chr(92) || '(', ''))) / 2 + (len(md) - len(replace(md, chr(92) || ')', ''))) / 2 as bigint) as bracket_delims from d_md",
+    d_md=v.MD,
+)
+def delimiter_parity(spark, sf_dir):
+    return markdown.delimiter_parity(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md")
+
+
+@query("select doc_id, cast(len(replace(text, '$$', '')) - len(replace(replace(text, '$$', ''), '$', '')) as bigint) as dollars from documents where (len(replace(text, '$$', '')) - len(replace(replace(text, '$$', ''), '$', ''))) % 2 = 1")
+def dollar_parity(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return d.select("doc_id", tx.count_of(F.replace(F.col("text"), F.lit("$$"), F.lit("")), "$").alias("dollars")).filter("dollars % 2 = 1")
+
+
+@query(
+    r"""select doc_id, array_to_string(list_filter(range(1, 4), lambda n: not list_contains(nums, n)), ',') as missing, array_to_string(list_filter(list_sort(list_distinct(nums)), lambda n: n > 3 or n < 1), ',') as extra,
+  array_to_string(list_sort(list_distinct(list_filter(tags, lambda t: len(list_filter(tags, lambda u: u = t)) > 2))), ',') as repeated
+from (select doc_id, tags, list_concat(list_transform(tags, lambda t: cast(t as bigint)), list_transform(regexp_extract_all(md, '\\text\{\(([0-9]+)[a-z]?\)\}', 1), lambda t: cast(t as bigint))) as nums from (select doc_id, md, list_filter(regexp_extract_all(md, '\\tag\{([^}]+)\}', 1), lambda t: regexp_full_match(t, '[0-9]+')) as tags from d_md))""",
+    d_md=v.MD,
+)
+def equation_numbers(spark, sf_dir):
+    return markdown.equation_numbers(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md", 3)
+
+
+@query(
+    r"""select doc_id, block, n_left, n_right, open_envs from (select doc_id, block, cast((len(t) - len(replace(t, '\left', ''))) / 5 - (len(t) - len(replace(t, '\leftarrow', ''))) / 10 as bigint) as n_left, cast((len(t) - len(replace(t, '\right', ''))) / 6 - (len(t) - len(replace(t, '\rightarrow', ''))) / 11 as bigint) as n_right,
+  cast(len(list_filter(regexp_extract_all(t, '\\begin\{([\p{L}\p{N}_]+)\}', 1), lambda e: (len(t) - len(replace(t, '\begin{' || e || '}', ''))) / (len(e) + 8) <> (len(t) - len(replace(t, '\end{' || e || '}', ''))) / (len(e) + 6))) as bigint) as open_envs
+from (select doc_id, unnest(b) as t, cast(unnest(range(0, len(b))) as bigint) as block from (select doc_id, regexp_extract_all(md, '(?s)\$\$(.+?)\$\$', 1) as b from d_md))) where n_left <> n_right or open_envs > 0""",
+    d_md=v.MD,
+)
+def bracket_pairs(spark, sf_dir):
+    return markdown.bracket_pairs(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md")
+
+
+@query()
+def scope_ambiguity(spark, sf_dir):
+    return markdown.scope_ambiguity(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md")
+
+
+@query(
+    r"""select doc_id, cast(n as bigint) as block, kind, ok from (select doc_id, unnest(b) as t, unnest(range(0, len(b))) as n from (select doc_id, regexp_extract_all(md, '(?s)\$\$(.+?)\$\$', 1) as b from d_md)), (select 'braces' as kind, '{' as o, '}' as c union all select 'parens', '(', ')') as k,
+  lateral (select d.depth = 0 and d.low >= 0 as ok from (select list_reduce(list_prepend({'depth': 0, 'low': 0, 'ch': ''}, list_transform(string_split(regexp_replace(t, '(?s)\\.?', '', 'g'), ''), lambda ch: {'depth': 0, 'low': 0, 'ch': ch})), lambda s, x: {'depth': s.depth + case when x.ch = o then 1 when x.ch = c then -1 else 0 end, 'low': least(s.low, s.depth + case when x.ch = o then 1 when x.ch = c then -1 else 0 end), 'ch': ''}) as d)) where not ok""",
+    d_md=v.MD,
+)
+def delimiter_balance(spark, sf_dir):
+    b = markdown.formula_blocks(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md")
+    kinds = F.explode(F.array(F.struct(F.lit("braces").alias("kind"), tx.balanced("tex", "{", "}").alias("ok")), F.struct(F.lit("parens").alias("kind"), tx.balanced("tex", "(", ")").alias("ok"))))
+    return b.select("doc_id", "block", kinds.alias("x")).select("doc_id", "block", "x.kind", "x.ok").filter("not ok")
+
+
+@query(
+    "select d.doc_id, w.text as wanted from d_md d, (select distinct 'Method summary' as text union select distinct text from benchmark) w where not contains(d.md, w.text)",
+    d_md=v.MD,
+)
+def missing_sections(spark, sf_dir):
+    wanted = _t(spark, sf_dir, "benchmark").select("text").unionByName(spark.range(1).select(F.lit("Method summary").alias("text"))).distinct()
+    return markdown.missing_texts(v.spark_view(spark, sf_dir, v.MD), wanted.withColumnRenamed("text", "wanted"), "doc_id", "md", "wanted")
+
+
+_REFS = r"select doc_id, regexp_extract(r, '[^/]+$') as name from (select doc_id, unnest(regexp_extract_all(md, '!\[[^\]]*\]\(([^)]+\.png)\)', 1)) as r from d_md)"
+
+
+@query(f"select distinct doc_id, name, 'missing' as finding from ({_REFS}) r where not exists (select 1 from d_assets a where a.doc_id = r.doc_id and a.name = r.name) union all select distinct doc_id, name, 'unreferenced' from d_assets a where lower(name) like '%.png' and not exists (select 1 from ({_REFS}) r where a.doc_id = r.doc_id and a.name = r.name)", d_md=v.MD, d_assets=v.ASSETS)
+def asset_references(spark, sf_dir):
+    refs = markdown.image_refs(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md")
+    return markdown.asset_diff(refs, v.spark_view(spark, sf_dir, v.ASSETS), "doc_id")
+
+
+@query(r"select doc_id, cast(n as bigint) as ord, regexp_replace(t, '^\s+|\s+$', '', 'g') as tex from (select doc_id, unnest(b) as t, unnest(range(0, len(b))) as n from (select doc_id, regexp_extract_all(md, '\$\$([\s\S]+?)\$\$', 1) as b from d_md))", d_md=v.MD)
+def display_formulas(spark, sf_dir):
+    return markdown.formulas(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md").filter("kind = 'block'").select("doc_id", "ord", "tex")
+
+
+@query()
+def formulas(spark, sf_dir):
+    return markdown.formulas(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md")
+
+
+_TEXT_ORACLE = " union all ".join(
+    rf"select doc_id as subject_id, '{name}' as rule, 'error' as severity, cast(unnest(range(0, len(m))) as bigint) as ord, unnest(m) as match from (select doc_id, regexp_extract_all(md, '{pattern}') as m from d_md)"
+    for name, pattern in {
+        "latex_in_prose": r"\\[A-Za-z]{2,}|\\[^A-Za-z\s]",
+        "prose_script": r"[_^]\{[^{}\s]{1,32}\}",
+        "md_strike": r"~~[^\n~]{1,60}~~",
+        "md_bold": r"\*\*[^*\n]{1,80}\*\*",
+        "md_quote": r"(?m)^>\s",
+        "doubled_backslash": r"\\\\[A-Za-z]+",
+        "leaked_paths": r"_extracted[\p{L}\p{N}_\-]*|assets/raw|assets\\raw|[A-Za-z]:\\|/mnt/|_work\\|_fixwork|_bak_fix|_extract\\|_translate\\",
+    }.items()
+)
+
+
+@query(_TEXT_ORACLE, d_md=v.MD)
+def text_leaks(spark, sf_dir):
+    return leaks.regex_findings(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md", {k: r for k, r in leaks.TEXT_RULES.items() if k != "md_italic"})
+
+
+@query(f"select d.doc_id, cast(count(f.rule) as bigint) as n_blocking, count(f.rule) = 0 as ok from d_md d left join ({_TEXT_ORACLE}) f on f.subject_id = d.doc_id group by d.doc_id", d_md=v.MD)
+def leak_verdicts(spark, sf_dir):
+    md = v.spark_view(spark, sf_dir, v.MD)
+    found = leaks.regex_findings(md, "doc_id", "md", {k: r for k, r in leaks.TEXT_RULES.items() if k != "md_italic"})
+    return leaks.verdicts(md, found, "doc_id")
+
+
+@query(r"select 'documents' as kind, doc_id as id, cast(len(regexp_extract_all(text, '\*\*[^*\n]{1,80}\*\*')) as bigint) as n from documents where regexp_matches(text, '\*\*[^*\n]{1,80}\*\*') union all select 'pages', page_id, cast(len(regexp_extract_all(html, '\*\*[^*\n]{1,80}\*\*')) as bigint) from pages where regexp_matches(html, '\*\*[^*\n]{1,80}\*\*')")
+def md_bold_residue(spark, sf_dir):
+    n = lambda c: F.regexp_count(F.col(c), F.lit(leaks.TEXT_RULES["md_bold"][0])).cast("long").alias("n")
+    d = _t(spark, sf_dir, "documents").select(F.lit("documents").alias("kind"), F.col("doc_id").alias("id"), n("text"))
+    p = _t(spark, sf_dir, "pages").select(F.lit("pages").alias("kind"), F.col("page_id").alias("id"), n("html"))
+    return d.unionByName(p).filter("n > 0")
+
+
+@query(
+    "select doc_id, cast(n as bigint) as line, line as text from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as n from documents) where contains(lower(line), 'http') or contains(lower(line), 'the thin')"
+)
+def keyword_lines(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.lines("text")).alias("k", "text"))
+    hit = F.exists(F.array(F.lit("HTTP"), F.lit("The thin")), lambda w: F.contains(F.lower("text"), F.lower(w)))
+    return rows.filter(hit).select("doc_id", (F.col("k") + 1).cast("long").alias("line"), "text")
+
+
+@query("select doc_id, sha256(to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source})) as fingerprint, sha256(text) as text_sha256 from documents")
+def fingerprint(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return d.select("doc_id", tx.fingerprint(F.struct("doc_id", "lang", "n_chars", "source")).alias("fingerprint"), F.sha2("text", 256).alias("text_sha256"))
+
+
+# ---- HTML
+
+_VISIBLE = r"regexp_replace(regexp_replace(regexp_replace(html, '<!--[\s\S]*?-->', ' ', 'g'), '(?i)<(?:script|style|pre|code|textarea|option|noscript)\b[^>]*>[^<]*</[A-Za-z][^>]*>', ' ', 'g'), '<[A-Za-z/!?][^>]*>', ' ', 'g')"
+
+
+@query(f"select page_id, cast(length({_VISIBLE}) as bigint) as n_chars, sha256({_VISIBLE}) as sha from pages")
+def visible_text(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").select("page_id", tx.visible_text("html").alias("v"))
+    return p.select("page_id", F.length("v").cast("long").alias("n_chars"), F.sha2("v", 256).alias("sha"))
+
+
+@query(rf"select page_id, cast(len({_VISIBLE}) - len(replace({_VISIBLE}, '$', '')) as bigint) as dollars from d_html where contains({_VISIBLE}, '$')", d_html=v.HTML)
+def leftover_dollar(spark, sf_dir):
+    p = v.spark_view(spark, sf_dir, v.HTML).select("page_id", tx.count_of(tx.visible_text("html"), "$").alias("dollars"))
+    return p.filter("dollars > 0")
+
+
+@query(r"""select page_id, regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '[\s\x{A0}]+', ' ', 'g'), '^ | $', '', 'g') as text from pages""")
+def plain_text(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", tx.plain_text("html").alias("text"))
+
+
+@query(
+    r"""select page_id, cast(len(regexp_extract_all(html, '<img\b[^>]*?>>')) as bigint) as img_stray_gt, cast(len(regexp_extract_all(html, '<span class="katex-error"')) as bigint) as katex_errors, cast(len(regexp_extract_all(html, '<(?:script|link)[^>]*?(?:src|href)="((?:http|//)[^"]*)"')) as bigint) as external_refs, cast(len(regexp_extract_all(html, 'url\(\s*[''"]?(?:https?:)?//')) as bigint) as external_css
+from d_html where regexp_matches(html, '<img\b[^>]*?>>') or contains(html, '<span class="katex-error"') or regexp_matches(html, '<(?:script|link)[^>]*?(?:src|href)="((?:http|//)[^"]*)"') or regexp_matches(html, 'url\(\s*[''"]?(?:https?:)?//')""",
+    d_html=v.HTML,
+)
+def html_leaks(spark, sf_dir):
+    return leaks.rule_counts(v.spark_view(spark, sf_dir, v.HTML), "page_id", "html", leaks.HTML_RULES)
+
+
+@query("select page_id from d_html where not regexp_matches(html, '参考文献|REFERENCES|References')", d_html=v.HTML)
+def refs_missing(spark, sf_dir):
+    return v.spark_view(spark, sf_dir, v.HTML).filter(~F.regexp_like("html", F.lit("参考文献|REFERENCES|References"))).select("page_id")
+
+
+_BODY = r"regexp_replace(case when contains(html, '<body>') then substr(html, instr(html, '<body>')) else html end, '<script[\s\S]*?</script>', '', 'g')"
+_IMGS = rf"""(select page_id, idx, src, alt, case when starts_with(src, 'data:image') then try(from_base64(p || repeat('=', (4 - length(p) % 4) % 4))) end as data from (
+  select page_id, cast(idx as bigint) as idx, regexp_extract(tag, '\bsrc="([^"]*)"', 1) as src, regexp_extract(tag, '\balt="([^"]*)"', 1) as alt, regexp_replace(split_part(regexp_extract(tag, '\bsrc="([^"]*)"', 1), ',', -1), '[^A-Za-z0-9+/]', '', 'g') as p
+  from (select page_id, unnest(t) as tag, unnest(range(0, len(t))) as idx from (select page_id, regexp_extract_all({_BODY}, '<img\b[^>]*?>') as t from d_html))))"""
+_be = lambda at: f"(cast(concat('0x', substr(hex(data), {2 * at - 1}, 8)) as bigint))"
+_le = lambda at: f"(cast(concat('0x', substr(hex(data), {2 * at + 1}, 2), substr(hex(data), {2 * at - 1}, 2)) as bigint))"
+_DIMS = f"""(select page_id, idx, src, alt, data, case when data is not null then sha256(data) end as sha, cast(octet_length(data) as bigint) as nbytes,
+  case when data is null then null when starts_with(hex(data), '89504E470D0A1A0A') and octet_length(data) >= 24 then 'png' when starts_with(hex(data), '474946') and octet_length(data) >= 10 then 'gif' else '?' end as kind,
+  case when data is null then null when starts_with(hex(data), '89504E470D0A1A0A') and octet_length(data) >= 24 then {_be(17)} when starts_with(hex(data), '474946') and octet_length(data) >= 10 then {_le(7)} else 0 end as w,
+  case when data is null then null when starts_with(hex(data), '89504E470D0A1A0A') and octet_length(data) >= 24 then {_be(21)} when starts_with(hex(data), '474946') and octet_length(data) >= 10 then {_le(9)} else 0 end as h from {_IMGS})"""
+
+
+def _images(spark, sf_dir):
+    return images.extract(v.spark_view(spark, sf_dir, v.HTML), "page_id", "html")
+
+
+@query(f"select page_id, idx, src, alt, sha, nbytes, kind, w, h from {_DIMS}", d_html=v.HTML)
+def embedded_images(spark, sf_dir):
+    return _images(spark, sf_dir)
+
+
+@query(f"select page_id, idx, src from {_IMGS} where not starts_with(src, 'data:')", d_html=v.HTML)
+def non_embedded_images(spark, sf_dir):
+    return images.not_embedded(_images(spark, sf_dir), "page_id")
+
+
+@query(f"select page_id, idx from {_DIMS} where starts_with(src, 'data:image') and (sha is null or kind = '?' or w = 0)", d_html=v.HTML)
+def broken_images(spark, sf_dir):
+    return images.broken(_images(spark, sf_dir), "page_id")
+
+
+@query(f"select page_id, sha, count(*) as n, count(distinct alt) as n_alt from {_DIMS} where sha is not null group by page_id, sha having count(*) > 1 and count(distinct alt) > 1", d_html=v.HTML)
+def dup_image_bytes(spark, sf_dir):
+    return images.duplicate_bytes(_images(spark, sf_dir), "page_id")
+
+
+@query(f"select page_id, sha, count(*) as n from {_DIMS} where sha is not null group by page_id, sha having count(*) > 1", d_html=v.HTML)
+def same_image_bytes(spark, sf_dir):
+    return images.same_bytes(_images(spark, sf_dir), "page_id")
+
+
+@query(f"select page_id, w, h, nbytes, count(*) as n from {_DIMS} where kind = 'png' group by page_id, w, h, nbytes having count(*) > 1", d_html=v.HTML)
+def dup_dims_bytes(spark, sf_dir):
+    return images.duplicate_sizes(_images(spark, sf_dir), "page_id")
+
+
+@query(f"select page_id, key, count(*) as n, string_agg(cast(idx as varchar), ',' order by idx) as idxs from (select page_id, idx, case when starts_with(src, 'data:') then substr(src, 1, 120) || '#' || cast(length(src) as varchar) else src end as key from {_IMGS}) group by page_id, key having count(*) > 1", d_html=v.HTML)
+def dup_src(spark, sf_dir):
+    return images.reused_sources(_images(spark, sf_dir), "page_id")
+
+
+@query(f"select page_id, idx, kind, w from {_DIMS} where kind is not null and (kind <> 'png' or w < 200)", d_html=v.HTML)
+def narrow_images(spark, sf_dir):
+    return images.narrow(_images(spark, sf_dir), "page_id")
+
+
+@query(
+    rf"""select page_id, idx, case when regexp_matches(alt, '(?i)(?:公式|\beq(?:uation)?\.?)\s*\(?([0-9]+)') then 'eq' when regexp_matches(alt, '(?i)(?:图|\bfig(?:ure)?\.?)\s*([0-9]+)') then 'fig' end as declared_kind,
+  try_cast(case when regexp_matches(alt, '(?i)(?:公式|\beq(?:uation)?\.?)\s*\(?([0-9]+)') then regexp_extract(alt, '(?i)(?:公式|\beq(?:uation)?\.?)\s*\(?([0-9]+)', 1) else regexp_extract(alt, '(?i)(?:图|\bfig(?:ure)?\.?)\s*([0-9]+)', 1) end as bigint) as declared_num from {_IMGS}""",
+    d_html=v.HTML,
+)
+def image_identity(spark, sf_dir):
+    return images.identity(_images(spark, sf_dir), "page_id")
+
+
+_EVENTS = r"(select page_id, cast(unnest(range(0, len(e))) as bigint) as ord, starts_with(unnest(e), '<img') as is_img, try_cast(regexp_extract(unnest(e), '^图\s*([0-9]+)', 1) as bigint) as num from (select page_id, regexp_extract_all(html, '<img\b[^>]*>|图\s*(?:[0-9]+)[：:]') as e from d_html))"
+
+
+def _events(spark, sf_dir):
+    return images.caption_sequence(v.spark_view(spark, sf_dir, v.HTML), "page_id", "html")
+
+
+@query(f"select page_id, ord, num, cast(seen - coalesce(lag(seen) over (partition by page_id order by ord), 0) as bigint) as n_images from (select *, sum(cast(is_img as int)) over (partition by page_id order by ord) as seen from {_EVENTS}) where not is_img", d_html=v.HTML)
+def imgs_per_caption(spark, sf_dir):
+    return images.images_per_caption(_events(spark, sf_dir), "page_id")
+
+
+@query(f"select page_id, before, num as after from (select page_id, num, lag(num) over (partition by page_id order by ord) as before from {_EVENTS} where num is not null) where num < before", d_html=v.HTML)
+def caption_inversions(spark, sf_dir):
+    return images.caption_inversions(_events(spark, sf_dir), "page_id")
+
+
+@query(f"select page_id, num, count(*) as n from {_EVENTS} where num is not null group by page_id, num having count(*) > 1", d_html=v.HTML)
+def caption_dups(spark, sf_dir):
+    return images.caption_duplicates(_events(spark, sf_dir), "page_id")
+
+
+@query(f"select * from (select page_id, array_to_string(list_filter(range(1, 4), lambda n: not list_contains(got, n)), ',') as missing, array_to_string(list_filter(got, lambda n: n > 3), ',') as extra from (select page_id, list_sort(list_distinct(list(num) filter (num is not null))) as got from {_EVENTS} group by page_id)) where missing <> '' or extra <> ''", d_html=v.HTML)
+def expected_diff(spark, sf_dir):
+    return images.expected_diff(_events(spark, sf_dir), "page_id", 3)
+
+
+@query(r"select distinct page_id, cast(num as bigint) as num from (select page_id, unnest(regexp_extract_all(html, '图\s*([0-9]+)', 1)) as num from d_html) r where not exists (select 1 from (select page_id, unnest(regexp_extract_all(html, '图\s*([0-9]+)\s*[：:．.、，]', 1)) as num from d_html) c where c.page_id = r.page_id and c.num = r.num)", d_html=v.HTML)
+def missing_figures(spark, sf_dir):
+    return images.missing_figures(v.spark_view(spark, sf_dir, v.HTML), "page_id", "html")
+
+
+# ---- Units, translations, reviews
+
+_PAIRED = "(select u.*, coalesce(t.text, '') as output from d_units u left join d_translations t on t.doc_id = u.doc_id and t.id = u.id)"
+_BLANK = r"regexp_replace(output, '^\s+|\s+$', '', 'g') = ''"
+_ALIGN = "(select e.doc_id, e.ids as expected, a.ids as actual from (select doc_id, list(id order by ord) as ids from d_units group by doc_id) e left join (select doc_id, list(id order by ord) as ids from d_translations group by doc_id) a on a.doc_id = e.doc_id)"
+_PRESENT = rf"regexp_matches(p.source, '(?i)(^|[^\p{{L}}\p{{N}}_])' || x.source || '([^\p{{L}}\p{{N}}_]|$)')"
+_TERM_ISSUES = f"(select p.doc_id, p.id as unit_id, x.id as term_id, x.source as term, x.target from {_PAIRED} p join (select doc_id, id, source, target, variants, unnest(unit_ids) as unit_id from d_terms where status = 'approved') x on x.doc_id = p.doc_id and x.unit_id = p.id where {_PRESENT} and not contains(p.output, x.target) and len(list_filter(x.variants, lambda w: contains(p.output, w))) = 0)"
+_ISSUES = f"""(select doc_id, unit_id || ':' || code as id, unit_id, code, severity from (
+  select doc_id, id as unit_id, 'empty_translation' as code, 'error' as severity from {_PAIRED} where {_BLANK}
+  union all select doc_id, id, 'protected_tokens', 'error' from {_PAIRED} where {toks('source')} <> {toks('output')}
+  union all select doc_id, id, 'numbers', 'candidate' from {_PAIRED} where {nums('source')} <> {nums('output')}
+  union all select doc_id, 'document', 'alignment', 'error' from {_ALIGN} where expected is distinct from actual
+  union all select doc_id, unit_id, 'term-' || term_id, 'candidate' from {_TERM_ISSUES}))"""
+_V = {"d_units": v.UNITS, "d_translations": v.TRANSLATIONS, "d_terms": v.TERMS, "d_reviews": v.REVIEWS, "d_decisions": v.DECISIONS}
+_UT = {k: _V[k] for k in ("d_units", "d_translations")}
+
+
+def _v(spark, sf_dir, *names):
+    return [v.spark_view(spark, sf_dir, _V[n]) for n in names]
+
+
+@query(f"select doc_id, cast(len(expected) as bigint) as n_expected, cast(coalesce(len(actual), 0) as bigint) as n_actual from {_ALIGN} where expected is distinct from actual", **_UT)
+def unit_alignment(spark, sf_dir):
+    return units.alignment(*_v(spark, sf_dir, "d_units", "d_translations"))
+
+
+@query(f"select doc_id, id from {_PAIRED} where {_BLANK}", **_UT)
+def empty_translation(spark, sf_dir):
+    return units.pair(*_v(spark, sf_dir, "d_units", "d_translations")).filter(tx.blank("output")).select("doc_id", "id")
+
+
+@query(f"select doc_id, id, array_to_string({nums('source')}, ' ') as wanted, array_to_string({nums('output')}, ' ') as got from {_PAIRED} where {nums('source')} <> {nums('output')}", **_UT)
+def number_multiset_diff(spark, sf_dir):
+    p = units.pair(*_v(spark, sf_dir, "d_units", "d_translations"))
+    a, b = tx.numbers("source"), tx.numbers("output")
+    return p.filter(a != b).select("doc_id", "id", F.array_join(a, " ").alias("wanted"), F.array_join(b, " ").alias("got"))
+
+
+@query(f"select doc_id, id from {_PAIRED} where {toks('source')} <> {toks('output')}", **_UT)
+def protected_token_diff(spark, sf_dir):
+    p = units.pair(*_v(spark, sf_dir, "d_units", "d_translations"))
+    return p.filter(tx.tokens("source") != tx.tokens("output")).select("doc_id", "id")
+
+
+@query(f"select * from {_TERM_ISSUES}", **{k: _V[k] for k in ("d_units", "d_translations", "d_terms")})
+def term_presence(spark, sf_dir):
+    u, t, terms = _v(spark, sf_dir, "d_units", "d_translations", "d_terms")
+    return units.term_issues(units.pair(u, t), terms)
+
+
+@query("select a.doc_id, lower(a.source) as word, a.id as a_id, b.id as b_id from d_terms a join d_terms b on a.doc_id = b.doc_id and lower(a.source) = lower(b.source) and a.ord < b.ord where a.status = 'approved' and b.status = 'approved' and list_has_any(a.unit_ids, b.unit_ids) and (a.target <> b.target or a.sense <> b.sense)", d_terms=v.TERMS)
+def term_conflicts(spark, sf_dir):
+    return units.term_conflicts(*_v(spark, sf_dir, "d_terms"))
+
+
+@query("select t.doc_id, t.id as term_id, t.unit_id from (select doc_id, id, unnest(unit_ids) as unit_id from d_terms) t where not exists (select 1 from d_units u where u.doc_id = t.doc_id and u.id = t.unit_id)", d_units=v.UNITS, d_terms=v.TERMS)
+def dangling_terms(spark, sf_dir):
+    u, t = _v(spark, sf_dir, "d_units", "d_terms")
+    return units.dangling(t.select("doc_id", F.col("id").alias("term_id"), F.explode("unit_ids").alias("unit_id")), u).select("doc_id", "term_id", "unit_id")
+
+
+@query(f"select * from {_ISSUES}", **{k: _V[k] for k in ("d_units", "d_translations", "d_terms")})
+def inspect_issues(spark, sf_dir):
+    return units.inspect(*_v(spark, sf_dir, "d_units", "d_translations", "d_terms"))
+
+
+_REQ = "list_sort(list_filter(['claim_strength','coverage','logic','numbers_units','readability','terminology', case kind when 'algorithm' then 'variables_control_flow' when 'caption' then 'panel_mapping' when 'reference' then 'bibliographic_identity' when 'table' then 'cells_footnotes' when 'theorem' then 'conditions_quantifiers' end], lambda x: x is not null))"
+
+
+@query(f"select doc_id, id, array_to_string({_REQ}, ',') as checks from d_units", d_units=v.UNITS)
+def required_checks(spark, sf_dir):
+    (u,) = _v(spark, sf_dir, "d_units")
+    return u.select("doc_id", "id", F.array_join(units.required_checks(F.col("kind")), ",").alias("checks"))
+
+
+_GAPS = f"(select u.doc_id, u.id as unit_id from d_units u left join d_reviews r on r.doc_id = u.doc_id and r.id = u.id where not coalesce(r.verdict = 'passed' and r.n_findings = 0 and len(list_filter({_REQ}, lambda x: not list_contains(r.checks, x))) = 0, false))"
+_COVER = "(select distinct coalesce(u.doc_id, r.doc_id) as doc_id from d_units u full join d_reviews r on r.doc_id = u.doc_id and r.id = u.id where u.id is null or r.id is null)"
+
+
+@query(f"select * from {_GAPS}", d_units=v.UNITS, d_reviews=v.REVIEWS)
+def review_gaps(spark, sf_dir):
+    return units.review_gaps(*_v(spark, sf_dir, "d_units", "d_reviews"))
+
+
+@query(f"select * from {_COVER}", d_units=v.UNITS, d_reviews=v.REVIEWS)
+def review_coverage(spark, sf_dir):
+    return units.review_coverage(*_v(spark, sf_dir, "d_units", "d_reviews"))
+
+
+_OPEN = rf"(select i.* from {_ISSUES} i left join d_decisions d on d.doc_id = i.doc_id and d.issue_id = i.id where i.severity = 'error' or regexp_replace(coalesce(d.reason, ''), '^\s+|\s+$', '', 'g') = '')"
+
+
+@query(f"select * from {_OPEN}", **{k: _V[k] for k in ("d_units", "d_translations", "d_terms", "d_decisions")})
+def issue_decisions(spark, sf_dir):
+    u, t, terms, d = _v(spark, sf_dir, "d_units", "d_translations", "d_terms", "d_decisions")
+    return units.open_issues(units.inspect(u, t, terms), d)
+
+
+@query(f"select u.doc_id, cast(count(b.blocker) as bigint) as n_blockers, case when count(b.blocker) > 0 then 'needs_review' else 'reviewed' end as status from (select distinct doc_id from d_units) u left join (select doc_id, id as blocker from {_OPEN} union all select doc_id, unit_id || ':semantic_review' from {_GAPS} union all select doc_id, 'review_coverage' from {_COVER}) b on b.doc_id = u.doc_id group by u.doc_id", **_V)
+def assess_status(spark, sf_dir):
+    u, t, terms, r, d = _v(spark, sf_dir, *_V)
+    return units.assess(u, t, terms, r, d)
+
+
+@query(f"select cast(max(case status when 'reviewed' then 0 else 2 end) as bigint) as code, count(*) as n from (select u.doc_id, case when count(b.blocker) > 0 then 'needs_review' else 'reviewed' end as status from (select distinct doc_id from d_units) u left join (select doc_id, unit_id as blocker from {_GAPS}) b on b.doc_id = u.doc_id group by u.doc_id)", d_units=v.UNITS, d_reviews=v.REVIEWS)
+def review_gate(spark, sf_dir):
+    u, r = _v(spark, sf_dir, "d_units", "d_reviews")
+    bad = units.review_gaps(u, r).select("doc_id").distinct().withColumn("status", F.lit("needs_review"))
+    return gate.gate(u.select("doc_id").distinct().join(bad, "doc_id", "left").withColumn("status", F.coalesce("status", F.lit("reviewed"))))
+
+
+@query("select doc_id, id, string_agg(id, ',') over (partition by doc_id order by ord rows between 1 preceding and 1 following) as near from d_units", d_units=v.UNITS)
+def neighbor_context(spark, sf_dir):
+    return units.neighbours(*_v(spark, sf_dir, "d_units"))
+
+
+@query("select doc_id, ord, id from (select doc_id, ord, id, ord % 5 = 0 as chosen, coalesce(lag(ord % 5 = 0) over w, false) or coalesce(lead(ord % 5 = 0) over w, false) as beside from d_units window w as (partition by doc_id order by ord)) where not chosen and (beside or ord = 1)", d_units=v.UNITS)
+def read_only_context(spark, sf_dir):
+    (u,) = _v(spark, sf_dir, "d_units")
+    return units.read_only_context(u, u.filter("ord % 5 = 0"), u.filter("ord = 1"))
+
+
+@query(
+    """, packed as (
+  select doc_id, ord, 1 as step, cast(1 as bigint) as n, cost as bytes, cast(0 as bigint) as batch_no, cost from costs where step = 1
+  union all
+  select c.doc_id, c.ord, c.step, case when p.n + 1 > 8 or p.bytes + c.cost > 4000 then 1 else p.n + 1 end, case when p.n + 1 > 8 or p.bytes + c.cost > 4000 then c.cost else p.bytes + c.cost end, p.batch_no + cast(p.n + 1 > 8 or p.bytes + c.cost > 4000 as int), c.cost
+  from packed p join costs c on c.doc_id = p.doc_id and c.step = p.step + 1)
+select doc_id, ord, batch_no, cost <= 4000 as fits from packed"""
+)
+def greedy_batches(spark, sf_dir):
+    (u,) = _v(spark, sf_dir, "d_units")
+    return packing.pack_additive(u.select("doc_id", "ord", F.octet_length("source").alias("cost")), 4000, 8)
+
+
+ORACLES["greedy_batches"] = f"with recursive d_units as ({v.duck(v.UNITS)}), costs as materialized (select doc_id, ord, row_number() over (partition by doc_id order by ord) as step, cast(strlen(source) as bigint) as cost from d_units)" + ORACLES["greedy_batches"]
+
+
+@query("select doc_id, cast(sum(length(source)) as bigint) as content_chars, cast(sum(strlen(source)) as bigint) as content_utf8_bytes, count(*) as n_units from d_units group by doc_id", d_units=v.UNITS)
+def packet_bytes(spark, sf_dir):
+    return units.packet_sizes(*_v(spark, sf_dir, "d_units"))
+
+
+@query("select doc_id, unit_id, unnest(list_filter([case when kind in ('table', 'algorithm', 'theorem') then 'structured_' || kind end, case when contains(source, '[[EQ:') then 'protected_formula' end, case when length(source) > 1200 then 'long_source_unit' end], lambda x: x is not null)) as reason, substr(source, 1, 160) as source_quote from (select *, id as unit_id from d_units)", d_units=v.UNITS)
+def risk_units(spark, sf_dir):
+    return units.risks(*_v(spark, sf_dir, "d_units"))
+
+
+# ---- Cache and ledger
+
+_PUT = f"(select block_id, seq, sha256(source) as source_sha256, translation, sha256(translation) as translation_sha256, case when validated and issues <> '' then 'rejected' when validated then 'validated' else 'needs_review' end as status, issues from (select *, array_to_string(list_filter([case when translation = '' then 'empty_translation' end, case when {toks('source')} <> {toks('translation')} then 'protected_tokens_changed' end], lambda x: x is not null), ',') as issues from d_log))"
+_LAST = f"(select * from {_PUT} where status <> 'rejected' qualify row_number() over (partition by block_id order by seq desc) = 1)"
+
+
+@query(f"select block_id, seq, source_sha256, translation_sha256, status, issues from {_LAST}", d_log=v.CACHE_LOG)
+def cache_latest(spark, sf_dir):
+    return cache.latest(cache.put(v.spark_view(spark, sf_dir, v.CACHE_LOG))).drop("translation")
+
+
+@query(f"select w.block_id, case when b.status = 'validated' and b.source_sha256 = w.source_sha256 then case when sha256(b.translation) = b.translation_sha256 then 'hit' else 'corrupt' end else 'miss' end as outcome from (select d.block_id, sha256(t.text) as source_sha256 from d_wanted d join documents t on t.doc_id = d.last_id) w left join {_LAST} b on b.block_id = w.block_id", d_log=v.CACHE_LOG, d_wanted=v.CACHE_WANTED)
+def cache_probe(spark, sf_dir):
+    wanted = v.spark_view(spark, sf_dir, v.CACHE_WANTED).join(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("last_id"), F.sha2("text", 256).alias("source_sha256")), "last_id")
+    return cache.probe(wanted.select("block_id", "source_sha256"), cache.latest(cache.put(v.spark_view(spark, sf_dir, v.CACHE_LOG))))
+
+
+@query(f"select status, count(*) as n from {_LAST} group by status", d_log=v.CACHE_LOG)
+def cache_summary(spark, sf_dir):
+    return cache.summary(cache.latest(cache.put(v.spark_view(spark, sf_dir, v.CACHE_LOG))))
+
+
+@query("select doc_id, request_id, count(*) as n, count(distinct response_sha256) as n_responses from d_ledger group by doc_id, request_id having count(distinct response_sha256) > 1", d_ledger=v.LEDGER)
+def ledger_conflicts(spark, sf_dir):
+    return cache.ledger_conflicts(v.spark_view(spark, sf_dir, v.LEDGER))
+
+
+@query("select doc_id, request_id, min(seq) as seq, arg_min(response_sha256, seq) as response_sha256 from d_ledger group by doc_id, request_id", d_ledger=v.LEDGER)
+def ledger_accepted(spark, sf_dir):
+    return cache.ledger_accepted(v.spark_view(spark, sf_dir, v.LEDGER))
+
+
+# ---- Regions and measured images
+
+
+@query("select doc_id, page, box, kind, num from (select b.doc_id, b.page, b.box, r.kind, r.num, row_number() over (partition by b.doc_id, b.page, b.box order by (r.x1 - r.x0) * (r.y1 - r.y0), r.ord) as k from d_boxes b join d_regions r on r.doc_id = b.doc_id and r.page = b.page and (b.x0 + b.x1) / 2 between r.x0 - 6 and r.x1 + 6 and (b.y0 + b.y1) / 2 between r.y0 - 6 and r.y1 + 6) where k = 1", d_boxes=v.BOXES, d_regions=v.REGIONS)
+def region_hit(spark, sf_dir):
+    return regions.locate(v.spark_view(spark, sf_dir, v.BOXES), v.spark_view(spark, sf_dir, v.REGIONS))
+
+
+@query("select i.doc_id, i.box, r.ord, cast(row_number() over (partition by i.doc_id, i.box order by r.ord) as bigint) as rank from d_boxes i join d_regions r on r.doc_id = i.doc_id and r.kind = case when i.box % 3 = 0 then 'tab' else 'fig' end and r.num = 1 + i.box % 2 qualify rank <= 3", d_boxes=v.BOXES, d_regions=v.REGIONS)
+def declared_regions(spark, sf_dir):
+    b = v.spark_view(spark, sf_dir, v.BOXES).withColumn("declared_kind", F.when(F.col("box") % 3 == 0, "tab").otherwise("fig")).withColumn("declared_num", 1 + F.col("box") % 2)
+    return regions.declared(b, v.spark_view(spark, sf_dir, v.REGIONS))
+
+
+_HITS = "(select doc_id, kind, num from (select b.doc_id, b.page, b.box, r.kind, r.num, row_number() over (partition by b.doc_id, b.page, b.box order by (r.x1 - r.x0) * (r.y1 - r.y0), r.ord) as k from d_boxes b join d_regions r on r.doc_id = b.doc_id and r.page = b.page and (b.x0 + b.x1) / 2 between r.x0 - 6 and r.x1 + 6 and (b.y0 + b.y1) / 2 between r.y0 - 6 and r.y1 + 6) where k = 1)"
+
+
+@query(f"select * from (select r.doc_id, r.kind, r.num, case when m.n is null then 'uncovered' when m.n > 1 then 'duplicated' end as state from (select distinct doc_id, kind, num from d_regions) r left join (select doc_id, kind, num, count(*) as n from {_HITS} group by all) m using (doc_id, kind, num)) where state is not null", d_boxes=v.BOXES, d_regions=v.REGIONS)
+def region_coverage(spark, sf_dir):
+    r = v.spark_view(spark, sf_dir, v.REGIONS)
+    return regions.coverage(r, regions.locate(v.spark_view(spark, sf_dir, v.BOXES), r))
+
+
+@query("select doc_id, box, ord, score, sqdiff, cast(row_number() over (partition by doc_id, box order by score desc, ord) as bigint) as rank from d_scores qualify rank <= 3", d_scores=v.SCORES)
+def top3_regions(spark, sf_dir):
+    return regions.top_candidates(v.spark_view(spark, sf_dir, v.SCORES))
+
+
+@query("select doc_id, box, ord, next_ord from (select *, lead(sqdiff) over w as next_sqdiff, lead(ord) over w as next_ord, row_number() over w as k from d_scores window w as (partition by doc_id, box order by sqdiff, ord)) where k = 1 and next_ord <> ord and next_sqdiff < greatest(0.0015, 2.5 * sqdiff)", d_scores=v.SCORES)
+def ambiguous_regions(spark, sf_dir):
+    return regions.ambiguous(v.spark_view(spark, sf_dir, v.SCORES))
+
+
+@query("select doc_id, page, num, col, y0, y1, coalesce(lag(y1) over (partition by doc_id, page, col order by y0, num), 40.0) as top from d_captions", d_captions=v.CAPTIONS)
+def prev_caption(spark, sf_dir):
+    return regions.crop_tops(v.spark_view(spark, sf_dir, v.CAPTIONS))
+
+
+@query(
+    """select doc_id, page, num, case when use then ux0 else 0.0 end as x0, case when use then uy0 else top end as y0, case when use then ux1 else 300.0 end as x1, case when use then uy1 else bottom end as y1 from (
+  select z.doc_id, z.page, z.num, top, bottom, min(b.x0) filter (i) as ux0, min(b.y0) filter (i) as uy0, max(b.x1) filter (i) as ux1, max(b.y1) filter (i) as uy1, coalesce(max(b.x1) filter (i) - min(b.x0) filter (i) >= 0.55 * 300, false) as use
+  from (select doc_id, page, num, coalesce(lag(y1) over (partition by doc_id, page, col order by y0, num), 40.0) as top, y0 as bottom from d_captions) z left join d_boxes b on b.doc_id = z.doc_id and b.page = z.page, lateral (select b.x0 >= -1 and b.x1 <= 301 and b.y0 >= top and b.y1 <= bottom as i) group by all)""",
+    d_captions=v.CAPTIONS,
+    d_boxes=v.BOXES,
+)
+def crop_boxes(spark, sf_dir):
+    z = regions.crop_tops(v.spark_view(spark, sf_dir, v.CAPTIONS)).select("doc_id", "page", "num", F.lit(0.0).alias("x0"), F.lit(300.0).alias("x1"), "top", F.col("y0").alias("bottom"))
+    return regions.crop_boxes(z, v.spark_view(spark, sf_dir, v.BOXES))
+
+
+@query(
+    """select doc_id, case when dup or mismatch or unmatched then 'critical' when iou is null or missing is null or cc is null then 'unknown' when iou < 0.35 or missing > 3 * lim or cc < 0.40 or iou < 0.60 or missing > lim then 'major' when iou < 0.80 then 'moderate' when missing > lim / 2 then 'minor' else 'ok' end as severity,
+  cast(case when dup then 0 when mismatch then 1 when unmatched then 2 when iou is null then 5 when iou < 0.35 or missing > 3 * lim or cc < 0.40 then 3 when iou < 0.60 or missing > lim then 4 when iou < 0.80 then 6 when missing > lim / 2 then 7 else 9 end as bigint) as rank from (select * replace (cast(lim as double) as lim) from d_metrics)""",
+    d_metrics=v.METRICS,
+)
+def severity_ladder(spark, sf_dir):
+    m = v.spark_view(spark, sf_dir, v.METRICS).withColumn("lim", F.col("lim").cast("double"))
+    s = regions.severity(F.col("dup"), F.col("mismatch"), F.col("unmatched"), F.col("iou"), F.col("missing"), F.col("cc"), F.col("lim"))
+    return m.select("doc_id", s.alias("s")).select("doc_id", "s.severity", "s.rank")
+
+
+@query("select doc_id, array_to_string(list_filter([case when cc < 0.70 then 'LOW_CORRELATION' end, case when iou < 0.60 then 'LOW_IOU' end, case when missing > lim then 'MISSING_INK' end, case when extra_ink > lim then 'EXTRA_INK' end, case when iou is null or cc is null then 'UNKNOWN' end], lambda x: x is not null), ',') as flags from (select * replace (cast(lim as double) as lim) from d_metrics)", d_metrics=v.METRICS)
+def image_flags(spark, sf_dir):
+    m = v.spark_view(spark, sf_dir, v.METRICS).withColumn("lim", F.col("lim").cast("double"))
+    return m.select("doc_id", regions.flags(F.col("iou"), F.col("missing"), F.col("extra_ink"), F.col("cc"), F.col("lim")).alias("flags"))
+
+
+@query("select band, count(*) as n from (select case when sqdiff is null then 'unknown' when sqdiff <= 0.0003 then 'clean' when sqdiff <= 0.0092 then 'minor' when sqdiff <= 0.16 then 'suspect' else 'nonmatch' end as band from d_metrics) group by band", d_metrics=v.METRICS)
+def match_bands(spark, sf_dir):
+    return v.spark_view(spark, sf_dir, v.METRICS).groupBy(regions.band(F.col("sqdiff")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select doc_id, case when coalesce(med > 2 or iou < 0.30 or ink < 200, true) then 'unverified' when unexplained >= 0.02 and vanished <= unexplained / 3 and ratio between 1.03 and 1.8 then 'ghost' else 'clean' end as class from d_metrics", d_metrics=v.METRICS)
+def ghost_class(spark, sf_dir):
+    c = regions.ghost_class(*[F.col(x) for x in ("med", "iou", "ink", "unexplained", "vanished", "ratio")])
+    return v.spark_view(spark, sf_dir, v.METRICS).select("doc_id", c.alias("class"))
