@@ -1,0 +1,124 @@
+"""Measurements on grey rasters, in numpy. Decoding and page rendering need a backend (sources.backends)."""
+
+from __future__ import annotations
+
+import numpy as np
+
+DPI_SCALES = tuple(round(150 / d, 6) for d in (72, 96, 110, 120, 144, 150, 180, 200, 220, 300, 600))
+
+
+def scale_ladder(low: float = 0.15, high: float = 2.5, steps: int = 46) -> list[float]:
+    """Geometric scales and those of usual resolutions, without repeats."""
+    return sorted({round(float(s), 4) for s in (*np.geomspace(low, high, steps), *DPI_SCALES)})
+
+
+def otsu(gray: np.ndarray) -> int:
+    """The threshold that parts a histogram with the largest variance between the parts."""
+    hist = np.bincount(gray.reshape(-1).astype(np.uint8), minlength=256).astype(float)
+    weight = np.cumsum(hist)
+    total, mass = weight[-1], np.cumsum(hist * np.arange(256))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        between = (mass[-1] * weight - mass * total) ** 2 / (weight * (total - weight))
+    return int(np.nanargmax(np.where(np.isfinite(between), between, -1.0)))
+
+
+def ink(gray: np.ndarray) -> np.ndarray:
+    return gray <= otsu(gray)
+
+
+def image_type(gray: np.ndarray) -> str:
+    """halftone where more than 18 percent of the pixels are mid-grey."""
+    return "halftone" if ((gray >= 40) & (gray <= 215)).mean() > 0.18 else "line"
+
+
+def dilate(mask: np.ndarray, times: int = 1) -> np.ndarray:
+    for _ in range(times):
+        p = np.pad(mask, 1)
+        mask = np.logical_or.reduce([p[y : y + mask.shape[0], x : x + mask.shape[1]] for y in range(3) for x in range(3)])
+    return mask
+
+
+def components(mask: np.ndarray, min_area: int = 12) -> list[dict]:
+    """8-connected regions by merging the runs of neighbouring rows."""
+    parent: list[int] = []
+
+    def find(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    runs: list[tuple[int, int, int]] = []
+    above: list[int] = []
+    for y, row in enumerate(mask):
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], row.astype(np.int8), [0]))))
+        here = []
+        for a, b in zip(edge[::2], edge[1::2]):
+            k = len(runs)
+            runs.append((y, int(a), int(b)))
+            parent.append(k)
+            here.append(k)
+            for j in above:
+                if runs[j][1] <= b and runs[j][2] >= a:
+                    parent[find(j)] = find(k)
+        above = here
+    groups: dict[int, list[tuple[int, int, int]]] = {}
+    for k, r in enumerate(runs):
+        groups.setdefault(find(k), []).append(r)
+    out = []
+    for rs in groups.values():
+        area = sum(b - a for _, a, b in rs)
+        if area >= min_area:
+            x0, x1 = min(r[1] for r in rs), max(r[2] for r in rs)
+            y0, y1 = min(r[0] for r in rs), max(r[0] for r in rs) + 1
+            out.append({"x": x0, "y": y0, "w": x1 - x0, "h": y1 - y0, "area": area, "fill": area / ((x1 - x0) * (y1 - y0)), "aspect": (y1 - y0) / (x1 - x0)})
+    return sorted(out, key=lambda c: (-c["area"], c["y"], c["x"]))
+
+
+def solid_blobs(mask: np.ndarray) -> list[dict]:
+    whole = max(1, int(mask.sum()))
+    return [c for c in components(mask) if c["fill"] >= 0.82 and c["w"] >= 4 and c["h"] >= 4 and c["area"] >= 60 and c["area"] / whole >= 0.008]
+
+
+def tall_glyphs(mask: np.ndarray) -> list[dict]:
+    return [c for c in components(mask) if c["h"] >= 0.25 * mask.shape[0] and c["aspect"] >= 2.2]
+
+
+def average_hash(gray: np.ndarray, side: int = 8) -> int:
+    """Bits of a coarse grid against its mean."""
+    ys, xs = (np.linspace(0, n, side + 1).astype(int) for n in gray.shape)
+    grid = np.array([[gray[a : max(b, a + 1), c : max(d, c + 1)].mean() for c, d in zip(xs, xs[1:])] for a, b in zip(ys, ys[1:])])
+    return int("".join("1" if v > grid.mean() else "0" for v in grid.reshape(-1)), 2)
+
+
+def pair_metrics(a: np.ndarray, b: np.ndarray) -> dict:
+    """How the ink of b differs from that of a; a pixel of slack is allowed."""
+    x, y = ink(a), ink(b)
+    missing, extra = x & ~dilate(y), y & ~dilate(x)
+    union = int((x | y).sum())
+    n = max(1, int(x.sum()))
+    return {"missing": missing.sum() / n, "extra": extra.sum() / n, "iou": float((x & y).sum() / union) if union else 1.0, "ratio": float(y.sum() / n), "hash_distance": (average_hash(a) ^ average_hash(b)).bit_count()}
+
+
+def ghost_metrics(asset: np.ndarray, clean: np.ndarray, threshold: int = 170) -> dict:
+    """Ink of an asset that the clean rendering does not explain, and ink that vanished from it."""
+    x, y = asset < threshold, clean < threshold
+    nx, ny = int(x.sum()), int(y.sum())
+    union = int((x | y).sum())
+    diff = np.abs(asset.astype(int) - clean.astype(int))
+    return {"unexplained": (x & ~dilate(y, 2)).sum() / max(1, ny), "vanished": (y & ~dilate(x, 2)).sum() / max(1, nx), "ratio": nx / max(1, ny), "iou": (x & y).sum() / union if union else 1.0, "ink": ny, "med": float(np.median(diff)), "mad": float(diff.mean())}
+
+
+def match(page: np.ndarray, template: np.ndarray) -> dict:
+    """Best place by normalised correlation (by FFT), with the mean squared difference there."""
+    t = template.astype(float) - template.mean()
+    p = page.astype(float)
+    shape = [a + b - 1 for a, b in zip(p.shape, t.shape)]
+    spread = lambda k: np.fft.irfft2(np.fft.rfft2(p if k == 1 else p * p, shape) * np.fft.rfft2(np.ones(t.shape), shape), shape)
+    cut = tuple(slice(n - 1, m) for n, m in zip(t.shape, p.shape))
+    dot = np.fft.irfft2(np.fft.rfft2(p, shape) * np.fft.rfft2(t[::-1, ::-1], shape), shape)[cut]
+    s1, s2 = spread(1)[cut], spread(2)[cut]
+    norm = np.sqrt(np.maximum(s2 - s1**2 / t.size, 1e-9) * max((t**2).sum(), 1e-9))
+    y, x = np.unravel_index(int(np.argmax(dot / norm)), dot.shape)
+    here = p[y : y + t.shape[0], x : x + t.shape[1]]
+    return {"x": int(x), "y": int(y), "ccoeff": float((dot / norm)[y, x]), "sqdiff": float(((here - template) ** 2).sum() / max(1e-9, np.sqrt((here**2).sum() * (template.astype(float) ** 2).sum())))}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scanner
 from ..functions import text as tx
 from ..operators import cache, gate, images, leaks, markdown, packing, regions, units
 from . import views as v
@@ -579,3 +580,45 @@ def match_bands(spark, sf_dir):
 def ghost_class(spark, sf_dir):
     c = regions.ghost_class(*[F.col(x) for x in ("med", "iou", "ink", "unexplained", "vanished", "ratio")])
     return v.spark_view(spark, sf_dir, v.METRICS).select("doc_id", c.alias("class"))
+
+
+# ---- Scans that keep positions (no SQL form; tests compare them with small examples)
+
+
+@query()
+def text_nodes(spark, sf_dir):
+    return scanner.text_nodes(v.spark_view(spark, sf_dir, v.HTML), "page_id", "html")
+
+
+@query()
+def math_spans(spark, sf_dir):
+    shown = v.spark_view(spark, sf_dir, v.HTML).withColumn("html", F.concat(F.lit("<script>renderMathInElement(document.body, {delimiters: [{left: '$$', right: '$$', display: true}, {left: '$', right: '$', display: false}]});</script>"), "html"))
+    return scanner.math_spans(shown, "page_id", "html")
+
+
+@query()
+def image_captions(spark, sf_dir):
+    return scanner.captions(v.spark_view(spark, sf_dir, v.HTML), "page_id", "html")
+
+
+@query()
+def image_contexts(spark, sf_dir):
+    return scanner.image_contexts(v.spark_view(spark, sf_dir, v.HTML), "page_id", "html")
+
+
+@query()
+def page_audit(spark, sf_dir):
+    return scanner.page_findings(v.spark_view(spark, sf_dir, v.HTML), "page_id", "html")
+
+
+@query()
+def exact_batches(spark, sf_dir):
+    u = units.split_units(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.pack_exact(u, _with_neighbours, 24_000, 8)
+
+
+def _with_neighbours(rows: list[dict], batch: list[dict]) -> int:
+    """Bytes of a batch with the unit before and the one after it."""
+    at = {r["ord"]: k for k, r in enumerate(rows)}
+    first, last = at[batch[0]["ord"]], at[batch[-1]["ord"]]
+    return sum(len(r["source"].encode()) for r in rows[max(0, first - 1) : last + 2])
