@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scanner
 from ..functions import text as tx
 from ..operators import cache, gate, images, leaks, markdown, packing, regions, units
+from ..streaming import flow
 from . import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -622,3 +623,17 @@ def _with_neighbours(rows: list[dict], batch: list[dict]) -> int:
     at = {r["ord"]: k for k, r in enumerate(rows)}
     first, last = at[batch[0]["ord"]], at[batch[-1]["ord"]]
     return sum(len(r["source"].encode()) for r in rows[max(0, first - 1) : last + 2])
+
+
+# ---- Workflow
+
+
+@query()
+def flow_outcomes(spark, sf_dir):
+    """Starts a flow for every document and asks for its first request."""
+    u = units.split_units(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    unit = F.struct(F.col("ord"), F.col("id"), F.lit("prose").alias("kind"), F.lit(1).alias("page"), "source")
+    payload = u.groupBy("doc_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(unit)).alias("units"), F.lit(200_000).alias("budget"))).alias("payload"))
+    both = F.explode(F.array(F.struct(F.lit(1).cast("long").alias("seq"), F.lit("start").alias("kind")), F.struct(F.lit(2).cast("long").alias("seq"), F.lit("next").alias("kind"))))
+    events = payload.select(F.col("doc_id").cast("string").alias("doc_id"), both.alias("e"), "payload").select("doc_id", "e.seq", "e.kind", F.lit(None).cast("string").alias("request_id"), F.when(F.col("e.kind") == "start", F.col("payload")).alias("payload"))
+    return flow.run_batch(events).select("doc_id", "seq", "outcome", "phase", "detail")

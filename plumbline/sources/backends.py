@@ -44,7 +44,7 @@ def run_backend(df: DataFrame, id_col: str, content_col: str, backend: Backend,
                     rows.append({id_col: key, "status": "unavailable", "detail": str(e)})
                 except Exception as e:  # noqa: BLE001
                     rows.append({id_col: key, "status": "error", "detail": f"{type(e).__name__}: {e}"[:500]})
-            yield pd.DataFrame(rows, columns=[id_col, "status", "detail", *columns])
+            yield pd.DataFrame(rows, columns=[id_col, "status", "detail", *columns], dtype=object)
 
     return df.select(id_col, content_col).mapInPandas(each, f"{id_col} {kind}, status string, detail string, {schema}")
 
