@@ -4,7 +4,7 @@ A document's set is its distinct word shingles, as 64-bit hashes. One permutatio
 BINS bins and keeps the least hash of each; an empty bin borrows from one picked by a universal hash of (bin, attempt),
 the same for all documents (optimal densification). BANDS bands of ROWS bins give the buckets. Documents
 with equal sets are one class, stood for by its smallest id, and only classes go into buckets. Each bucket links its members to its
-smallest one only (a star), so pairs are bounded by members; pairs are confirmed on full sets.
+most central one only (a star), so pairs are bounded by members; pairs are confirmed on full sets.
 
 A star can miss a link between two members that are not both linked to its centre. Buckets whose other members still lie in
 several components therefore go to an exact join of their classes: shingles ordered by rarity, the prefix that a similarity
@@ -168,14 +168,17 @@ def _residual_pairs(left: DataFrame, docs: DataFrame, n: int, percent: int) -> D
     often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("f"), F.min("component").alias("c1"), F.max("component").alias("c2"))
     often = often.filter("c1 < c2").select("shingle", "f")
     # Shingles that no other component holds come first in the order; they take room in the prefix but match nothing.
+    # The order is (frequency, shingle), so pos counts the unshared ones and the shared ones before.
     shared = rows.join(often, "shingle").groupBy("rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
-    need = F.ceil(F.col("n") * percent / 100.0).cast("int")
-    room = (F.size("s") - need + 1).cast("int")  # prefix length less the unshared shingles in it
-    prefix = shared.filter(room > 0).select("rep", "component", "n", F.explode(F.slice("s", F.lit(1), F.greatest(room, F.lit(1)))).alias("x"))
-    a = prefix.select(F.col("x.shingle").alias("shingle"), F.col("rep").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"))
-    b = prefix.select(F.col("x.shingle").alias("shingle"), F.col("rep").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"))
-    near = (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-    return a.join(b, "shingle").filter(near).select("u", "v").distinct()
+    placed = shared.select("rep", "component", "n", (F.col("n") - F.size("s")).alias("alone"), F.posexplode("s").alias("k", "x"))
+    placed = placed.select("rep", "component", "n", (F.col("alone") + F.col("k")).alias("pos"), F.col("x.shingle").alias("shingle"))
+    # Length bound: a partner has percent of n at least, so the first common shingle stands within this prefix.
+    prefix = placed.filter(100 * (F.col("n") - F.col("pos")) >= percent * F.col("n"))
+    side = lambda x, y: prefix.select("shingle", *[F.col(c).alias(f"{c}{y}") for c in ("component", "n", "pos")], F.col("rep").alias(x))
+    # Positional bound at the first common shingle: what is left on both sides must reach the needed overlap.
+    left_over = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
+    near = (F.col("u") < F.col("v")) & (F.col("component1") != F.col("component2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")) & ((100 + percent) * left_over >= percent * (F.col("n1") + F.col("n2")))
+    return side("u", 1).join(side("v", 2), "shingle").filter(near).select("u", "v").distinct()
 
 
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,14 +189,18 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     classes = linked.groupBy("digest").agg(F.min("id").alias("rep"))
     members = stash(linked.join(classes, "digest").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
     cells = members.filter("bands is not null").select("rep", "n", F.explode("bands").alias("cell"))
-    centres = cells.groupBy("cell").agg(F.min(F.struct("rep", "n")).alias("c"), F.max("rep").alias("last")).filter("c.rep < last")
-    held = stash(cells.join(centres.select("cell", "c"), "cell").select("cell", "rep", "n", F.col("c.rep").alias("centre"), F.col("c.n").alias("nc")), "cells")
+    several = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b")
+    held = stash(cells.join(several.select("cell", "m"), "cell"), "cells")
+    # The member that meets most others over all its buckets is the most central; stars around it miss least.
+    meets = held.groupBy("rep").agg(F.sum("m").alias("meets"))
+    centres = held.join(meets, "rep").groupBy("cell").agg(F.max(F.struct("meets", (-F.col("rep")).alias("x"), "n")).alias("c"))
     sized = 100 * F.least("n", "nc") >= percent * F.greatest("n", "nc")
-    star = held.filter((F.col("rep") != F.col("centre")) & sized).select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct()
+    spokes = held.join(centres.select("cell", (-F.col("c.x")).alias("centre"), F.col("c.n").alias("nc")), "cell")
+    star = spokes.filter((F.col("rep") != F.col("centre")) & sized).select(F.least("centre", "rep").alias("u"), F.greatest("centre", "rep").alias("v")).distinct()
     links = stash(_confirm(star, docs, shingle, percent), "links")
     comps = components(links)
-    # Members other than the centre that still lie in several components: their links may be missing.
-    rest = held.filter("rep <> centre").join(comps, F.col("rep") == F.col("node"), "left").select("cell", "rep", F.coalesce("component", "rep").alias("component"))
+    # Buckets of three or more that still hold several components: links between members other than the centre may be missing.
+    rest = held.filter("m > 2").join(comps, F.col("rep") == F.col("node"), "left").select("cell", "rep", F.coalesce("component", "rep").alias("component"))
     several = rest.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("cell")
     left = stash(rest.join(several, "cell").select("rep", "component").distinct(), "residual")
     if not left.isEmpty():

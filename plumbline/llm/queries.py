@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, neardup, quality, sharding, substrings, tokens, urls
+from . import decontam, langid, mixing, neardup, oracles, quality, sharding, substrings, tokens, urls
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -59,7 +59,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_words(table(spark, sf_dir, "documents"))
 
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": oracles.quality(quality.QualityRules()),
+    "op3_url_filter": oracles.url_filter(URL_RULES),
+    "op4_decontamination": oracles.decontamination(decontam.WINDOW),
+    "op5_mix_sources": oracles.mixing(SOURCE_WEIGHTS, MIX_SEED),
+    "op6_near_dedup": oracles.near_dedup(3, 85),
+    "op9_sharding": oracles.sharding(N_SHARDS, SHARD_SLOTS),
+    "op10_substring_dedup": oracles.word_windows(substrings.WORDS.window),
+}
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
