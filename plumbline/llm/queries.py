@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, neardup, oracles, quality, sharding, substrings, tokens, urls
+from . import decontam, langid, mixing, neardup, oracles, quality, sharding, substrings, suffixes, tokens, urls
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -41,7 +41,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeated_bytes(table(spark, sf_dir, "documents"))
+    return suffixes.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeated_words(table(spark, sf_dir, "documents"))
+    return substrings.substring_dedup(table(spark, sf_dir, "documents"))
 
 
 ORACLES: dict[str, str] = {
@@ -66,7 +66,7 @@ ORACLES: dict[str, str] = {
     "op5_mix_sources": oracles.mixing(SOURCE_WEIGHTS, MIX_SEED),
     "op6_near_dedup": oracles.near_dedup(3, 85),
     "op9_sharding": oracles.sharding(N_SHARDS, SHARD_SLOTS),
-    "op10_substring_dedup": oracles.word_windows(substrings.WORDS.window),
+    "op10_substring_dedup": oracles.word_windows(substrings.WINDOW),
 }
 
 QUERIES = {

@@ -1,260 +1,348 @@
 """Exact repeats of at least a window's length across and within documents, for any kind of symbol.
 
-Anchors. Of the k-gram hashes inside each window of L symbols the least one (leftmost on ties) is selected, which
-depends on the window's content alone, so equal windows select equal anchors at equal offsets. About 2 / (L - k + 2) of all
-positions are anchors. Anchors whose k-gram occurs once in the corpus cannot belong to a repeated window; the rest go back to
-their documents by a join, so nothing is gathered on the driver and a frequent anchor is spread by Spark's skew handling.
-
-Resolution. Every document sends, for each repeated anchor, the run of windows that selected it. These meet by anchor, in
-the order of their places, and equal windows are found by 64-bit hashes of all L symbols. An anchor with more than HOT occurrences is
-dealt over salts; what each salt holds once goes on to a second round by window hash, with a partial aggregate, so no
-group has to fit in a task.
-
-A place is (doc_id, text hash if ids repeat, start); rows equal in id and text are one document, so they are
-no repeats of each other.
+What tells the two users apart is a Scheme: which grams of a text are named, and which names a window is looked up by.
+
+1. Equal texts are one class, whose text is kept once. Classes are packed into chunks of about CHUNK_BYTES, in a table that
+   the later steps read again.
+2. Naming. Each chunk sends the distinct hashes of its grams, packed and dealt out by hash range, and gets back one bit
+   for each: whether the corpus holds that name in a second place that matters. So a gram shared by all documents costs one
+   entry a chunk, and no task holds more than a range of hashes.
+3. Resolving. Windows go, in runs, to the repeated names that their scheme picks, and equal windows meet there, told by 64-bit
+   hashes of all their symbols. A name with more than HOT occurrences is dealt over salts; what each salt
+   holds once goes on to a second round by window, so no group has to fit in a task.
+
+A place is (doc_id, text digest, start). Everything between steps is in the shared folder or in a shuffle.
 """
 
 from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, drop, map_rows, mix, prefix_hash, slices, stash, window_hash
-from .neardup import word_hashes
+from .common import binary, drop, mix, prefix_hash, powers, stash
 
-HOT = 20_000
-_SEGMENT = 1 << 22
-_NULL_ID = -(1 << 63)
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
+CHUNK_BYTES = 2_000_000
+HOT = 4000
+NAMES_PER_PART = 1_000_000
+RESOLVE_ROWS = 3000
+NULL_ID = -(1 << 63)
+_SEGMENT = 1 << 20
 
 
-@dataclass(frozen=True)
-class Kind:
-    """What a document's symbols are: bytes, or words at ASCII white space."""
+class Scheme:
+    """Symbols, named grams and runs of windows of one kind of text."""
 
-    words: bool
     window: int
-    gram: int
-
-    def symbols(self, text: bytes) -> np.ndarray:
-        if self.words:
-            return word_hashes(text.split())
-        return _BYTE_VALUES[np.frombuffer(text, np.uint8)]
-
-
-def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each w consecutive values, by running minima over blocks from both sides."""
-    n = len(v) - w + 1
-    pad = -len(v) % w
-    blocks = np.concatenate([v, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
-    forward = np.minimum.accumulate(blocks, axis=1).reshape(-1)
-    backward = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(backward[:n], forward[w - 1 : w - 1 + n])
-
-
-def anchors(symbols: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """k-gram hash, position, first window and number of windows of each selected anchor."""
-    n = len(symbols) - kind.window + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
-    h = window_hash(prefix_hash(symbols), kind.gram)
-    w = kind.window - kind.gram + 1
-    low = np.uint64((1 << 24) - 1)
-    picked = []
-    for at in range(0, n, _SEGMENT):
-        part = h[at : min(n, at + _SEGMENT) + w - 1]
-        v = (part & ~low) | np.arange(len(part), dtype=np.uint64)
-        picked.append((_sliding_min(v, w) & low).astype(np.int64) + at)
-    pos = np.concatenate(picked)
-    first = np.flatnonzero(np.concatenate([[True], pos[1:] != pos[:-1]]))
-    return h[pos[first]], pos[first], first, np.diff(np.append(first, n))
-
-
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id (null as the least), sub (0 while ids are unique) and text."""
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    clash = docs.groupBy("id").count().filter("count > 1").limit(1).isEmpty()
-    return docs.withColumn("sub", F.lit(0).cast("long") if clash else F.xxhash64("text"))
-
-
-def _anchor_rows(docs: DataFrame, kind: Kind, places: bool) -> DataFrame:
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, pos, rows = [], [], []
-        for k, t in enumerate(binary(batch, "text")):
-            a, p, _, _ = anchors(kind.symbols(t), kind)
-            hashes.append(a)
-            pos.append(p)
-            rows.append(np.full(len(a), k))
-        a = pa.array(np.concatenate(hashes).view(np.int64))
-        if not places:
-            return pa.RecordBatch.from_arrays([a], ["anchor"])
-        take = pa.array(np.concatenate(rows), pa.int64())
-        return pa.RecordBatch.from_arrays([a, batch.column("id").take(take), batch.column("sub").take(take), pa.array(np.concatenate(pos), pa.int64())], ["anchor", "id", "sub", "pos"])
-
-    if not places:
-        return map_rows(docs.select("text"), fn, "anchor long")
-    return map_rows(docs, fn, "anchor long, id long, sub long, pos long")
-
-
-def _runs(docs: DataFrame, kind: Kind) -> DataFrame:
-    """For each repeated anchor of a document: the windows that selected it, as bytes (bytes) or as hashes (words)."""
-
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list] = [[] for _ in range(6)]
-        load: list[bytes] = []
-        ids, subs = batch.column("id").to_pylist(), batch.column("sub").to_pylist()
-        hits, salts = batch.column("pos"), batch.column("salts")
-        for k, text in enumerate(binary(batch, "text")):
-            if text is None:
-                continue
-            symbols = kind.symbols(text)
-            a, pos, start, count = anchors(symbols, kind)
-            hit = np.array(hits[k].values)
-            order = np.argsort(hit, kind="stable")
-            hit, salt = hit[order], np.array(salts[k].values)[order]
-            at = np.searchsorted(hit, pos)
-            there = hit[np.minimum(at, len(hit) - 1)] == pos
-            a, start, count, salt = a[there], start[there], count[there], salt[at[there]]
-            if kind.words:
-                h = window_hash(prefix_hash(symbols), kind.window)
-                load += [h[s : s + c].tobytes() for s, c in zip(start, count)]
-            else:
-                load += [text[s : s + c + kind.window - 1] for s, c in zip(start.tolist(), count.tolist())]
-            mine = mix(np.full(1, ids[k] & (2**64 - 1), np.uint64) + np.uint64(subs[k] & (2**64 - 1)))[0]
-            # The salt is by document; a document's own repeats of a hot anchor meet in one task.
-            s = np.where(salt > 1, (mine % salt.astype(np.uint64)).astype(np.int64), -1)
-            for col, x in zip(cols, (a.view(np.int64), s, np.full(len(a), ids[k]), np.full(len(a), subs[k]), start, count)):
-                col.append(x)
-        arrays = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in cols]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(load, pa.binary())], ["anchor", "salt", "id", "sub", "start", "n", "load"])
-
-    return map_rows(docs, fn, "anchor long, salt long, id long, sub long, start long, n long, load binary")
-
-
-def _resolve(runs: DataFrame, kind: Kind, every: bool) -> DataFrame:
+    names_per_byte: float
+
+    def symbols(self, data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All symbols of a chunk, and where each document's begin and end among them."""
+        raise NotImplementedError
+
+    def values(self, part: np.ndarray) -> np.ndarray:
+        """Hash values of symbols."""
+        return part
+
+    def names(self, symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Position, hash and tag (below 16) of every named gram."""
+        raise NotImplementedError
+
+    def repeated(self, first: np.ndarray, group: np.ndarray, tags: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Which of the entries, sorted by name, matter; first: starts of groups, total: a group's occurrences."""
+        raise NotImplementedError
+
+    def runs(self, data: bytes, symbols: np.ndarray, bounds: np.ndarray, pos: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Of the repeated names (pos, hashes): index, first window, number of windows and load of each run."""
+        raise NotImplementedError
+
+    def window_hashes(self, load: bytes, counts: np.ndarray) -> np.ndarray:
+        """Hashes of all windows of runs whose loads are joined."""
+        raise NotImplementedError
+
+
+def gram_hashes(scheme: Scheme, symbols: np.ndarray, pos: np.ndarray, n: int) -> np.ndarray:
+    """Rolling hashes of the n symbols from each of the ascending positions, a segment at a time."""
+    out = np.empty(len(pos), np.uint64)
+    for a in range(0, len(symbols), _SEGMENT):
+        lo, hi = np.searchsorted(pos, (a, a + _SEGMENT))
+        if lo < hi:
+            part = scheme.values(symbols[a : a + _SEGMENT + n])
+            p, q = prefix_hash(part), pos[lo:hi] - a
+            out[lo:hi] = mix((p[q + n] - p[q]) * powers(_SEGMENT)[1][q])
+    return out
+
+
+def _table(columns: dict[str, pa.Array]) -> pa.Table:
+    return pa.table(columns)
+
+
+def _longs(x) -> pa.Array:
+    return pa.array(np.asarray(x), pa.int64())
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, digest), and one row a different text with its least and greatest id."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+    return rows.drop("text"), rows.groupBy("digest").agg(F.min("id").alias("id"), F.max("id").alias("last_id"), F.first("text").alias("text"))
+
+
+def _chunks(classes: DataFrame) -> DataFrame:
+    """Chunks of whole texts: their ids, whether a class has several ids, digests, bounds in bytes and the bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        held: list[tuple] = []
+        size = 0
+
+        def chunk() -> pa.RecordBatch:
+            ids, several, digests, texts = zip(*held)
+            bounds = np.cumsum([0, *map(len, texts)])
+            blobs = [np.array(ids, np.int64).tobytes(), np.array(several, np.uint8).tobytes(), b"".join(digests), bounds.astype(np.int64).tobytes(), b"".join(texts)]
+            return pa.RecordBatch.from_arrays([_longs([number]), *(pa.array([b], pa.binary()) for b in blobs)], ["chunk", "ids", "several", "digests", "bounds", "data"])
+
+        for batch in batches:
+            ids, last = batch.column("id").to_pylist(), batch.column("last_id").to_pylist()
+            for i, j, d, t in zip(ids, last, binary(batch, "digest"), binary(batch, "text")):
+                if held and size + len(t) > CHUNK_BYTES:
+                    yield chunk()
+                    number += 1
+                    held, size = [], 0
+                held.append((i, i != j, d, t))
+                size += len(t)
+        if held:
+            yield chunk()
+
+    return classes.mapInArrow(run, "chunk long, ids binary, several binary, digests binary, bounds binary, data binary")
+
+
+class _Chunk:
+    def __init__(self, scheme: Scheme, row: dict):
+        self.data: bytes = row["data"]
+        self.number: int = row["chunk"]
+        self.byte_bounds = np.frombuffer(row["bounds"], np.int64)
+        self.symbols, self.bounds = scheme.symbols(self.data, self.byte_bounds)
+        self.row = row
+
+
+class _Names:
+    """A chunk's distinct names: sorted keys of hash, tag and the logarithm of their number; and the way back to places."""
+
+    def __init__(self, scheme: Scheme, c: _Chunk, width: int, parts: int):
+        self.pos, self.hashes, tags = scheme.names(c.symbols, c.bounds)
+        mask = np.uint64((1 << 64) - (1 << (64 - 8 * width)))
+        keys, self.back, counts = np.unique((self.hashes & mask) | (tags.astype(np.uint64) << np.uint64(4)), return_inverse=True, return_counts=True)
+        self.part = (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+        self.cuts = np.flatnonzero(np.diff(self.part, prepend=-1))
+        keys |= np.minimum(15, np.ceil(np.log2(counts))).astype(np.uint64)
+        octets = keys.astype(">u8").view(np.uint8).reshape(-1, 8)
+        self.packed = np.concatenate([octets[:, :width], octets[:, 7:]], axis=1)
+
+
+def _naming(chunks: DataFrame, scheme: Scheme, width: int, parts: int) -> DataFrame:
+    """For each (chunk, part) with repeated names: a bit for each name sent, and the salts of hot ones."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+                c = _Chunk(scheme, row)
+                n = _Names(scheme, c, width, parts)
+                if len(n.cuts):
+                    ends = np.append(n.cuts[1:], len(n.part)) * (width + 1)
+                    raw = n.packed.tobytes()
+                    blobs = [raw[a:b] for a, b in zip((n.cuts * (width + 1)).tolist(), ends.tolist())]
+                    yield pa.RecordBatch.from_arrays([_longs(n.part[n.cuts]), _longs(np.full(len(blobs), c.number)), pa.array(blobs, pa.binary())], ["part", "chunk", "names"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        blobs = binary(table.combine_chunks().to_batches()[0], "names")
+        raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, width + 1)
+        octets = np.zeros((len(raw), 8), np.uint8)
+        octets[:, :width], octets[:, 7] = raw[:, :width], raw[:, width]
+        keys = octets.view(">u8").reshape(-1).astype(np.uint64)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        new = np.diff(keys >> np.uint64(8), prepend=~keys[:1] >> np.uint64(8)) != 0
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
+        total = np.add.reduceat(np.int64(1) << (keys & np.uint64(15)).astype(np.int64), first)
+        good = scheme.repeated(first, group, ((keys >> np.uint64(4)) & np.uint64(15)).astype(np.int64), total)
+        hit = np.zeros(len(keys), bool)
+        hit[order] = good
+        salts = np.zeros(len(keys), np.int64)
+        salts[order] = np.where(good & (total[group] > HOT), -(-total[group] // HOT), 0)
+        ends = np.cumsum([len(b) // (width + 1) for b in blobs]).tolist()
+        out = []
+        for number, a, b in zip(table.column("chunk").to_pylist(), [0, *ends], ends):
+            if hit[a:b].any():
+                hot = np.flatnonzero(salts[a:b])
+                out.append((number, np.packbits(hit[a:b]).tobytes(), np.stack([hot, salts[a:b][hot]]).astype(np.int64).tobytes()))
+        part = table.column("part")[0].as_py()
+        return _table({"chunk": _longs([o[0] for o in out]), "part": _longs([part] * len(out)), "bits": pa.array([o[1] for o in out], pa.binary()), "hot": pa.array([o[2] for o in out], pa.binary())})
+
+    sent = chunks.select("chunk", "bounds", "data").mapInArrow(send, "part long, chunk long, names binary")
+    return sent.groupBy("part").applyInArrow(meet, "chunk long, part long, bits binary, hot binary")
+
+
+_RUN = "anchor long, salt long, id long, sub long, chunk long, at long, n long, load binary"
+_RUN_COLUMNS = [c.split()[0] for c in _RUN.split(", ")]
+
+
+def _runs(chunks: DataFrame, marks: DataFrame, scheme: Scheme, width: int, parts: int) -> DataFrame:
+    """Runs of windows, each by the repeated name that it goes to."""
+    empty = pa.table({c: pa.array([], pa.binary() if c == "load" else pa.int64()) for c in _RUN_COLUMNS})
+
+    def fn(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return empty
+        row = left.to_pylist()[0]
+        c = _Chunk(scheme, row)
+        names = _Names(scheme, c, width, parts)
+        hit, salts = np.zeros(len(names.part), bool), np.zeros(len(names.part), np.int64)
+        start = dict(zip(names.part[names.cuts].tolist(), zip(names.cuts.tolist(), np.append(names.cuts[1:], len(names.part)).tolist())))
+        for m in right.to_pylist():
+            a, b = start[m["part"]]
+            hit[a:b] = np.unpackbits(np.frombuffer(m["bits"], np.uint8), count=b - a).astype(bool)
+            hot, many = np.frombuffer(m["hot"], np.int64).reshape(2, -1)
+            salts[a + hot] = many
+        here = np.flatnonzero(hit[names.back])
+        pos, hashes, salts = names.pos[here], names.hashes[here], salts[names.back[here]]
+        which, at, n, load = scheme.runs(c.data, c.symbols, c.bounds, pos, hashes)
+        doc = np.searchsorted(c.bounds, at, side="right") - 1
+        many = salts[which]
+        dealt = (mix(at.astype(np.uint64) + mix(np.full(1, c.number, np.uint64))) % np.maximum(many, 1).astype(np.uint64)).astype(np.int64)
+        ids = np.frombuffer(row["ids"], np.int64)
+        subs = np.frombuffer(row["digests"], np.uint8).reshape(-1, 32)[:, :8].copy().view(np.int64).reshape(-1)
+        columns = (hashes[which].view(np.int64), np.where(many > 1, dealt, -1), ids[doc], subs[doc], np.full(len(at), c.number), at, n)
+        return _table(dict(zip(_RUN_COLUMNS, [*map(_longs, columns), load])))
+
+    return chunks.select("chunk", "ids", "digests", "bounds", "data").groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(fn, _RUN)
+
+
+def _resolve(runs: DataFrame, scheme: Scheme, every: bool) -> DataFrame:
     """Spans of starts of repeated windows (window null), and what hot salts must compare further (to null).
 
     every: all places of a repeated window, else all but its first.
     """
-    length = kind.window
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = np.array(batch.column("n"))
-        start, ids, subs, salt = (np.array(batch.column(c)) for c in ("start", "id", "sub", "salt"))
+        anchor, salt, ids, subs, chunk, at, n = (np.array(batch.column(c)) for c in _RUN_COLUMNS[:-1])
         total = int(n.sum())
         row = np.repeat(np.arange(len(n)), n)
-        first = np.cumsum(n) - n
-        local = np.arange(total) - first[row]
-        data = b"".join(batch.column("load").to_pylist())
-        if kind.words:
-            h = np.frombuffer(data, np.uint64)
-        else:
-            begin = np.cumsum(n + length - 1) - (n + length - 1)
-            p = prefix_hash(_BYTE_VALUES[np.frombuffer(data, np.uint8)])
-            h = window_hash(p, length)[begin[row] + local]
-        order = np.argsort(h, kind="stable")
-        hs = h[order]
-        new = np.concatenate([[True], hs[1:] != hs[:-1]])
-        head = np.maximum.accumulate(np.where(new, np.arange(total), 0))
-        lead = order[head]
-        place = start[row] + local
+        place = at[row] + np.arange(total) - (np.cumsum(n) - n)[row]
+        # Windows are told apart by name and salt too: what is first is settled within a group.
+        h = scheme.window_hashes(b"".join(binary(batch, "load")), n) ^ mix(anchor.view(np.uint64))[row]
+        own = h ^ mix(salt.view(np.uint64))[row]
+        order = np.argsort(own, kind="stable")
+        new = np.diff(own[order], prepend=~own[order[:1]]) != 0
+        lead = order[np.maximum.accumulate(np.where(new, np.arange(total), 0))]
 
         def differs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            return (ids[row[x]] != ids[row[y]]) | (subs[row[x]] != subs[row[y]]) | (place[x] != place[y])
+            return (chunk[row[x]] != chunk[row[y]]) | (place[x] != place[y])
 
         away = np.zeros(total, bool)
         if every:
             tail = np.append(np.flatnonzero(new)[1:], total) - 1
-            last = order[tail[np.cumsum(new) - 1]]
-            away[order] = differs(lead, last)
+            away[order] = differs(lead, order[tail[np.cumsum(new) - 1]])
         else:
             away[order] = differs(order, lead)
         # Runs of repeated windows, within rows.
-        edge = np.flatnonzero(away & np.concatenate([[True], ~away[:-1] | (row[1:] != row[:-1])])) if total else np.zeros(0, int)
-        stop = np.flatnonzero(away & np.concatenate([~away[1:] | (row[1:] != row[:-1]), [True]])) if total else edge
-        none = pa.nulls(len(edge), pa.int64())
-        spans = [pa.array(ids[row[edge]]), pa.array(subs[row[edge]]), pa.array(place[edge]), pa.array(place[stop]), none]
+        edge = np.flatnonzero(away & np.concatenate([[True], ~away[:-1] | (row[1:] != row[:-1])]))
+        stop = np.flatnonzero(away & np.concatenate([~away[1:] | (row[1:] != row[:-1]), [True]]))
         more = order[new]
         more = more[salt[row[more]] >= 0]
-        rest = [pa.array(ids[row[more]]), pa.array(subs[row[more]]), pa.array(place[more]), pa.nulls(len(more), pa.int64()), pa.array(h[more].view(np.int64))]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(spans, rest)], ["id", "sub", "from", "to", "window"])
+        both, blank = np.concatenate([edge, more]), np.arange(len(edge) + len(more)) < len(edge)
+        to = pa.array(np.concatenate([place[stop], more]), pa.int64(), mask=~blank)
+        window = pa.array(np.concatenate([edge, h[more].view(np.int64)]), pa.int64(), mask=blank)
+        return pa.RecordBatch.from_arrays([_longs(ids[row[both]]), _longs(subs[row[both]]), _longs(chunk[row[both]]), _longs(place[both]), to, window], ["id", "sub", "chunk", "from", "to", "window"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
-            a, s = np.array(held.column("anchor")), np.array(held.column("salt"))
-            cut = np.flatnonzero((a[1:] != a[:-1]) | (s[1:] != s[:-1]))
+            cut = cuts(held)
             if len(cut):  # the last group may go on in the next batch
-                yield from done(held.slice(0, cut[-1] + 1), a[: cut[-1] + 1], s[: cut[-1] + 1])
-                held = held.slice(cut[-1] + 1)
+                yield from done(held.slice(0, cut[-1]), cut)
+                held = held.slice(cut[-1])
         if held is not None and held.num_rows:
-            yield from done(held, np.array(held.column("anchor")), np.array(held.column("salt")))
+            yield from done(held, np.append(cuts(held), held.num_rows))
+
+    def cuts(t: pa.Table) -> np.ndarray:
+        a, s = np.array(t.column("anchor")), np.array(t.column("salt"))
+        return np.flatnonzero((a[1:] != a[:-1]) | (s[1:] != s[:-1])) + 1
 
-    def done(t: pa.Table, a: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Whole groups, about 4000 rows at a time."""
-        ends = np.append(np.flatnonzero((a[1:] != a[:-1]) | (s[1:] != s[:-1])) + 1, len(a))
+    def done(t: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole groups, about RESOLVE_ROWS rows at a time."""
         at = 0
-        while at < len(a):
-            end = int(ends[min(np.searchsorted(ends, at + 4000), len(ends) - 1)])
+        while at < t.num_rows:
+            end = int(ends[min(np.searchsorted(ends, at + RESOLVE_ROWS), len(ends) - 1)])
             yield work(t.slice(at, end - at).combine_chunks().to_batches()[0])
             at = end
 
-    placed = runs.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "id", "sub", "start")
-    return placed.mapInArrow(run, "id long, sub long, `from` long, `to` long, window long")
+    placed = runs.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "id", "sub", "at")
+    return placed.mapInArrow(run, "id long, sub long, chunk long, `from` long, `to` long, window long")
 
 
-def release(spark) -> None:
+def release() -> None:
     """Let Spark delete the shuffle files of finished jobs: it does so for collected objects only."""
+    from pyspark.sql import SparkSession
+
     gc.collect()
-    spark._jvm.System.gc()
+    SparkSession.getActiveSession()._jvm.System.gc()
+
 
+def find_repeats(df: DataFrame, scheme: Scheme, every: bool, measure, columns: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows (id, digest), and a row a different text: digest, first_id and the columns that measure makes.
 
-def find_repeats(df: DataFrame, kind: Kind, every: bool, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Documents (id, sub, text; text null where nothing repeats, with size and digest made) and spans of starts by (id, sub)."""
+    measure(text, removed, several) gets a text, the mask of its symbols inside repeated windows (None: none), and
+    whether documents with several ids hold it.
+    """
     spark = df.sparkSession
-    docs = _keyed(df, id_col, text_col)
-    twice = _anchor_rows(docs, kind, places=False).groupBy("anchor").count().filter("count > 1")
-    salts = F.ceil(F.col("count") / HOT).cast("int")
-    hits = _anchor_rows(docs, kind, places=True).join(twice, "anchor").groupBy("id", "sub").agg(F.collect_list(F.struct("pos", salts.alias("salts"))).alias("hits"))
-    hits = stash(hits, "hits")
-    release(spark)
-    both = docs.join(hits, ["id", "sub"], "left")
-    digest = F.sha2(F.col("text"), 256) if not kind.words else F.lit(None).cast("string")
-    active = F.col("hits").isNotNull()
-    texts = stash(
-        both.select("id", "sub", F.octet_length("text").cast("long").alias("n_bytes"), F.when(~active, digest).alias("sha"), F.when(active | F.lit(kind.words), F.col("text")).alias("text"), F.col("hits.pos").alias("pos"), F.col("hits.salts").alias("salts")),
-        "texts",
-    )
-    drop(hits)
-    release(spark)
-    live = texts.filter("pos is not null").select("id", "sub", "text", "pos", "salts")
-    found = stash(_resolve(_runs(live, kind), kind, every), "repeats")
-    release(spark)
-    direct = found.filter("window is null").select("id", "sub", "from", "to")
+    rows, classes = _classes(df, id_col, text_col)
+    chunks = stash(_chunks(classes), "chunks")
+    release()
+    names = (chunks.agg(F.sum(F.octet_length("data"))).first()[0] or 0) * scheme.names_per_byte
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(names / NAMES_PER_PART) + 1)
+    width = min(7, max(4, (int(names).bit_length() + 10 + 7) // 8))
+    marks = stash(_naming(chunks, scheme, width, parts), "marks")
+    release()
+    found = stash(_resolve(_runs(chunks, marks, scheme, width, parts), scheme, every), "repeats")
+    release()
+    drop(marks)
+    direct = found.filter("window is null").select("chunk", "from", "to")
     hot = found.filter("window is not null")
-    place = F.struct("id", "sub", "from")
+    place = F.struct("id", "sub", "chunk", "from")
     ends = hot.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
     again = hot.drop("to").join(ends, "window")
     if not every:
         again = again.filter(place != F.col("first"))
-    spans = direct.unionByName(again.select("id", "sub", "from", F.col("from").alias("to")))
-    return texts, spans.groupBy("id", "sub").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-
-
-def removed_mask(spans: list[dict] | None, window: int, size: int) -> np.ndarray:
-    """Which symbols lie in a window that starts in one of the spans."""
-    edge = np.zeros(size + 1, np.int32)
-    if spans:
-        a = np.array([s["from"] for s in spans])
-        b = np.array([s["to"] for s in spans]) + window
-        np.add.at(edge, a, 1)
-        np.add.at(edge, b, -1)
-    return np.cumsum(edge[:-1]) > 0
+    spans = direct.unionByName(again.select("chunk", "from", F.col("from").alias("to")))
+
+    def fn(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if left.num_rows:
+            row = left.to_pylist()[0]
+            data, bytes_at = row["data"], np.frombuffer(row["bounds"], np.int64)
+            removed = bounds = None
+            if right.num_rows:
+                symbols, bounds = scheme.symbols(data, bytes_at)
+                edge = np.zeros(len(symbols) + 1, np.int32)
+                np.add.at(edge, np.array(right.column("from")), 1)
+                np.add.at(edge, np.array(right.column("to")) + scheme.window, -1)
+                removed = np.cumsum(edge[:-1]) > 0
+            ids, several = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["several"], np.uint8)
+            for k in range(len(ids)):
+                mask = removed[bounds[k] : bounds[k + 1]] if removed is not None else None
+                made = measure(data[bytes_at[k] : bytes_at[k + 1]], mask if mask is not None and mask.any() else None, bool(several[k]))
+                out.append((row["digests"][32 * k : 32 * k + 32], int(ids[k]), *made))
+        kinds = [pa.binary(), pa.int64(), *(pa.string() if t == "string" else pa.int64() for _, t in columns)]
+        return pa.Table.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate(kinds)], ["digest", "first_id", *(c for c, _ in columns)])
+
+    schema = "digest binary, first_id long, " + ", ".join(f"{c} {t}" for c, t in columns)
+    return rows, chunks.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(fn, schema)

@@ -1,11 +1,14 @@
-"""Removal of repeated text: byte strings that occurred before, and word windows that occur anywhere else.
+"""Substring dedup by fixed-block anchors: words inside a window whose sequence also starts anywhere else.
 
-Both stand on repeats.find_repeats; see there for how repeats are found, and the README for how that departs from the
-methods first named for them.
+Every document is cut into non-overlapping blocks of (window + 1) // 2 words from its start, which are indexed by hash;
+any window holds one of its own document's blocks whole. Every rolling gram of that length probes the index, so two
+equal windows always meet at the first one's block. A gram is an anchor if it is some document's block and occurs
+twice or more, which its words alone decide. Windows are extended from anchors: each goes to the least anchor hash inside
+it (the same for equal windows), in runs, and is compared there over its whole length; runs of repeated windows
+join up to the maximal repeats.
 
-Cases: a null text counts as empty; a text shorter than a window keeps everything; rows equal in id and text are one document and
-get equal results; rows of one id with different texts are ordered by a hash of the text; a null id sorts first; an
-empty table gives an empty table.
+Cases: a null text has no words; a text of fewer words than a window keeps everything; rows equal in id and text are one document and
+get equal results; a null id is an id like any other; an empty table gives an empty table; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -17,59 +20,96 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, map_rows
-from .repeats import _NULL_ID, Kind, find_repeats, removed_mask
-
-BYTES = Kind(words=False, window=100, gram=32)
-WORDS = Kind(words=True, window=35, gram=10)
-
-
-def _join(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    return texts.drop("pos", "salts").join(spans, ["id", "sub"], "left").select("id", "n_bytes", "sha", "text", "spans")
-
-
-def _id(column: str):
-    return F.when(F.col("id") != _NULL_ID, F.col("id")).alias(column)
-
-
-def repeated_bytes(df: DataFrame, kind: Kind = BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_removed, n_spans and kept_sha256: bytes inside a window-long string that also starts earlier go."""
-    texts, spans = find_repeats(df, kind, every=False, id_col=id_col, text_col=text_col)
-
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        removed, runs, sha = [], [], []
-        for t, old, s in zip(binary(batch, "text"), batch.column("sha").to_pylist(), batch.column("spans").to_pylist()):
-            if t is None or not s:
-                removed.append(0)
-                runs.append(0)
-                sha.append(old if t is None else hashlib.sha256(t).hexdigest())
-                continue
-            gone = removed_mask(s, kind.window, len(t))
-            removed.append(int(gone.sum()))
-            runs.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-            sha.append(hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    out = map_rows(_join(texts, spans), fn, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.select(_id(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
-
-
-def repeated_words(df: DataFrame, kind: Kind = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_words, n_removed and kept_sha256: words inside a window that also starts anywhere else go."""
-    texts, spans = find_repeats(df, kind, every=True, id_col=id_col, text_col=text_col)
-
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, removed, sha = [], [], []
-        for t, s in zip(binary(batch, "text"), batch.column("spans").to_pylist()):
-            words = t.split()
-            kept = words
-            if s:
-                gone = removed_mask(s, kind.window, len(words))
-                kept = [w for w, g in zip(words, gone.tolist()) if not g]
-            counts.append(len(words))
-            removed.append(len(words) - len(kept))
-            sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["id", "n_words", "n_removed", "kept_sha256"])
-
-    out = map_rows(_join(texts, spans), fn, "id long, n_words long, n_removed long, kept_sha256 string")
-    return out.select(_id(id_col), "n_words", "n_removed", "kept_sha256")
+from .neardup import word_hashes
+from .repeats import NULL_ID, Scheme, find_repeats, gram_hashes
+
+WINDOW = 35
+_NONE = np.uint64((1 << 64) - 1)
+
+
+def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of each w consecutive values, by running minima over blocks from both sides."""
+    n = len(v) - w + 1
+    blocks = np.concatenate([v, np.full(-len(v) % w, _NONE)]).reshape(-1, w)
+    forward = np.minimum.accumulate(blocks, axis=1).reshape(-1)
+    backward = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return np.minimum(backward[:n], forward[w - 1 : w - 1 + n])
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each count, joined."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return starts[row] + np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
+
+
+class Blocks(Scheme):
+    names_per_byte = 1 / 6
+
+    def __init__(self, window: int = WINDOW):
+        self.window, self.block = window, (window + 1) // 2
+        self.reach = window - self.block + 1  # grams inside a window
+
+    def symbols(self, data, bounds):
+        words = [data[a:b].split() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        return word_hashes([w for ws in words for w in ws]), np.cumsum([0, *map(len, words)])
+
+    def names(self, symbols, bounds):
+        sizes = np.diff(bounds)
+        counts = np.where(sizes >= self.window, sizes - self.block + 1, 0)
+        pos = _ranges(bounds[:-1], counts)
+        tags = (_ranges(np.zeros(len(counts), np.int64), counts) % self.block == 0).astype(np.int64)
+        return pos, gram_hashes(self, symbols, pos, self.block), tags
+
+    def repeated(self, first, group, tags, total):
+        indexed = np.maximum.reduceat(tags, first) == 1
+        return (total[group] > 1) & indexed[group]
+
+    def runs(self, data, symbols, bounds, pos, hashes):
+        sizes = np.diff(bounds)
+        starts = _ranges(bounds[:-1], np.maximum(0, sizes - self.window + 1))
+        none = np.zeros(0, np.int64)
+        if not len(starts) or not len(pos):
+            return none, none, none, pa.array([], pa.binary())
+        low = np.uint64((1 << 24) - 1)
+        v = np.full(len(symbols), _NONE)
+        # The place stands in the low bits, so that of equal hashes the leftmost is least; one segment holds 2**24 places.
+        picked = np.full(len(starts), -1, np.int64)
+        v[pos] = (hashes & ~low) | (pos & int(low)).astype(np.uint64)
+        step = (1 << 24) - self.reach
+        for a in range(0, len(symbols), step):
+            lo, hi = np.searchsorted(starts, (a, a + step))
+            if lo < hi:
+                part = v[a : a + step + self.reach]
+                if a:
+                    held = part != _NONE
+                    part = np.where(held, (part & ~low) | np.arange(len(part), dtype=np.uint64), _NONE)
+                least = sliding_min(part, self.reach)[starts[lo:hi] - a]
+                picked[lo:hi] = np.where(least != _NONE, (least & low).astype(np.int64) + a, -1)
+        starts, picked = starts[picked >= 0], picked[picked >= 0]
+        if not len(starts):
+            return none, none, none, pa.array([], pa.binary())
+        first = np.flatnonzero((np.diff(picked, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
+        n = np.diff(np.append(first, len(starts)))
+        h = gram_hashes(self, symbols, starts, self.window).tobytes()
+        ends = np.append(first, len(starts)) * 8
+        load = pa.array([h[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
+        return np.searchsorted(pos, picked[first]), starts[first], n, load
+
+    def window_hashes(self, load, counts):
+        return np.frombuffer(load, np.uint64)
+
+
+def substring_dedup(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_words, n_removed and kept_sha256 of every row."""
+    nothing = hashlib.sha256(b"").hexdigest()
+
+    def measure(text: bytes, gone: np.ndarray | None, several: bool) -> tuple:
+        words = text.split()
+        if several and len(words) >= window:  # a copy elsewhere repeats every window
+            return len(words), len(words), nothing
+        kept = words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]
+        return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
+
+    columns = [("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string")]
+    rows, found = find_repeats(df, Blocks(window), True, measure, columns, id_col, text_col)
+    return rows.join(found, "digest").select(F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), "n_words", "n_removed", "kept_sha256")
