@@ -93,7 +93,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
 
 
 def _chunks(classes: DataFrame) -> DataFrame:
-    """Chunks of whole texts: their ids, whether a class has several ids, digests, bounds in bytes and the bytes."""
+    """Chunks of whole texts: their size, ids, whether a class has several ids, digests, bounds in bytes and the bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -105,8 +105,8 @@ def _chunks(classes: DataFrame) -> DataFrame:
         def chunk() -> pa.RecordBatch:
             ids, several, digests, texts = zip(*held)
             bounds = np.cumsum([0, *map(len, texts)])
-            blobs = [np.array(ids, np.int64).tobytes(), np.array(several, np.uint8).tobytes(), b"".join(digests), bounds.astype(np.int64).tobytes(), b"".join(texts)]
-            return pa.RecordBatch.from_arrays([_longs([number]), *(pa.array([b], pa.binary()) for b in blobs)], ["chunk", "ids", "several", "digests", "bounds", "data"])
+            blobs = [np.array(ids, np.int64).tobytes(), np.array(several, np.uint8).tobytes(), b"".join(digests), bounds.astype(np.int64).tobytes(), pa.compress(b"".join(texts), "zstd", asbytes=True)]
+            return pa.RecordBatch.from_arrays([_longs([number]), _longs([bounds[-1]]), *(pa.array([b], pa.binary()) for b in blobs)], ["chunk", "size", "ids", "several", "digests", "bounds", "data"])
 
         for batch in batches:
             ids, last = batch.column("id").to_pylist(), batch.column("last_id").to_pylist()
@@ -120,16 +120,20 @@ def _chunks(classes: DataFrame) -> DataFrame:
         if held:
             yield chunk()
 
-    return classes.mapInArrow(run, "chunk long, ids binary, several binary, digests binary, bounds binary, data binary")
+    return classes.mapInArrow(run, "chunk long, size long, ids binary, several binary, digests binary, bounds binary, data binary")
+
+
+def _text(row: dict) -> tuple[bytes, np.ndarray]:
+    """A chunk's bytes, and the bounds of its texts; they travel and rest compressed."""
+    bounds = np.frombuffer(row["bounds"], np.int64)
+    return pa.decompress(row["data"], int(bounds[-1]), "zstd", asbytes=True), bounds
 
 
 class _Chunk:
     def __init__(self, scheme: Scheme, row: dict):
-        self.data: bytes = row["data"]
+        self.data, self.byte_bounds = _text(row)
         self.number: int = row["chunk"]
-        self.byte_bounds = np.frombuffer(row["bounds"], np.int64)
         self.symbols, self.bounds = scheme.symbols(self.data, self.byte_bounds)
-        self.row = row
 
 
 class _Names:
@@ -307,7 +311,7 @@ def find_repeats(df: DataFrame, scheme: Scheme, every: bool, measure, columns: l
     rows, classes = _classes(df, id_col, text_col)
     chunks = stash(_chunks(classes), "chunks")
     release()
-    names = (chunks.agg(F.sum(F.octet_length("data"))).first()[0] or 0) * scheme.names_per_byte
+    names = (chunks.agg(F.sum("size")).first()[0] or 0) * scheme.names_per_byte
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(names / NAMES_PER_PART) + 1)
     width = min(7, max(4, (int(names).bit_length() + 10 + 7) // 8))
     marks = stash(_naming(chunks, scheme, width, parts), "marks")
@@ -328,7 +332,7 @@ def find_repeats(df: DataFrame, scheme: Scheme, every: bool, measure, columns: l
         out: list[tuple] = []
         if left.num_rows:
             row = left.to_pylist()[0]
-            data, bytes_at = row["data"], np.frombuffer(row["bounds"], np.int64)
+            data, bytes_at = _text(row)
             removed = bounds = None
             if right.num_rows:
                 symbols, bounds = scheme.symbols(data, bytes_at)
