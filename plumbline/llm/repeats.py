@@ -17,11 +17,12 @@ A place is (doc_id, text digest, start). Everything between steps is in the shar
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import binary, drop, mix, prefix_hash, powers, stash
@@ -294,11 +295,13 @@ def _resolve(runs: DataFrame, scheme: Scheme, every: bool) -> DataFrame:
 
 
 def release() -> None:
-    """Let Spark delete the shuffle files of finished jobs: it does so for collected objects only."""
-    from pyspark.sql import SparkSession
-
-    gc.collect()
-    SparkSession.getActiveSession()._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished jobs: it does so for collected objects only, and its scheduler holds on to the last job."""
+    spark = SparkSession.getActiveSession()
+    spark.range(1).count()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def find_repeats(df: DataFrame, scheme: Scheme, every: bool, measure, columns: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
