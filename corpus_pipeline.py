@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontam, langid, mixing, neardup, sharding
-from plumbline.llm.common import stash, table
+from plumbline.llm.common import fields, stash, table, whole_row
 from plumbline.llm.queries import MIX_SEED, N_SHARDS, SHARD_SLOTS, SOURCE_WEIGHTS
 
 MIN_LANG_SCORE = 0.5
@@ -21,20 +21,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a score of MIN_LANG_SCORE at least."""
     found = langid.identify(docs, langid.train(docs), whole_rows=True)
     known = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANG_SCORE))
-    return known.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return known.select(*fields("row", docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies."""
     groups = neardup.near_duplicates(docs, shingle=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("dedup_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["dedup_id"], "left_anti")
+    gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("id"))
+    return rows.join(gone, F.col("id") == F.col("gone_id"), "left_anti").select(*fields("row", docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no more than traces of the benchmark."""
     judged = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), whole_rows=True)
-    return judged.filter(~F.col("contaminated")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return judged.filter(~F.col("contaminated")).select(*fields("row", docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,8 +86,23 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
 _ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def ascii_lower(col: Column) -> Column:
-    return F.translate(col, _ASCII_UPPER, _ASCII_UPPER.lower())
+def col(name: str) -> Column:
+    """A column of a caller's table, whatever its name holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """A caller's row as one struct, so that its names cannot meet an operator's own."""
+    return F.struct(*[col(c) for c in df.columns])
+
+
+def fields(row: str, names: list[str]) -> list[Column]:
+    """Columns of a whole_row, taken out again."""
+    return [F.col(row).getField(c).alias(c) for c in names]
+
+
+def ascii_lower(text: Column) -> Column:
+    return F.translate(text, _ASCII_UPPER, _ASCII_UPPER.lower())
 
 
 WORD = r"[^\x20\x09-\x0D]+"

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, map_rows
+from .common import binary, col, map_rows, whole_row
 
 WINDOW = 13
 MAX_BLOCK_WORDS = 2_000_000
@@ -92,18 +92,18 @@ def union_length(spans: list[tuple[int, int]]) -> int:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, whole_rows: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_block_words: int = MAX_BLOCK_WORDS) -> DataFrame:
     """One row a document: id (with whole_rows its row, a struct), n_words, n_hit, n_items, items_sha256 and contaminated."""
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text"))
+    items = benchmark.select(F.coalesce(col(item_col).cast("string"), F.lit("")).alias("item"), col(item_text_col).alias("text"))
     total = items.agg(F.sum(F.length("text") / 2)).first()[0] or 0  # no more words than half the characters, rounded up
     blocks = max(1, int(-(-total // max_block_words)))
-    slim = docs.select(F.col(text_col).alias("text"))
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row") if whole_rows else F.struct(F.col(id_col)).alias("row")
+    slim = docs.select(col(text_col).alias("text"))
+    row = (whole_row(docs) if whole_rows else F.struct(col(id_col))).alias("row")
     row_type = docs.schema if whole_rows else T.StructType([docs.schema[id_col]])
     span = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
     head = T.StructField("row", row_type)
     state = T.StructType([head, T.StructField("text", T.StringType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType()))])
     final = T.StructType([head, *(T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")), T.StructField("items_sha256", T.StringType())])
     arrow_span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    out = docs.select(row, F.col(text_col).alias("text"))
+    out = docs.select(row, col(text_col).alias("text"))
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         block = [(r["item"], r["text"].encode()) for r in part.filter("text is not null").collect()]  # bounded by max_block_words

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, map_rows
+from .common import binary, col, map_rows, whole_row
 
 TRAIN_DOCS = 4000
 MAX_WORDS = 160_000
@@ -136,20 +136,20 @@ class Scorer:
 
 
 def key_crc(df: DataFrame, id_col: str):
-    return F.crc32(F.coalesce(df[id_col].cast("string"), F.lit("")))
+    return F.crc32(F.coalesce(col(id_col).cast("string"), F.lit("")))
 
 
 def train(df: DataFrame, folds: int = 5, train_docs: int = TRAIN_DOCS, max_words: int = MAX_WORDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from labelled documents outside fold 0."""
-    learn = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (key_crc(df, id_col) % folds != 0))
-    sizes = learn.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    learn = df.filter(col(lang_col).isNotNull() & col(text_col).isNotNull() & (key_crc(df, id_col) % folds != 0))
+    sizes = learn.groupBy(col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     if not sizes:
         return build([])
     rate = F.lit(0.0)
     for r in sizes:
-        rate = F.when(F.col(lang_col) == r["lang"], min(1.0, train_docs / r["count"])).otherwise(rate)
-    draw = F.pmod(F.xxhash64(F.coalesce(df[id_col].cast("string"), F.lit("")), F.lit("langid")), F.lit(1_000_000)) / 1e6
-    sample = learn.filter(draw < rate).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+        rate = F.when(col(lang_col) == r["lang"], min(1.0, train_docs / r["count"])).otherwise(rate)
+    draw = F.pmod(F.xxhash64(F.coalesce(col(id_col).cast("string"), F.lit("")), F.lit("langid")), F.lit(1_000_000)) / 1e6
+    sample = learn.filter(draw < rate).select(col(lang_col).alias("lang"), col(text_col).alias("text"))
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         n: Counter = Counter()
@@ -165,7 +165,7 @@ def train(df: DataFrame, folds: int = 5, train_docs: int = TRAIN_DOCS, max_words
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
     """id, lang_pred and score of every document, or with whole_rows its row (a struct) and these two; labels are not read."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    row = F.struct(*[F.col(c) for c in df.columns]) if whole_rows else F.struct(F.col(id_col))
+    row = whole_row(df) if whole_rows else F.struct(col(id_col))
     row_type = df.schema if whole_rows else T.StructType([df.schema[id_col]])
     schema = T.StructType([T.StructField("row", row_type), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     scorer: list[Scorer] = []
@@ -176,5 +176,5 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         out = [("und", 0.0) if t is None else scorer[0].predict(t.decode("utf-8", "replace")) for t in binary(batch, "text")]
         return pa.RecordBatch.from_arrays([batch.column("row"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], schema.names)
 
-    found = map_rows(df.select(row.alias("row"), F.col(text_col).alias("text")), fn, schema)
+    found = map_rows(df.select(row.alias("row"), col(text_col).alias("text")), fn, schema)
     return found if whole_rows else found.select(F.col("row").getField(id_col).alias(id_col), "lang_pred", "score")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, stash
+from .common import col, fields, stash, whole_row
 
 RATE_STEP = 16.0
 TERMS = 96  # beyond this many copies a rate of RATE_STEP has less than 1e-40 of its mass
@@ -32,7 +32,7 @@ def uniform(*parts: Column) -> Column:
 
 def rates(df: DataFrame, weights: dict[str, float], default_weight: float, target_rows: int | None, source_col: str) -> DataFrame:
     """mix_source, mix_steps and mix_cdf (the distribution of one part) of every source."""
-    counts = df.groupBy(F.col(source_col).alias("mix_source")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(col(source_col).alias("mix_source")).agg(F.count(F.lit(1)).alias("n"))
     w = F.lit(float(default_weight))
     for name, x in weights.items():
         w = F.when(F.col("mix_source") == name, float(x)).otherwise(w)
@@ -69,7 +69,6 @@ def mix_sources(
 ) -> DataFrame:
     """The rows of df, each as often as drawn, in random order; copy_col (if named) counts the copies from 0."""
     r = rates(df, weights or {}, default_weight, target_rows, source_col)
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     drawn = F.aggregate(
         F.sequence(F.lit(0), F.col("mix_steps") - 1),
         F.lit(0),
@@ -78,10 +77,10 @@ def mix_sources(
     # u of the first part is drawn once a row, outside the filter, since most sources have one part.
     one = F.size(F.filter("mix_cdf", lambda c: c < F.col("mix_u")))
     n = F.when(F.col("mix_steps") == 1, one).otherwise(drawn)
-    joined = df.join(r, df[source_col].eqNullSafe(r["mix_source"])).withColumn("mix_key", key)
+    rows = df.select(whole_row(df).alias("row"), col(source_col).alias("source"), F.coalesce(col(id_col).cast("string"), F.lit("")).alias("mix_key"))
+    joined = rows.join(r, F.col("source").eqNullSafe(F.col("mix_source")))
     joined = joined.withColumn("mix_u", uniform(F.lit(str(seed)), F.col("mix_key"), F.lit("0"))).withColumn("mix_n", n).filter("mix_n > 0")
     copies = joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)))
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), "mix_key", F.col("mix_copy").cast("string")))
     dealt = copies.withColumn("mix_order", order).repartition("mix_order").sortWithinPartitions("mix_order")
-    keep = [F.col(c) for c in df.columns if c != copy_col]
-    return dealt.select(*keep, *([F.col("mix_copy").cast("long").alias(copy_col)] if copy_col else []))
+    return dealt.select(*fields("row", [c for c in df.columns if c != copy_col]), *([F.col("mix_copy").cast("long").alias(copy_col)] if copy_col else []))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, drop, map_rows, mix, prefix_hash, stash, window_hash
+from .common import binary, col, drop, map_rows, mix, prefix_hash, stash, window_hash
 from .graph import components
 
 BANDS, ROWS = 32, 4
@@ -183,7 +183,7 @@ def _residual_pairs(left: DataFrame, docs: DataFrame, n: int, percent: int) -> D
 
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id and kept of every document."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = df.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     sketches = stash(_sketch(docs, shingle), "sketches")
     linked = sketches.filter("n > 0 and id is not null")
     classes = linked.groupBy("digest").agg(F.min("id").alias("rep"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, covered, map_rows, prefix_hash, window_hash, mix
+from .common import binary, col, covered, map_rows, mix, prefix_hash, window_hash
 
 
 @dataclass(frozen=True)
@@ -99,7 +99,7 @@ def quality(df: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "
         cols = list(zip(*flat)) if flat else [()] * len(longs)
         return pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in cols)], ["id", *longs])
 
-    m = map_rows(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), fn, schema)
+    m = map_rows(df.select(col(id_col).alias("id"), col(text_col).alias("text")), fn, schema)
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.window_percent * F.col("n_words"))
     bad = (F.col("n_dup_lines") > rules.line_share * F.col("n_lines")) | (F.col("dup_line_chars") > rules.line_chars * F.col("word_chars"))
     bad |= F.col("n_symbols") > rules.symbols_per_word * F.col("n_words")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary, drop, mix, prefix_hash, powers, stash
+from .common import binary, col, drop, mix, powers, prefix_hash, stash
 
 CHUNK_BYTES = 2_000_000
 HOT = 4000
@@ -88,8 +88,8 @@ def _longs(x) -> pa.Array:
 
 def _classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows (id, digest), and one row a different text with its least and greatest id."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+    text = F.coalesce(col(text_col), F.lit(""))
+    rows = df.select(F.coalesce(col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
     return rows.drop("text"), rows.groupBy("digest").agg(F.min("id").alias("id"), F.max("id").alias("last_id"), F.first("text").alias("text"))
 
 

@@ -15,6 +15,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import col, fields, whole_row
+
 MAX_SLOTS = 1_000_003
 
 
@@ -58,8 +60,8 @@ def assign_shards(df: DataFrame, n_shards: int = 32, slots: int = 4099, key_col:
     placed = df.sparkSession.range(1, numPartitions=1).select(F.posexplode(F.split(text, ",")).alias("shard_slot", "shard_no"))
     placed = placed.select(F.col("shard_slot").cast("long"), F.col("shard_no").cast("long"))
     rest = [c for c in df.columns if c != out_col]
-    keyed = df.withColumn("shard_key", slot_of(F.col(key_col), slots))
-    return keyed.join(F.broadcast(placed), F.col("shard_key") == F.col("shard_slot"), "left").select(*[keyed[c] for c in rest], F.col("shard_no").alias(out_col))
+    keyed = df.select(whole_row(df).alias("row"), slot_of(col(key_col), slots).alias("key_slot"))
+    return keyed.join(F.broadcast(placed), F.col("key_slot") == F.col("shard_slot"), "left").select(*fields("row", rest), F.col("shard_no").alias(out_col))
 
 
 def write_shards(df: DataFrame, path: str, **options) -> None:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, map_rows
+from .common import binary, col, map_rows
 
 HUGE_CHARS = 64_000
 CHUNK_CHARS = 32_000
@@ -154,5 +154,5 @@ def token_counts(df: DataFrame, tokenizer: str, limit: int = 512, id_col: str =
         n = counter(public_tokenizers.path(tokenizer)).count([t.decode("utf-8", "replace") for t in raw])
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(len, raw), pa.int64()), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
-    m = map_rows(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), fn, f"id {id_type}, n_bytes long, n_tokens long")
+    m = map_rows(df.select(col(id_col).alias("id"), col(text_col).alias("text")), fn, f"id {id_type}, n_bytes long, n_tokens long")
     return m.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

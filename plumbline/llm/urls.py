@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower
+from .common import ascii_lower, col, fields, whole_row
 
 BROADCAST_HOSTS = 100_000
 POINTS_PER_SALT = 20_000
@@ -60,8 +60,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url_
         .groupBy("host", "path")
         .agg(F.array_sort(F.collect_list(F.struct(F.length("outer_path").alias("n"), F.col("outer_path").alias("path"), F.col("outer_verdict").alias("verdict")))).alias("stack"))
     )
-    host, path = split_url(F.col(url_col))
-    named = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
+    host, path = split_url(col(url_col))
+    named = pages.select(whole_row(pages).alias("row"), host.alias("host"), path.alias("path"))
     urls = named.select("host", "path").distinct()
     labels = F.split("host", r"\.", -1)
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda d: F.array_join(F.slice(labels, F.size(labels) - d + 1, d), "."))
@@ -95,4 +95,5 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url_
         .groupBy("host", "path")
         .agg(F.max("hit").alias("hit"))
     )
-    return named.join(hits, ["host", "path"], "left").select(*[c for c in named.columns], F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
+    rest = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    return named.join(hits, ["host", "path"], "left").select(*fields("row", rest), "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
