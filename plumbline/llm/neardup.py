@@ -186,8 +186,9 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     docs = df.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     sketches = stash(_sketch(docs, shingle), "sketches")
     linked = sketches.filter("n > 0 and id is not null")
-    classes = linked.groupBy("digest").agg(F.min("id").alias("rep"))
-    members = stash(linked.join(classes, "digest").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
+    # Written first, else the join below would stay in the aggregate's partitions, where a hot digest cannot be split.
+    classes = stash(linked.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+    members = stash(linked.join(classes.hint("merge"), "digest").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
     cells = members.filter("bands is not null").select("rep", "n", F.explode("bands").alias("cell"))
     several = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b")
     held = stash(cells.join(several.select("cell", "m").hint("merge"), "cell"), "cells")
