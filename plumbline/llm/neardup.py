@@ -191,10 +191,13 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     members = stash(linked.join(classes.hint("merge"), "digest").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
     cells = members.filter("bands is not null").select("rep", "n", F.explode("bands").alias("cell"))
     several = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b")
-    held = stash(cells.join(several.select("cell", "m").hint("merge"), "cell"), "cells")
+    # So are these, for hot buckets; and the joins are merge joins, whose hot keys Spark splits.
+    several = stash(several.select("cell", "m"), "several")
+    held = stash(cells.join(several.hint("merge"), "cell"), "cells")
+    drop(several)
     # The member that meets most others over all its buckets is the most central; stars around it miss least.
     meets = held.groupBy("rep").agg(F.sum("m").alias("meets"))
-    centres = held.join(meets, "rep").groupBy("cell").agg(F.max(F.struct("meets", (-F.col("rep")).alias("x"), "n")).alias("c"))
+    centres = stash(held.join(meets, "rep").groupBy("cell").agg(F.max(F.struct("meets", (-F.col("rep")).alias("x"), "n")).alias("c")), "centres")
     sized = 100 * F.least("n", "nc") >= percent * F.greatest("n", "nc")
     spokes = held.join(centres.select("cell", (-F.col("c.x")).alias("centre"), F.col("c.n").alias("nc")).hint("merge"), "cell")
     star = spokes.filter((F.col("rep") != F.col("centre")) & sized).select(F.least("centre", "rep").alias("u"), F.greatest("centre", "rep").alias("v")).distinct()
@@ -203,7 +206,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     # Buckets of three or more that still hold several components: links between members other than the centre may be missing.
     rest = held.filter("m > 2").join(comps, F.col("rep") == F.col("node"), "left").select("cell", "rep", F.coalesce("component", "rep").alias("component"))
     several = rest.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("cell")
-    # A merge join, since Spark splits its hot keys: a bucket may hold a third of all classes.
+    several = stash(several, "several")
     left = stash(rest.join(several.hint("merge"), "cell").select("rep", "component").distinct(), "residual")
     if not left.isEmpty():
         more = stash(_confirm(_residual_pairs(left, docs, shingle, percent), docs, shingle, percent), "links")
