@@ -182,3 +182,10 @@ def relevant_terms(units: DataFrame, terms: DataFrame) -> DataFrame:
     held = terms.agg(F.collect_list(F.struct("term", "target")).alias("all"))
     hit = F.filter("all", lambda t: term_present(F.col("source"), t["term"]))
     return units.join(F.broadcast(held)).select("doc_id", F.explode(hit).alias("t")).select("doc_id", "t.term", "t.target").distinct()
+
+
+def last_wins(items: DataFrame, key: str) -> DataFrame:
+    """Repeats of a key collapse: the last item stands, at the place (ord) of the first."""
+    kept = items.groupBy("doc_id", key).agg(F.min("ord").alias("first_ord"), F.max_by("id", "ord").alias("id"))
+    place = Window.partitionBy("doc_id").orderBy("first_ord")
+    return kept.select("doc_id", F.row_number().over(place).cast("long").alias("ord"), "id", key)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import scanner
 from ..functions import text as tx
 from ..operators import cache, gate, images, leaks, markdown, packing, regions, units
+from ..schemas import KINDS, UNIT_ID
+from ..sources import files, sinks
 from ..streaming import flow
 from . import views as v
 
@@ -637,3 +639,119 @@ def flow_outcomes(spark, sf_dir):
     both = F.explode(F.array(F.struct(F.lit(1).cast("long").alias("seq"), F.lit("start").alias("kind")), F.struct(F.lit(2).cast("long").alias("seq"), F.lit("next").alias("kind"))))
     events = payload.select(F.col("doc_id").cast("string").alias("doc_id"), both.alias("e"), "payload").select("doc_id", "e.seq", "e.kind", F.lit(None).cast("string").alias("request_id"), F.when(F.col("e.kind") == "start", F.col("payload")).alias("payload"))
     return flow.run_batch(events).select("doc_id", "seq", "outcome", "phase", "detail")
+
+
+# ---- Sources, sinks and workflow checks
+
+
+def _patched(before: str, patch: str, marker: str) -> str:
+    text = patch.replace("'", "''")
+    out = f"case when instr(html, '{before}') > 0 and not contains(html, '{marker}') then substr(html, 1, instr(html, '{before}') - 1) || '{text}' || substr(html, instr(html, '{before}')) else html end"
+    return f"select page_id, {out} <> html as changed, sha256({out}) as sha from pages"
+
+
+@query(_patched("</style>", sinks.OVERLAP_CSS, "plumbline:tags"))
+def overlap_patch(spark, sf_dir):
+    return sinks.patch_overlap(_t(spark, sf_dir, "pages"), "html").select("page_id", "changed", F.sha2("html", 256).alias("sha"))
+
+
+@query(_patched("</body>", sinks.WIDE_JS, "plumbline:wide"))
+def wide_patch(spark, sf_dir):
+    return sinks.patch_wide(_t(spark, sf_dir, "pages"), "html").select("page_id", "changed", F.sha2("html", 256).alias("sha"))
+
+
+@query(
+    r"""select doc_id, sha256(case when doc_id % 7 = 0 then md else replace(md, '(assets/fig' || (doc_id % 50) || '.png)', '(data:image/png;base64,' || base64(encode('fig' || (doc_id % 50) || '.png')) || ')') end) as sha,
+  array_to_string(list_sort(list_filter(['assets/fig' || (doc_id % 50 + 1) || '.png', case when doc_id % 7 = 0 then 'assets/fig' || (doc_id % 50) || '.png' end], lambda x: x is not null)), ',') as missing from d_md""",
+    d_md=v.MD,
+)
+def self_contained_markdown(spark, sf_dir):
+    held = v.spark_view(spark, sf_dir, v.ASSETS).filter(F.col("name") == F.concat(F.lit("fig"), (F.col("doc_id") % 50).cast("string"), F.lit(".png")))
+    held = held.select("doc_id", F.concat(F.lit("assets/"), "name").alias("name"), F.encode("name", "utf-8").alias("content"))
+    return sinks.self_contained(v.spark_view(spark, sf_dir, v.MD), held, "doc_id", "md").select("doc_id", F.sha2("md", 256).alias("sha"), "missing")
+
+
+@query(
+    """select key, path as src, dir || '/' || name as dst, 'overwrite' as action from j where ends_with(lower(name), '.html')
+union all select distinct key, path, dir || '/' || regexp_extract(path, '[^/]+$'), 'copy' from j where key not in (select key from j where ends_with(lower(name), '.html'))""",
+    d_files=v.FILES,
+    d_targets=v.TARGETS,
+    j="select upper(f.key) as key, path, dir, name from d_files f join d_targets t on upper(f.key) = upper(t.key) where regexp_full_match(f.key, '[A-Za-z0-9]{8}')",
+)
+def overwrite_plan(spark, sf_dir):
+    return sinks.overwrite_plan(v.spark_view(spark, sf_dir, v.FILES).drop("doc_id"), v.spark_view(spark, sf_dir, v.TARGETS))
+
+
+@query("select doc_id, sha256(string_agg(text, chr(10) || chr(10) order by ord) || chr(10)) as sha from d_translations where doc_id in (select doc_id from d_states where phase = 'text_reviewed') group by doc_id", d_translations=v.TRANSLATIONS, d_states=v.STATES)
+def exported_markdown(spark, sf_dir):
+    out = sinks.export_tables(v.spark_view(spark, sf_dir, v.STATES), *_v(spark, sf_dir, "d_translations"))
+    return out.select("doc_id", F.sha2("markdown", 256).alias("sha"))
+
+
+@query(
+    r"select doc_id, page, num, col, y0 from (select *, cast(regexp_extract(string_split(text, chr(10))[1], '^Fig(?:ure)?\.?\s*([0-9]+)\s*[.:]', 1) as int) as num, case when x0 < 300 then 'L' else 'R' end as col from (select * from d_blocks where regexp_matches(string_split(text, chr(10))[1], '^Fig(?:ure)?\.?\s*([0-9]+)\s*[.:]') and len(string_split(text, chr(10))) <= 6))",
+    d_blocks=v.BLOCKS,
+)
+def caption_blocks(spark, sf_dir):
+    return files.captions(v.spark_view(spark, sf_dir, v.BLOCKS)).select("doc_id", "page", "num", "col", "y0")
+
+
+@query(
+    r"""select doc_id, page, 'eq' as kind, cast(regexp_extract(text, '^\(([0-9]{1,3})\)$', 1) as int) as num, x0, y0, x1, y1 from d_words where regexp_matches(text, '^\([0-9]{1,3}\)$') and x0 > 0.42::double * width
+union all select doc_id, page, kind, cast(regexp_extract(text, '[0-9]+') as int), x0, y0, x1, y1 from (select *, case when regexp_matches(text, '(?i)^\s*Table\s*[0-9]+') then 'tab' when regexp_matches(text, '(?i)^\s*Fig(?:ure)?\.?\s*[0-9]+') then 'fig' end as kind from d_blocks) where kind is not null""",
+    d_words=v.PDF_WORDS,
+    d_blocks=v.BLOCKS,
+)
+def pdf_anchors(spark, sf_dir):
+    return files.anchors(v.spark_view(spark, sf_dir, v.PDF_WORDS), v.spark_view(spark, sf_dir, v.BLOCKS))
+
+
+@query("select q.doc_id, q.unit_id, q.quote from d_quotes q left join d_units u on u.doc_id = q.doc_id and u.id = q.unit_id where u.id is null or not contains(u.source, q.quote) or trim(q.quote) = ''", d_quotes=v.QUOTES, d_units=v.UNITS)
+def unsupported_quotes(spark, sf_dir):
+    return units.unquoted(v.spark_view(spark, sf_dir, v.QUOTES), *_v(spark, sf_dir, "d_units"))
+
+
+@query("select doc_id, row_number() over (partition by doc_id order by first_ord) as ord, id, kind from (select doc_id, kind, min(ord) as first_ord, max_by(id, ord) as id from d_units group by doc_id, kind)", d_units=v.UNITS)
+def last_of_kind(spark, sf_dir):
+    return units.last_wins(v.spark_view(spark, sf_dir, v.UNITS), "kind")
+
+
+_PERSONAL = [("the", "der"), ("et", "und"), ("rose", "stieg"), ("nowhere", "nirgends")]
+_personal_sql = " union all ".join(rf"select distinct doc_id, '{a}' as term, '{b}' as target from d_units where regexp_matches(source, '(?i)(^|[^\p{{L}}\p{{N}}_]){a}($|[^\p{{L}}\p{{N}}_])')" for a, b in _PERSONAL)
+
+
+@query(_personal_sql, d_units=v.UNITS)
+def personal_terms(spark, sf_dir):
+    return units.relevant_terms(*_v(spark, sf_dir, "d_units"), spark.createDataFrame(_PERSONAL, "term string, target string"))
+
+
+@query(
+    """select doc_id, id, rule from (select doc_id, id, unnest(list_filter([case when not regexp_matches(id, '""" + UNIT_ID + """') then 'unit_id' end, case when kind not in ("""
+    + ", ".join(f"'{k}'" for k in KINDS)
+    + """) then 'kind' end, case when trim(source) = '' then 'blank_source' end, case when page <= 0 then 'page' end], lambda x: x is not null)) as rule from d_bad)
+union all select doc_id, id, 'duplicate_id' from d_bad group by doc_id, id having count(*) > 1""",
+    d_bad=v.BAD_UNITS,
+)
+def invalid_units(spark, sf_dir):
+    return units.unit_violations(v.spark_view(spark, sf_dir, v.BAD_UNITS))
+
+
+_LEGAL = ", ".join(f"('{a}', '{b}')" for a, following in flow.PROCESSING.items() for b in following)
+
+
+@query(f"select doc_id, seq, before, status from (select *, lag(status) over (partition by doc_id order by seq) as before from d_history) where before is not null and (before, status) not in ({_LEGAL})", d_history=v.HISTORY)
+def illegal_steps(spark, sf_dir):
+    return flow.illegal_transitions(v.spark_view(spark, sf_dir, v.HISTORY))
+
+
+@query("select r.path, r.sha256, n.sha256 as now from d_inputs r left join d_now n on n.path = r.path where n.sha256 is distinct from r.sha256", d_inputs=v.INPUTS, d_now=v.INPUTS_NOW)
+def changed_inputs(spark, sf_dir):
+    return cache.changed_inputs(v.spark_view(spark, sf_dir, v.INPUTS), v.spark_view(spark, sf_dir, v.INPUTS_NOW))
+
+
+@query(
+    """select page_id, array_to_string(bad, ',') as problems, len(bad) = 0 as ok from (select page_id, list_filter([case when "overlaps" <> 0 then 'overlaps' end, case when broken <> 0 then 'broken' end, case when nonEmbedded <> 0 then 'nonEmbedded' end, case when leftoverDollar <> 0 then 'leftoverDollar' end], lambda x: x is not null) as bad from d_stats)""",
+    d_stats=v.STATS,
+)
+def probe_verdicts(spark, sf_dir):
+    return files.judge(v.spark_view(spark, sf_dir, v.STATS), "page_id")
