@@ -6,8 +6,8 @@ the places standing for the word. The score is the posterior of the best languag
 held to EVIDENCE words so that it stays a graded number.
 
 Training takes at most about train_docs documents a language (each is taken by a hash of its id at the rate train_docs / count), whole texts.
-Of what they hold, the max_words most frequent (language, word) pairs make the model; n-grams come from these.
-Both bounds are parameters, so the broadcast model is bounded too.
+Of what they hold, the most frequent (language, word) pairs make the model: all down to the least count that
+gives max_words at most. N-grams come from these. Both bounds are parameters, so the broadcast model is bounded too.
 
 Cases: a null text, or one without a letter, is "und" with score 0; so is every text where nothing could be
 learned; a null id hashes as an empty text; repeated rows agree; an empty table gives an empty table.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, col, map_rows, whole_row
+from .common import binary, col, drop, map_rows, stash, whole_row
 
 TRAIN_DOCS = 4000
 MAX_WORDS = 160_000
@@ -49,14 +50,17 @@ class Model:
     gram_logs: np.ndarray
 
 
-def _logs(counts: dict[str, dict[int, float]], n_langs: int) -> tuple[dict[str, int], np.ndarray]:
-    table = np.zeros((len(counts), n_langs))
-    index = {}
-    for row, (token, by) in enumerate(counts.items()):
-        index[token] = row
-        for lang, n in by.items():
-            table[row, lang] = n
-    total = table.sum(axis=0) + 0.5 * max(1, len(counts))
+def _logs(counts: Iterable[dict[str, int]], n_langs: int) -> tuple[dict[str, int], np.ndarray]:
+    """From one language's counts after another: token -> row, and the logarithms of the smoothed shares."""
+    index: dict[str, int] = {}
+    held = []
+    for own in counts:
+        rows = np.fromiter((index.setdefault(token, len(index)) for token in own), np.int64, len(own))
+        held.append((rows, np.fromiter(own.values(), np.float64, len(own))))
+    table = np.zeros((len(index), n_langs))
+    for lang, (rows, n) in enumerate(held):
+        table[rows, lang] = n
+    total = table.sum(axis=0) + 0.5 * max(1, len(index))
     return index, np.log((table + 0.5) / total)
 
 
@@ -65,25 +69,30 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[k : k + n] for k in range(len(padded) - n + 1)]
 
 
-def build(rows: list[tuple[str, str, int]]) -> Model:
+def build(rows: Iterable[tuple[str, str, int]]) -> Model:
     """From (lang, word, count) rows."""
-    langs = sorted({r[0] for r in rows})
-    at = {lang: k for k, lang in enumerate(langs)}
-    words: dict[str, dict[int, float]] = defaultdict(dict)
-    by_length: list[dict[str, dict[int, float]]] = [defaultdict(lambda: defaultdict(float)) for _ in range(LONGEST)]
+    by: dict[str, dict[str, int]] = defaultdict(dict)
     for lang, word, n in rows:
-        words[word][at[lang]] = n
-        for size in range(1, LONGEST + 1):
-            for g in grams_of(word, size):
-                by_length[size - 1][g][at[lang]] += n
-    index, logs = _logs(words, len(langs))
+        by[lang][word] = n
+    langs = sorted(by)
+
+    def gram_counts(size: int) -> Iterator[Counter]:
+        for lang in langs:
+            own: Counter = Counter()
+            for word, n in by[lang].items():
+                for g in grams_of(word, size):
+                    own[g] += n
+            yield own
+
+    index, logs = _logs((by[lang] for lang in langs), len(langs))
     grams: dict[str, int] = {}
     tables = []
-    for counts in by_length:  # each length is a distribution of its own
-        own, table = _logs(counts, len(langs))
-        grams |= {g: row + len(grams) for g, row in own.items()} if not grams else {g: row + sum(map(len, tables)) for g, row in own.items()}
+    for size in range(1, LONGEST + 1):  # each length is a distribution of its own
+        own, table = _logs(gram_counts(size), len(langs))
+        before = sum(map(len, tables))
+        grams |= {g: row + before for g, row in own.items()}
         tables.append(table)
-    return Model(langs, index, logs, grams, np.concatenate(tables) if langs else np.zeros((0, 0)))
+    return Model(langs, index, logs, grams, np.concatenate(tables))
 
 
 class Scorer:
@@ -157,9 +166,17 @@ def train(df: DataFrame, folds: int = 5, train_docs: int = TRAIN_DOCS, max_words
             n.update((lang, w) for w in words_of(text.decode("utf-8", "replace")))
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["lang", "word", "n"])
 
-    counts = map_rows(sample, fn, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "lang", "word").limit(max_words).collect()
-    return build([(r["lang"], r["word"], r["n"]) for r in rows])
+    counts = stash(map_rows(sample, fn, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
+    # The least count to keep: with all pairs of that count or more there are max_words at most.
+    held, least = 0, 0
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).collect():  # as many rows as there are different counts
+        held += r["count"]
+        if held > max_words:
+            least = r["n"] + 1
+            break
+    kept = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "lang", "word").toArrow()
+    drop(counts)
+    return build(zip(*(kept.column(c).to_pylist() for c in ("lang", "word", "n"))))
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
