@@ -52,6 +52,14 @@ def same_bytes(images: DataFrame, id_col: str) -> DataFrame:
     return images.filter("sha is not null").groupBy(id_col, "sha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def findings(images: DataFrame, id_col: str) -> DataFrame:
+    """subject_id, rule, severity of the blocking image rules; an image without a source counts for none."""
+    held = images.filter("src <> ''")
+    rules = {"non_embedded_images": not_embedded(held, id_col), "broken_images": broken(held, id_col), "dup_image_bytes": duplicate_bytes(held, id_col)}
+    out = [found.select(F.col(id_col).alias("subject_id"), F.lit(name).alias("rule"), F.lit("error").alias("severity")) for name, found in rules.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def duplicate_sizes(images: DataFrame, id_col: str) -> DataFrame:
     """PNGs alike in dimensions and length."""
     return images.filter("kind = 'png'").groupBy(id_col, "w", "h", "nbytes").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

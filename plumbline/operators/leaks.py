@@ -47,6 +47,16 @@ def without_blocks(html_col: str):
     return F.regexp_replace(out, r"(?i)<style\b[^>]*>[\s\S]*?</style\s*>", "")
 
 
+def reference_findings(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """subject_id, rule, severity of each formula that failed to render and each resource outside the page."""
+    shown = F.regexp_replace(F.regexp_replace(html_col, r"(?s)<style.*?</style>", ""), r"(?s)<script.*?</script>", "")
+    linked = F.filter(matches(html_col, r'<(?:script|link)[^>]*?(?:src|href)="([^"]*)"', 1), lambda x: x.startswith("http") | x.startswith("//"))
+    hits = {"katex_errors": matches(shown, HTML_RULES["katex_errors"][0]), "external_refs": F.concat(linked, matches(html_col, HTML_RULES["external_css"][0]))}
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), found.alias("found")) for name, found in hits.items()]))
+    rows = df.select(F.col(id_col).alias("subject_id"), each.alias("h")).select("subject_id", "h.rule", F.explode("h.found"))
+    return rows.select("subject_id", "rule", F.lit("error").alias("severity"))
+
+
 def verdicts(subjects: DataFrame, findings: DataFrame, id_col: str) -> DataFrame:
     """ok, and how many blocking findings, for every subject."""
     bad = findings.filter("severity = 'error'").groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_blocking"))

@@ -161,13 +161,13 @@ _TEXT_ORACLE = " union all ".join(
 
 @query(_TEXT_ORACLE, d_md=v.MD)
 def text_leaks(spark, sf_dir):
-    return leaks.regex_findings(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md", {k: r for k, r in leaks.TEXT_RULES.items() if k != "md_italic"})
+    return leaks.regex_findings(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md", leaks.TEXT_RULES)
 
 
 @query(f"select d.doc_id, cast(count(f.rule) as bigint) as n_blocking, count(f.rule) = 0 as ok from d_md d left join ({_TEXT_ORACLE}) f on f.subject_id = d.doc_id group by d.doc_id", d_md=v.MD)
 def leak_verdicts(spark, sf_dir):
     md = v.spark_view(spark, sf_dir, v.MD)
-    found = leaks.regex_findings(md, "doc_id", "md", {k: r for k, r in leaks.TEXT_RULES.items() if k != "md_italic"})
+    found = leaks.regex_findings(md, "doc_id", "md", leaks.TEXT_RULES)
     return leaks.verdicts(md, found, "doc_id")
 
 
@@ -614,6 +614,15 @@ def page_audit(spark, sf_dir):
     return scanner.page_findings(v.spark_view(spark, sf_dir, v.HTML), "page_id", "html")
 
 
+@query()
+def page_verdicts(spark, sf_dir):
+    """Whether a page has no blocking finding of any rule, structural or of its images."""
+    pages = v.spark_view(spark, sf_dir, v.HTML)
+    found = scanner.page_findings(pages, "page_id", "html").select(F.col("page_id").alias("subject_id"), "severity")
+    found = found.unionByName(leaks.reference_findings(pages, "page_id", "html").select("subject_id", "severity"))
+    return leaks.verdicts(pages, found.unionByName(images.findings(images.extract(pages, "page_id", "html"), "page_id").select("subject_id", "severity")), "page_id")
+
+
 @query()
 def exact_batches(spark, sf_dir):
     u = units.split_units(_t(spark, sf_dir, "documents"), "doc_id", "text")
