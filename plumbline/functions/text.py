@@ -102,7 +102,7 @@ def le_short(data: Column, at: int) -> Column:
 
 
 def image_header(data: Column) -> Column:
-    """kind, w and h of PNG and GIF bytes; '?' with 0 x 0 for anything else (JPEG: functions.scanner.jpeg_size)."""
+    """kind, w and h of PNG and GIF bytes; '?' with 0 x 0 for anything else (JPEG: functions.scanner.jpeg_dims)."""
     png = F.hex(F.substring(data, 1, 8)) == "89504E470D0A1A0A"
     gif = F.hex(F.substring(data, 1, 3)) == "474946"
     big = F.octet_length(data) >= 24

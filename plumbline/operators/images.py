@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scanner import jpeg_dims
 from ..functions.text import data_uri_bytes, image_header, matches
 
 
@@ -26,7 +27,10 @@ def extract(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     tags = df.select(id_col, F.posexplode(matches(page_body(html_col), r"<img\b[^>]*?>")).alias("idx", "tag"))
     attrs = tags.select(id_col, F.col("idx").cast("long").alias("idx"), attribute(F.col("tag"), "src").alias("src"), attribute(F.col("tag"), "alt").alias("alt"))
     held = attrs.withColumn("data", F.when(F.startswith("src", F.lit("data:image")), data_uri_bytes(F.col("src"))))
-    dims = held.withColumn("dims", image_header(F.col("data")))
+    # Only JPEG payloads go to Python, whose frame header stands behind other segments.
+    jpeg = F.hex(F.substring("data", 1, 2)) == "FFD8"
+    walked = held.withColumn("jpeg", jpeg_dims(F.when(jpeg, F.col("data"))))
+    dims = walked.withColumn("dims", F.when(jpeg, F.struct(F.lit("jpeg").alias("kind"), F.col("jpeg.w").alias("w"), F.col("jpeg.h").alias("h"))).otherwise(image_header(F.col("data"))))
     return dims.select(
         id_col, "idx", "src", "alt", F.sha2("data", 256).alias("sha"), F.octet_length("data").cast("long").alias("nbytes"),
         F.when(F.col("data").isNotNull(), F.col("dims.kind")).alias("kind"), F.when(F.col("data").isNotNull(), F.col("dims.w")).alias("w"), F.when(F.col("data").isNotNull(), F.col("dims.h")).alias("h"),
