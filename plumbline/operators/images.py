@@ -82,7 +82,7 @@ def narrow(images: DataFrame, id_col: str, min_width: int = 200) -> DataFrame:
 
 
 def identity(images: DataFrame, id_col: str) -> DataFrame:
-    """Kind and number an image claims by its label: equation, table, then figure forms."""
+    """Kind and number an image claims by its label alone: equation, table, then figure forms (with captions: scanner.image_identities)."""
     number = lambda p: F.regexp_extract("alt", p, 1).try_cast("long")
     forms = [("eq", r"(?i)(?:公式|\beq(?:uation)?\.?)\s*\(?([0-9]+)"), ("tab", r"(?i)(?:表|\btab(?:le)?\.?)\s*([0-9]+)"), ("fig", r"(?i)(?:图|\bfig(?:ure)?\.?)\s*([0-9]+)"), ("fig", r"(?i)fig_?([0-9]+)\.")]
     said = F.coalesce(*[F.when(F.regexp_like("alt", F.lit(p)), F.struct(F.lit(k).alias("kind"), number(p).alias("num"))) for k, p in forms])

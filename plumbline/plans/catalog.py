@@ -609,6 +609,12 @@ def image_contexts(spark, sf_dir):
     return scanner.image_contexts(v.spark_view(spark, sf_dir, v.HTML), "page_id", "html")
 
 
+@query()
+def declared_identity(spark, sf_dir):
+    """What each image claims to be by its label or the captions around it; image_identity reads the label alone."""
+    return scanner.image_identities(v.spark_view(spark, sf_dir, v.HTML), "page_id", "html")
+
+
 @query()
 def page_audit(spark, sf_dir):
     return scanner.page_findings(v.spark_view(spark, sf_dir, v.HTML), "page_id", "html")
