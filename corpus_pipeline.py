@@ -14,13 +14,14 @@ from plumbline.llm.common import fields, stash, table, whole_row
 from plumbline.llm.queries import MIX_SEED, N_SHARDS, SHARD_SLOTS, SOURCE_WEIGHTS
 
 MIN_LANG_SCORE = 0.5
+MIN_KNOWN = 0.3
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with a score of MIN_LANG_SCORE at least."""
+    """Documents whose language is told with a score of MIN_LANG_SCORE at least and knows MIN_KNOWN of their words."""
     found = langid.identify(docs, langid.train(docs), whole_rows=True)
-    known = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANG_SCORE))
+    known = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANG_SCORE) & (F.col("known") >= MIN_KNOWN))
     return known.select(*fields("row", docs.columns))
 
 

@@ -3,7 +3,8 @@
 A known word adds its log frequency in each language. An unseen word is read through its character n-grams,
 padded at both ends: at every place the longest n-gram that is known (4 characters down to 1), with the mean over
 the places standing for the word. The score is the posterior of the best language, with the evidence of a long text
-held to EVIDENCE words so that it stays a graded number.
+held to EVIDENCE words so that it stays a graded number. It compares the learned languages only; how much of a text
+its language knows is the share named known.
 
 Training takes at most about train_docs documents a language (each is taken by a hash of its id at the rate train_docs / count), whole texts.
 Of what they hold, the most frequent (language, word) pairs make the model: all down to the least count that
@@ -32,6 +33,7 @@ TRAIN_DOCS = 4000
 MAX_WORDS = 160_000
 MAX_LANGS = 500
 EVIDENCE = 25
+KNOWN_PRIOR = 2  # a text of a few unseen words tells little
 LONGEST = 4
 MEMO = 300_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -48,6 +50,7 @@ class Model:
     word_logs: np.ndarray
     grams: dict[str, int]
     gram_logs: np.ndarray
+    floor: np.ndarray  # by language, the logarithm that a word has where it was not learned
 
 
 def _logs(counts: Iterable[dict[str, int]], n_langs: int) -> tuple[dict[str, int], np.ndarray]:
@@ -92,7 +95,8 @@ def build(rows: Iterable[tuple[str, str, int]]) -> Model:
         before = sum(map(len, tables))
         grams |= {g: row + before for g, row in own.items()}
         tables.append(table)
-    return Model(langs, index, logs, grams, np.concatenate(tables))
+    floor = np.log(0.5 / np.array([sum(by[lang].values()) + 0.5 * max(1, len(index)) for lang in langs]))
+    return Model(langs, index, logs, grams, np.concatenate(tables), floor)
 
 
 class Scorer:
@@ -120,9 +124,13 @@ class Scorer:
         return self.m.gram_logs[found].mean(axis=0)
 
     def predict(self, text: str) -> tuple[str, float]:
+        return self.judge(text)[:2]
+
+    def judge(self, text: str) -> tuple[str, float, float]:
+        """Language, score, and the share of the words that were learned in this language (as if KNOWN_PRIOR more were)."""
         words = words_of(text)
         if not words or not self.m.langs:
-            return "und", 0.0
+            return "und", 0.0, 0.0
         if self.used + len(words) > len(self.logs):
             self._fresh()
         rows, picked, extra = self.rows, [], []
@@ -141,7 +149,10 @@ class Scorer:
         z = total * (min(len(words), EVIDENCE) / len(words))
         e = np.exp(z - z.max())
         best = int(z.argmax())
-        return self.m.langs[best], float(e[best] / e.sum())
+        held = np.array(picked, np.int64)
+        held = held[held < len(self.m.words)]
+        known = int((self.m.word_logs[held, best] > self.m.floor[best] + 0.1).sum()) if len(held) else 0
+        return self.m.langs[best], float(e[best] / e.sum()), (known + KNOWN_PRIOR) / (len(words) + KNOWN_PRIOR)
 
 
 def key_crc(df: DataFrame, id_col: str):
@@ -180,18 +191,18 @@ def train(df: DataFrame, folds: int = 5, train_docs: int = TRAIN_DOCS, max_words
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
-    """id, lang_pred and score of every document, or with whole_rows its row (a struct) and these two; labels are not read."""
+    """id, lang_pred and score of every document, or with whole_rows its row (a struct), these two and known; labels are not read."""
     sent = df.sparkSession.sparkContext.broadcast(model)
     row = whole_row(df) if whole_rows else F.struct(col(id_col))
     row_type = df.schema if whole_rows else T.StructType([df.schema[id_col]])
-    schema = T.StructType([T.StructField("row", row_type), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField("row", row_type), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType())])
     scorer: list[Scorer] = []
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not scorer:
             scorer.append(Scorer(sent.value))
-        out = [("und", 0.0) if t is None else scorer[0].predict(t.decode("utf-8", "replace")) for t in binary(batch, "text")]
-        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], schema.names)
+        out = [("und", 0.0, 0.0) if t is None else scorer[0].judge(t.decode("utf-8", "replace")) for t in binary(batch, "text")]
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array([o[0] for o in out], pa.string()), *(pa.array([o[k] for o in out], pa.float64()) for k in (1, 2))], schema.names)
 
     found = map_rows(df.select(row.alias("row"), col(text_col).alias("text")), fn, schema)
     return found if whole_rows else found.select(F.col("row").getField(id_col).alias(id_col), "lang_pred", "score")
