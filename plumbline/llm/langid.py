@@ -6,12 +6,15 @@ the places standing for the word. The score is the posterior of the best languag
 held to EVIDENCE words so that it stays a graded number. It compares the learned languages only; how much of a text
 its language knows is the share named known.
 
-Training takes at most about train_docs documents a language (each is taken by a hash of its id at the rate train_docs / count), whole texts.
-Of what they hold, the most frequent (language, word) pairs make the model: all down to the least count that
-gives max_words at most. N-grams come from these. Both bounds are parameters, so the broadcast model is bounded too.
-
-Cases: a null text, or one without a letter, is "und" with score 0; so is every text where nothing could be
-learned; a null id hashes as an empty text; repeated rows agree; an empty table gives an empty table.
+Training takes a bounded sample of whole labelled documents of each language: each is taken by a hash of its id, at
+the rate min(1, train_docs / documents, train_chars / characters), and the one with the least hash always is, so that no
+language is lost. All words of the sample and all n-grams of these words make the model; nothing is cut from it. Its size is bounded
+by the sample, languages times train_chars, so it can be broadcast.
+
+Cases: a null text, or one without a letter (str.isalpha), is "und" with score 0; so is every text where nothing could be
+learned; of languages with equal scores the first by name wins; a null id hashes as an empty text; repeated rows agree; a very
+long text is read whole, its words beyond the memo one by one; an empty table gives an empty table; other columns pass by, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,20 +30,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, col, drop, map_rows, stash, whole_row
+from .common import binary, col, map_rows, stash, whole_row
 
 TRAIN_DOCS = 4000
-MAX_WORDS = 160_000
-MAX_LANGS = 500
+TRAIN_CHARS = 6_000_000
 EVIDENCE = 25
 KNOWN_PRIOR = 2  # a text of a few unseen words tells little
 LONGEST = 4
-MEMO = 300_000
+MEMO = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """Runs of letters, in lower case."""
+    words = _LETTERS.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, words)):
+        return words
+    # The pattern also takes numbers such as a superscript two or a Roman numeral sign, which are no letters.
+    return [w for run in words for w in "".join(c if c.isalpha() else " " for c in run).split(" ") if w]
 
 
 @dataclass
@@ -75,7 +82,7 @@ def grams_of(word: str, n: int) -> list[str]:
 def build(rows: Iterable[tuple[str, str, int]]) -> Model:
     """From (lang, word, count) rows."""
     by: dict[str, dict[str, int]] = defaultdict(dict)
-    for lang, word, n in rows:
+    for lang, word, n in sorted(rows):  # so that the model does not depend on how rows were dealt
         by[lang][word] = n
     langs = sorted(by)
 
@@ -159,17 +166,19 @@ def key_crc(df: DataFrame, id_col: str):
     return F.crc32(F.coalesce(col(id_col).cast("string"), F.lit("")))
 
 
-def train(df: DataFrame, folds: int = 5, train_docs: int = TRAIN_DOCS, max_words: int = MAX_WORDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from labelled documents outside fold 0."""
-    learn = df.filter(col(lang_col).isNotNull() & col(text_col).isNotNull() & (key_crc(df, id_col) % folds != 0))
-    sizes = learn.groupBy(col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not sizes:
-        return build([])
-    rate = F.lit(0.0)
-    for r in sizes:
-        rate = F.when(col(lang_col) == r["lang"], min(1.0, train_docs / r["count"])).otherwise(rate)
+def _sample(df: DataFrame, folds: int, train_docs: int, train_chars: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """lang and text of the documents to learn from."""
     draw = F.pmod(F.xxhash64(F.coalesce(col(id_col).cast("string"), F.lit("")), F.lit("langid")), F.lit(1_000_000)) / 1e6
-    sample = learn.filter(draw < rate).select(col(lang_col).alias("lang"), col(text_col).alias("text"))
+    learn = df.filter(col(lang_col).isNotNull() & col(text_col).isNotNull() & (key_crc(df, id_col) % folds != 0))
+    learn = learn.select(col(lang_col).alias("lang"), col(text_col).alias("text"), draw.alias("draw"))
+    sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars"), F.min("draw").alias("least"))
+    rate = F.least(F.lit(1.0), F.lit(float(train_docs)) / F.col("docs"), F.lit(float(train_chars)) / F.greatest("chars", F.lit(1)))
+    sizes = stash(sizes.select(F.col("lang").alias("of"), rate.alias("rate"), "least"), "languages")
+    return learn.join(sizes, F.col("lang") == F.col("of")).filter((F.col("draw") < F.col("rate")) | (F.col("draw") == F.col("least"))).select("lang", "text")
+
+
+def train(df: DataFrame, folds: int = 5, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Learn from labelled documents outside fold 0."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         n: Counter = Counter()
@@ -177,17 +186,9 @@ def train(df: DataFrame, folds: int = 5, train_docs: int = TRAIN_DOCS, max_words
             n.update((lang, w) for w in words_of(text.decode("utf-8", "replace")))
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["lang", "word", "n"])
 
-    counts = stash(map_rows(sample, fn, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
-    # The least count to keep: with all pairs of that count or more there are max_words at most.
-    held, least = 0, 0
-    for r in counts.groupBy("n").count().orderBy(F.desc("n")).collect():  # as many rows as there are different counts
-        held += r["count"]
-        if held > max_words:
-            least = r["n"] + 1
-            break
-    kept = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "lang", "word").toArrow()
-    drop(counts)
-    return build(zip(*(kept.column(c).to_pylist() for c in ("lang", "word", "n"))))
+    sample = _sample(df, folds, train_docs, train_chars, id_col, text_col, lang_col)
+    counts = map_rows(sample, fn, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
+    return build(zip(*(counts.column(c).to_pylist() for c in ("lang", "word", "n"))))
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:

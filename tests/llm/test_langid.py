@@ -82,7 +82,58 @@ def test_edges(documents, cluttered, empty):
     assert [(r["lang_pred"], r["score"]) for r in langid.identify(unlabelled, langid.train(unlabelled)).collect()] == [("und", 0.0)]
 
 
-def test_bounds(documents):
-    rows = [(k, f"word{k} the", "en", None) for k in range(300)]
-    model = langid.train(documents(rows), train_docs=50, max_words=20)
-    assert len(model.words) <= 20 and "the" in model.words
+def test_small_sample_keeps_every_language(documents):
+    """A language far below the others, and one with a single long document, stay; all words of a sampled text are learned."""
+    rows = [(k, f"word{k} the", "en", None) for k in range(300)] + [(1000 + k, f"mot{k} le", "fr", None) for k in range(3)]
+    rows += [(2001, " ".join(f"wort{k}" for k in range(500)), "de", None)]
+    rows = [r for r in rows if not brute.held_out(r[0])]
+    model = langid.train(documents(rows), train_docs=50, train_chars=300)
+    assert model.langs == ["de", "en", "fr"] and "the" in model.words and "le" in model.words
+    for k in range(500):
+        assert f"wort{''.join(c for c in str(k) if c.isalpha())}" in model.words
+    assert sum(w.startswith("word") for w in model.words) <= 100
+
+
+def test_training_like_plain_counts(spark, sf, documents):
+    """Counts, smoothing and n-grams from whole documents, recomputed in plain Python."""
+    rows = [(r["doc_id"], r["text"], r["lang"], None) for r in table(spark, sf, "documents").limit(60).collect()]
+    model = langid.train(documents(rows))
+    words = {}
+    for i, text, lang, _ in rows:
+        if text is not None and lang is not None and not brute.held_out(i):
+            for w in "".join(c if c.isalpha() else " " for c in text.lower()).split(" "):
+                if w:
+                    words.setdefault(lang, {}).setdefault(w, 0)
+                    words[lang][w] += 1
+    assert model.langs == sorted(words)
+
+    def check(index, logs, counts):
+        assert set(index) >= {t for c in counts.values() for t in c}
+        vocabulary = len({t for c in counts.values() for t in c})
+        for k, lang in enumerate(model.langs):
+            total = sum(counts[lang].values()) + 0.5 * vocabulary
+            for t in {t for c in counts.values() for t in c}:
+                assert logs[index[t], k] == pytest.approx(math.log((counts[lang].get(t, 0) + 0.5) / total))
+
+    check(model.words, model.word_logs, words)
+    for size in (1, 2, 3, 4):
+        grams = {lang: {} for lang in words}
+        for lang, own in words.items():
+            for w, n in own.items():
+                for k in range(len(w) + 3 - size):
+                    g = f"^{w}$"[k : k + size]
+                    grams[lang][g] = grams[lang].get(g, 0) + n
+        check(model.grams, model.gram_logs, grams)
+
+
+def test_numbers_are_no_letters(documents):
+    rows = [(1, "\u00b2 \u00bd \u2460 12 \u2167", "en", None), (2, "the\u00b2cat", "en", None), (4, "le chat", "fr", None), (6, "the cat", "en", None)]
+    assert langid.words_of("\u00b2 \u00bd \u2460 12") == [] and langid.words_of("The\u00b2Cat_x") == ["the", "cat", "x"]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(documents(rows), langid.train(documents(rows))).collect()}
+    assert got[1] == "und" and got[2] == "en"
+
+
+def test_very_long_text(documents):
+    rows = [(1, "the cat sat " * 200_000, "en", None), (2, "le chat dort", "fr", None), (4, "the dog", "en", None), (6, "le chien", "fr", None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(documents(rows), langid.train(documents(rows))).collect()}
+    assert got[1] == "en"
