@@ -79,7 +79,7 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id, d.doc_id = m.co
 
 def sharding(n_shards: int, slots: int) -> str:
     table = lookup_table([f"shard-{k}" for k in range(n_shards)], slots)
-    return f"with t as (select {table} as slots) select doc_id, cast(slots[1 + ('0x' || substr(md5(cast(doc_id as varchar)), 1, 13))::bigint % {slots}] as bigint) as shard from documents, t"
+    return f"with t as (select {table} as slots) select documents.*, cast(slots[1 + ('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 13))::bigint % {slots}] as bigint) as shard from documents, t"
 
 
 def word_windows(n: int) -> str:

@@ -51,8 +51,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    return sharding.assign_shards(docs, N_SHARDS, SHARD_SLOTS)
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), N_SHARDS, SHARD_SLOTS)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
