@@ -1,32 +1,42 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-An item's windows (13 consecutive words, or all words of a shorter item) are wanted at full containment, so of a window's tokens,
-ordered by rarity, a prefix of one is necessary: the rarest. Rarity is the count over all documents of each word
-that the benchmark has. Documents are probed word by word against these tokens; the token's place in the window
-fixes where the window would start, which the positional bound (not before the text's start) and the length bound
-(not past its end) must allow, and the words from there are compared as a whole.
-
-The index is broadcast in blocks of at most MAX_BLOCK_WORDS words of benchmark text (measured first), with a pass over the
-documents for each; texts are never shuffled.
-
-Cases: a null text has no words and is clean; an item without words has no window; repeated items count under
-each of their ids; an item with a null id is listed as an empty text; repeated documents agree; empty tables are fine.
+An item's windows (13 consecutive words, or all words of a shorter item) are wanted at full containment. A set's tokens are
+ordered by rarity (occurrences over all documents), and the prefix that a similarity asks for has one token at full
+containment: the rarest. Documents are joined with the windows on these tokens. The token's place in the window fixes where
+the window would start, which the positional bound (not before the text's start) and the length bound (not past its end) must
+allow, and the words from there are compared as a whole.
+
+A document sends an occurrence of a token, with the words around it, only where it may count: two bitmaps of fixed size,
+broadcast, tell which hashes are a window's token and which are a window (they let some pass that are neither, and stop none that
+are). Neither the benchmark nor its vocabulary has to fit in a worker or the driver, and whole texts are never shuffled but
+for the last join, where Spark broadcasts the table of hit texts if it is small. What is found belongs to a text, known by a
+128-bit hash, so copies share it.
+
+Cases: a null text has no words and is clean; an item without words has no window; repeated items count under each of their ids; an
+item with a null id is listed as an empty text; repeated documents agree; of tokens equally rare in a window the first by its bytes,
+then by place, is taken; a very long text is scanned in one task, its words as 64-bit hashes; empty tables are fine; other columns do
+not matter, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, col, map_rows, whole_row
+from .common import binary, col, covered, drop, judge_texts, map_rows, mix, prefix_hash, slices, stash, whole_row, window_hash
+from .neardup import word_hashes
 
 WINDOW = 13
-MAX_BLOCK_WORDS = 2_000_000
+BITS = 1 << 23
+ROWS_AT_ONCE = 20_000
+_PAGE = 32_768  # bits of one of Spark's bitmaps
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -34,101 +44,159 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_TABLE).split() if text else []
 
 
-def windows_of(words: list[bytes], n: int) -> list[tuple[bytes, ...]]:
-    if not words:
-        return []
-    return [tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))]
+def _place(hashes: np.ndarray, salt: int, bits: int) -> np.ndarray:
+    return (mix(hashes + np.uint64(salt)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _windows(items: DataFrame, n: int, bits: int) -> DataFrame:
+    """A row for each window of each item: item, wid, window (words joined by a space), len and place (in a bitmap)."""
+    import xxhash
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), binary(batch, "text")):
+                words = words_of(text)
+                size = min(n, len(words))
+                places = _place(window_hash(prefix_hash(word_hashes(words)), size), size, bits) if words else []
+                for a in range(0, len(places), ROWS_AT_ONCE):
+                    rows = [b" ".join(words[k : k + size]) for k in range(a, min(a + ROWS_AT_ONCE, len(places)))]
+                    columns = [pa.array([item] * len(rows), pa.string()), pa.array(map(xxhash.xxh3_128_digest, rows), pa.binary()), pa.array(rows, pa.binary()), pa.array([size] * len(rows), pa.int32()), pa.array(places[a : a + ROWS_AT_ONCE], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["item", "wid", "window", "len", "place"])
+
+    found = items.mapInArrow(run, "item string, wid binary, window binary, len int, place long")
+    return found.withColumn("window", F.col("window").cast("string")).distinct()
 
-class Index:
-    """The windows of a block of items, by their rarest word."""
 
-    def __init__(self, items: list[tuple[str, bytes]], rarity: dict[bytes, int], n: int):
-        self.windows: dict[bytes, set[str]] = defaultdict(set)
-        self.probe: dict[bytes, set[tuple[int, int]]] = defaultdict(set)
-        for item, text in items:
-            for w in windows_of(words_of(text), n):
-                self.windows[b" ".join(w)].add(item)
-                at = min(range(len(w)), key=lambda k: (rarity.get(w[k], 0), w[k], k))
-                self.probe[w[at]].add((at, len(w)))
-        self.windows, self.probe = dict(self.windows), dict(self.probe)
+def _bitmap(places: DataFrame, column: str, bits: int) -> Broadcast:
+    """A broadcast boolean table of the places that occur; Spark builds it in pages, and all of them have bits / 8 bytes."""
+    pages = places.groupBy(F.floor(F.col(column) / _PAGE).alias("page")).agg(F.bitmap_construct_agg(F.col(column) % _PAGE).alias("bits")).collect()
+    held = np.zeros(bits // 8, np.uint8)
+    for r in pages:
+        held[r["page"] * _PAGE // 8 : (r["page"] + 1) * _PAGE // 8] = np.frombuffer(r["bits"], np.uint8)
+    return places.sparkSession.sparkContext.broadcast(held)
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Spans of words inside occurring windows, and the items of these windows."""
-        spans, items, probe = [], set(), self.probe
-        for pos, word in enumerate(words):
-            if word in probe:
-                for at, length in probe[word]:
-                    start = pos - at
-                    if start >= 0 and start + length <= len(words):
-                        found = self.windows.get(b" ".join(words[start : start + length]))
-                        if found:
-                            spans.append((start, start + length))
-                            items |= found
-        return spans, items
 
+def _table(sent: Broadcast) -> np.ndarray:
+    return np.unpackbits(sent.value, bitorder="little").view(bool)
 
-def _counts(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+def _with_places(words: DataFrame, bits: int) -> DataFrame:
+    """word and place of a table of words."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n: Counter = Counter()
-        for t in binary(batch, "text"):
-            n.update(filter(sent.value.__contains__, words_of(t)))
-        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+        words = binary(batch, "word")
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(_place(word_hashes(words), 0, bits), pa.int64())], ["word", "place"])
+
+    return map_rows(words.select("word"), fn, "word binary, place long").withColumn("word", F.col("word").cast("string"))
 
-    rows = map_rows(docs, fn, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
-    return {bytes(r["word"]): r["n"] for r in rows}
 
+def _counts(texts: DataFrame, vocabulary: DataFrame, bits: int) -> DataFrame:
+    """word and n, its occurrences over all documents, for words of the vocabulary that occur (and some others)."""
+    sent = _bitmap(_with_places(vocabulary, bits), "place", bits)
 
-def union_length(spans: list[tuple[int, int]]) -> int:
-    total, end = 0, -1
-    for a, b in sorted(spans):
-        total += max(0, b - max(a, end))
-        end = max(end, b)
-    return total
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = _table(sent)
+        for batch in (part for whole in batches for part in slices(whole)):
+            n: Counter = Counter()
+            for t in binary(batch, "text"):
+                words = words_of(t)
+                if words:
+                    held = np.flatnonzero(wanted[_place(word_hashes(words), 0, bits)])
+                    n.update(map(words.__getitem__, held.tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
+    found = texts.mapInArrow(run, "word binary, n long")
+    return found.groupBy(F.col("word").cast("string").alias("word")).agg(F.sum("n").alias("n"))
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, whole_rows: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_block_words: int = MAX_BLOCK_WORDS) -> DataFrame:
+
+def _occurrences(texts: DataFrame, tokens: Broadcast, windows: Broadcast, lengths: list[int], bits: int) -> DataFrame:
+    """Occurrences of tokens inside what may be windows: token, key (of the text), pos, n_words, first (place of around) and around."""
+    import xxhash
+
+    reach = max(lengths)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_token, is_window = _table(tokens), _table(windows)
+        for batch in (part for whole in batches for part in slices(whole)):
+            rows = []
+            for text in binary(batch, "text"):
+                words = words_of(text)
+                if not words:
+                    continue
+                hashes = word_hashes(words)
+                here = is_token[_place(hashes, 0, bits)]
+                if not here.any():
+                    continue
+                prefix, inside = prefix_hash(hashes), np.zeros(len(words), bool)
+                for size in lengths:
+                    starts = np.flatnonzero(is_window[_place(window_hash(prefix, size), size, bits)])
+                    if len(starts):
+                        inside |= covered(starts, size, len(words))
+                key = xxhash.xxh3_128_digest(text)
+                for pos in np.flatnonzero(here & inside).tolist():
+                    a = max(0, pos - reach + 1)
+                    rows.append((words[pos], key, pos, len(words), a, b" ".join(words[a : pos + reach])))
+            columns = list(zip(*rows)) if rows else [()] * 6
+            kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["token", "key", "pos", "n_words", "first", "around"])
+
+    found = texts.mapInArrow(run, "token binary, key binary, pos long, n_words long, first long, around binary")
+    return found.withColumn("token", F.col("token").cast("string")).withColumn("around", F.col("around").cast("string"))
+
+
+def _covered_words(spans: Column) -> Column:
+    """Words inside any of the (start, len) spans, which come sorted."""
+    seen = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    end = lambda x: x["start"] + x["len"]
+    step = lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), end(x) - F.greatest(s["end"], x["start"]))).alias("n"), F.greatest(s["end"], end(x)).alias("end"))
+    return F.aggregate(spans, seen, step, lambda s: s["n"])
+
+
+def _hits(texts: DataFrame, items: DataFrame, n: int, bits: int) -> DataFrame:
+    """key, n_hit, n_items and item_list of every text that holds a window."""
+    windows = stash(_windows(items, n, bits), "windows")
+    lengths = sorted(r["len"] for r in windows.select("len").distinct().collect())  # n of them at most
+    empty = "key binary, n_hit long, n_items long, item_list string"
+    if not lengths:
+        return texts.sparkSession.createDataFrame([], empty)
+    each = windows.select("wid", "len", "window").distinct().select("wid", "len", "window", F.posexplode(F.split("window", " ")).alias("at", "word"))
+    counts = stash(_counts(texts, each.select("word").distinct(), bits), "rarity")
+    ranked = each.join(counts, "word", "left").groupBy("wid", "len", "window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("rarest"))
+    prefixes = stash(ranked.select(F.col("rarest.word").alias("token"), F.col("rarest.at").cast("long").alias("at"), "wid", "len", "window"), "prefixes")
+    drop(counts)
+    tokens = _bitmap(_with_places(prefixes.select(F.col("token").alias("word")).distinct(), bits), "place", bits)
+    seen = stash(_occurrences(texts, tokens, _bitmap(windows, "place", bits), lengths, bits), "occurrences")
+    start = F.col("pos") - F.col("at")
+    bounded = seen.join(prefixes, "token").filter((start >= 0) & (start + F.col("len") <= F.col("n_words")) & (start >= F.col("first")))
+    same = F.array_join(F.slice(F.split("around", " "), (start - F.col("first") + 1).cast("int"), F.col("len")), " ") == F.col("window")
+    found = stash(bounded.filter(same).select("key", start.alias("start"), "len", "wid").distinct(), "found")
+    drop(seen)
+    drop(prefixes)
+    spans = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans"))
+    named = found.select("key", "wid").distinct().join(windows.select("wid", "item"), "wid").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    both = spans.join(named, "key").select("key", _covered_words(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("item_list"))
+    out = stash(both, "hits")
+    drop(found)
+    drop(windows)
+    return out
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, whole_rows: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", bits: int = BITS) -> DataFrame:
     """One row a document: id (with whole_rows its row, a struct), n_words, n_hit, n_items, items_sha256 and contaminated."""
-    spark = docs.sparkSession
+    import xxhash
+
+    if bits % _PAGE or bits & (bits - 1):
+        raise ValueError(f"bits must be a power of two, {_PAGE} at least")
     items = benchmark.select(F.coalesce(col(item_col).cast("string"), F.lit("")).alias("item"), col(item_text_col).alias("text"))
-    total = items.agg(F.sum(F.length("text") / 2)).first()[0] or 0  # no more words than half the characters, rounded up
-    blocks = max(1, int(-(-total // max_block_words)))
-    slim = docs.select(col(text_col).alias("text"))
+    hits = _hits(docs.select(col(text_col).alias("text")), items.filter("text is not null"), n, bits)
+
+    def judge():
+        return lambda t: (len(words_of(t)), xxhash.xxh3_128_digest(t) if t else None)
+
+    told = judge_texts(col(text_col), judge, T.StructType([T.StructField("n_words", T.LongType()), T.StructField("key", T.BinaryType())]))
     row = (whole_row(docs) if whole_rows else F.struct(col(id_col))).alias("row")
-    row_type = docs.schema if whole_rows else T.StructType([docs.schema[id_col]])
-    span = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
-    head = T.StructField("row", row_type)
-    state = T.StructType([head, T.StructField("text", T.StringType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType()))])
-    final = T.StructType([head, *(T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")), T.StructField("items_sha256", T.StringType())])
-    arrow_span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    out = docs.select(row, col(text_col).alias("text"))
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        block = [(r["item"], r["text"].encode()) for r in part.filter("text is not null").collect()]  # bounded by max_block_words
-        vocabulary = {w for _, t in block for w in words_of(t)}
-        sent = spark.sparkContext.broadcast(Index(block, _counts(slim, vocabulary), n))
-
-        def fn(batch: pa.RecordBatch, sent=sent, first=k == 0, last=k == blocks - 1) -> pa.RecordBatch:
-            index, counts, spans, hit = sent.value, [], [], []
-            for at, text in enumerate(binary(batch, "text")):
-                words = words_of(text)
-                s, i = index.scan(words)
-                if not first:
-                    s = [(x["a"], x["b"]) for x in batch.column("spans")[at].as_py()] + s
-                    i = i | set(batch.column("items")[at].as_py())
-                counts.append(len(words))
-                spans.append(s)
-                hit.append(sorted(i))
-            if not last:
-                joined = [[{"a": a, "b": b} for a, b in sorted(set(s))] for s in spans]
-                return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(joined, arrow_span), pa.array(hit, pa.list_(pa.string()))], state.names)
-            sha = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in hit]
-            numbers = [counts, map(union_length, spans), map(len, hit)]
-            return pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(x, pa.int64()) for x in numbers), pa.array(sha, pa.string())], final.names)
-
-        out = map_rows(out, fn, final if k == blocks - 1 else state)
-    bad = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    judged = docs.select(row, told.alias("told")).select("row", "told.n_words", F.col("told.key").alias("own_key"))
+    all_ = judged.join(hits, F.col("own_key") == F.col("key"), "left")
+    n_hit = F.coalesce("n_hit", F.lit(0))
     head = F.col("row") if whole_rows else F.col("row").getField(id_col).alias(id_col)
-    return out.select(head, "n_words", "n_hit", "n_items", "items_sha256", bad.alias("contaminated"))
+    return all_.select(head, "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.sha2(F.coalesce("item_list", F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
