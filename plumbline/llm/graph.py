@@ -32,5 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         e = nxt
         got = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(got) == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out._stash_path = e._stash_path
+            return out
         state = tuple(got)
