@@ -9,8 +9,9 @@ are dealt and sorted by a hash of id and copy number.
 
 The table of rates has a row a source. It is broadcast below BROADCAST_SOURCES of them (counted first), else joined by shuffle.
 
-Cases: a null source is a source of its own (weight: default_weight); repeated rows, and rows without an id, draw the
-same count and are each replicated; a source of weight 0 vanishes; an empty table gives an empty table.
+Cases: a null source is a source of its own (weight: default_weight); a row without an id draws by its text; repeated rows draw the
+same count and are each replicated; a source of weight 0 vanishes; a very long text is copied as it is; an empty table gives an
+empty table; other columns are kept, whatever their names, but for one named copy_col, which is replaced.
 """
 
 from __future__ import annotations
@@ -66,6 +67,7 @@ def mix_sources(
     id_col: str = "doc_id",
     source_col: str = "source",
     copy_col: str | None = "copy",
+    text_col: str = "text",
 ) -> DataFrame:
     """The rows of df, each as often as drawn, in random order; copy_col (if named) counts the copies from 0."""
     r = rates(df, weights or {}, default_weight, target_rows, source_col)
@@ -77,7 +79,8 @@ def mix_sources(
     # u of the first part is drawn once a row, outside the filter, since most sources have one part.
     one = F.size(F.filter("mix_cdf", lambda c: c < F.col("mix_u")))
     n = F.when(F.col("mix_steps") == 1, one).otherwise(drawn)
-    rows = df.select(whole_row(df).alias("row"), col(source_col).alias("source"), F.coalesce(col(id_col).cast("string"), F.lit("")).alias("mix_key"))
+    nameless = F.concat(F.lit("text:"), F.md5(F.coalesce(col(text_col), F.lit("")))) if text_col in df.columns else F.lit("")
+    rows = df.select(whole_row(df).alias("row"), col(source_col).alias("source"), F.coalesce(col(id_col).cast("string"), nameless).alias("mix_key"))
     joined = rows.join(r, F.col("source").eqNullSafe(F.col("mix_source")))
     joined = joined.withColumn("mix_u", uniform(F.lit(str(seed)), F.col("mix_key"), F.lit("0"))).withColumn("mix_n", n).filter("mix_n > 0")
     copies = joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)))

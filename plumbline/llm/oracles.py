@@ -57,12 +57,12 @@ from d left join hit on hit.doc_id = d.doc_id left join items on items.doc_id =
 
 def mixing(weights: dict[str, float], seed: int) -> str:
     case = "case " + " ".join(f"when source = '{s}' then {float(w)!r}::double" for s, w in weights.items()) + " else 1.0::double end"
-    uniform = f"((('0x' || substr(md5('{seed}|' || coalesce(cast(doc_id as varchar), '') || '|' || cast(step as varchar)), 1, 13))::bigint + 0.5::double) / {float(1 << 52)!r}::double)"
+    uniform = f"((('0x' || substr(md5('{seed}|' || coalesce(cast(doc_id as varchar), 'text:' || md5(coalesce(text, ''))) || '|' || cast(step as varchar)), 1, 13))::bigint + 0.5::double) / {float(1 << 52)!r}::double)"
     return f"""with c as (select source, count(*)::double as n, {case} as w from documents group by source),
 r as (select source, (select sum(n) from c) * w / (select sum(w) from c) / n as rate from c),
 s as (select source, rate, greatest(1, ceil(rate / {RATE_STEP!r}::double)) as steps from r),
 terms as (select source, steps, k, sum(exp(-(rate / steps) + case when k = 0 then 0 when rate = 0 then -1e300 else k * ln(rate / steps) - lgamma(k + 1) end)) over (partition by source order by k) as cdf from s, range(0, {TERMS + 1}) as t(k)),
-u as (select doc_id, d.source as source, step, {uniform} as u from documents d join s on d.source is not distinct from s.source, lateral (select unnest(range(0, cast(steps as bigint))) as step)),
+u as (select d.doc_id as doc_id, d.source as source, step, {uniform} as u from documents d join s on d.source is not distinct from s.source, lateral (select unnest(range(0, cast(steps as bigint))) as step)),
 n as (select doc_id, count(*) filter (t.cdf < u.u) as copies from u join terms t on t.source is not distinct from u.source group by doc_id)
 select d.*, copy from documents d join n using (doc_id), lateral (select unnest(range(0, copies)) as copy)"""
 

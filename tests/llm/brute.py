@@ -152,12 +152,13 @@ def copies(rate: float, seed: int, key: str, step: float = 16.0) -> int:
     return total
 
 
-def mixed(docs: list[tuple[int, str | None]], weights: dict, seed: int) -> Counter:
-    """(id, source) -> copies for (id, source) rows."""
+def mixed(docs: list[tuple[int, str | None]], weights: dict, seed: int, texts: list[str | None] | None = None) -> Counter:
+    """(id, source) -> copies for (id, source) rows; a row without an id draws by its text."""
     n = Counter(s for _, s in docs)
     w = {s: weights.get(s, 1.0) for s in n}
     rate = {s: len(docs) * w[s] / sum(w.values()) / n[s] for s in n}
-    return Counter({d: copies(rate[d[1]], seed, "" if d[0] is None else str(d[0])) for d in docs})
+    keys = [f"text:{hashlib.md5((t or '').encode()).hexdigest()}" if d[0] is None else str(d[0]) for d, t in zip(docs, texts or [None] * len(docs))]
+    return Counter({d: copies(rate[d[1]], seed, key) for d, key in zip(docs, keys)})
 
 
 def quality(text: str | None, sizes: list[int], window: int) -> tuple:

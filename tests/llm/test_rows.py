@@ -38,13 +38,13 @@ def test_quality_survives_collisions(monkeypatch):
         assert (*got[:7], *got[7]) == brute.quality(text, list(rules.ngram_limits), rules.window)
 
 
-@pytest.mark.parametrize("block_words", [2_000_000, 40])
-def test_decontamination(spark, documents, cluttered, empty, block_words):
+@pytest.mark.parametrize("bits", [decontam.BITS, 1 << 15])
+def test_decontamination(spark, documents, cluttered, empty, bits):
     texts = brute.passages(10)
     items = [(k, " ".join((t or "").split()[:n])) for k, (t, n) in enumerate(zip(texts[20:32], (3, 13, 14, 30, 60, 1, 0, 13, 20, 9, 40, 13)))] + [(50, None), (51, "THE  ab!"), (52, "the ab"), (None, "w1 w2")]
     rows = [*enumerate(texts), (None, "the ab"), (2, None), (70, "w1 w2 the ab")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.decontaminate(cluttered(documents(rows)), cluttered(bench), max_block_words=block_words).collect()
+    got = decontam.decontaminate(cluttered(documents(rows)), cluttered(bench), bits=bits).collect()
     want = []
     for i, t in rows:
         want.append((i, *brute.decontaminated([(0, t)], items, 13)[0]))
@@ -54,6 +54,16 @@ def test_decontamination(spark, documents, cluttered, empty, block_words):
     assert not any(r["n_hit"] for r in decontam.decontaminate(documents(rows), none).collect())
 
 
+def test_decontamination_of_long_and_repeated_texts(spark, documents):
+    """One passage in a third of the rows, in a text of many words, and in copies."""
+    passage = " ".join(f"p{k}" for k in range(20))
+    long = " ".join(f"w{k}" for k in range(50_000))
+    rows = [(k, f"start {k} {passage} end {k}") for k in range(200)] + [(500, long + " " + passage), (501, long), (502, passage), (503, passage), (504, passage[3:])]
+    bench = spark.createDataFrame([(1, passage), (2, passage), (3, "p0")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontam.decontaminate(documents(rows), bench, bits=1 << 15).collect()}
+    assert all(got[k] == (20, 3) for k in [*range(200), 500, 502, 503]) and got[501] == (0, 0) and got[504] == (19, 2)
+
+
 URLS = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/7", "https://example.com/en/7?q", "http://example.com/en/", "http://xexample.net/de/8", "http://b.example.net/de/8#x", "http://example.net/de/9", "http://org/es/", "http://a.org/es", "http://net", "http://com/en/x?y/z", "http://host:80/p", "http://a..com/en/1", "x://y://z/en", "http://example.com", "http://EXAMPLE.com/EN/7", "http://é.com/en/é"]
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -85,7 +95,7 @@ def test_mixing(documents, cluttered, empty):
     assert got.columns == [*cluttered(documents(rows)).columns, "copy"]
     seen = Counter((r["doc_id"], r["source"]) for r in got.collect())
     want = Counter()
-    for d, n in brute.mixed([(r[0], r[3]) for r in rows], weights, 3).items():
+    for d, n in brute.mixed([(r[0], r[3]) for r in rows], weights, 3, [r[1] for r in rows]).items():
         want[d] += n
     assert seen == Counter({d: n for d, n in want.items() if n}) and max(seen.values()) > 16
     assert not any(s == "s2" for _, s in seen)
@@ -94,6 +104,12 @@ def test_mixing(documents, cluttered, empty):
     assert Counter((r["doc_id"], r["source"]) for r in again.collect()) == seen
 
 
+def test_rows_without_ids_draw_apart(documents):
+    rows = [(None, f"text {k}", None, f"s{k % 2}") for k in range(400)]
+    got = Counter(r["text"] for r in mixing.mix_sources(documents(rows), {"s0": 2.0}, seed=17).collect())
+    assert 100 < len(got) < 400 and 330 < sum(got.values()) < 470
+
+
 def test_mixing_meets_weights(spark):
     docs = spark.range(20_000).selectExpr("id doc_id", "'t' text", "case when id % 10 < 8 then 'big' else 'small' end source")
     n = Counter(r["source"] for r in mixing.mix_sources(docs, {"small": 3.0, "big": 1.0}, target_rows=8000).collect())
