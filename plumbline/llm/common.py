@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _own_dirs: dict[str, str] = {}
 
@@ -81,10 +82,29 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
+def judge_texts(text: Column, judge: Callable[[], Callable[[bytes | None], tuple]], schema: T.StructType) -> Column:
+    """A struct for each text by an Arrow UDF, so that a row's other columns stay in the JVM; judge() is called once a task."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one = judge()
+        kinds = to_arrow_schema(schema)
+        for batch in batches:
+            parts = []
+            for part in slices(pa.RecordBatch.from_arrays([batch], ["text"])):
+                rows = [one(t) for t in binary(part, "text")]
+                parts.append(pa.StructArray.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kinds)], fields=list(kinds)))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(kinds)))
+            pa.default_memory_pool().release_unused()
+
+    # Marked so that no filter on the result makes Spark run it twice.
+    return F.arrow_udf(run, schema).asNondeterministic()(text.cast("binary"))
+
+
 _ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, col, map_rows, stash, whole_row
+from .common import binary, col, judge_texts, map_rows, stash, whole_row
 
 TRAIN_DOCS = 4000
 TRAIN_CHARS = 6_000_000
@@ -194,16 +194,13 @@ def train(df: DataFrame, folds: int = 5, train_docs: int = TRAIN_DOCS, train_cha
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
     """id, lang_pred and score of every document, or with whole_rows its row (a struct), these two and known; labels are not read."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    row = whole_row(df) if whole_rows else F.struct(col(id_col))
-    row_type = df.schema if whole_rows else T.StructType([df.schema[id_col]])
-    schema = T.StructType([T.StructField("row", row_type), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType())])
-    scorer: list[Scorer] = []
+    schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType())])
 
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not scorer:
-            scorer.append(Scorer(sent.value))
-        out = [("und", 0.0, 0.0) if t is None else scorer[0].judge(t.decode("utf-8", "replace")) for t in binary(batch, "text")]
-        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array([o[0] for o in out], pa.string()), *(pa.array([o[k] for o in out], pa.float64()) for k in (1, 2))], schema.names)
+    def judge():
+        scorer = Scorer(sent.value)
+        return lambda t: ("und", 0.0, 0.0) if t is None else scorer.judge(t.decode("utf-8", "replace"))
 
-    found = map_rows(df.select(row.alias("row"), col(text_col).alias("text")), fn, schema)
-    return found if whole_rows else found.select(F.col("row").getField(id_col).alias(id_col), "lang_pred", "score")
+    found = df.select(whole_row(df).alias("row"), judge_texts(col(text_col), judge, schema).alias("told"))
+    if whole_rows:
+        return found.select("row", "told.*")
+    return found.select(F.col("row").getField(id_col).alias(id_col), "told.lang_pred", "told.score")
