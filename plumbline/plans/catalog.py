@@ -166,9 +166,7 @@ def text_leaks(spark, sf_dir):
 
 @query(f"select d.doc_id, cast(count(f.rule) as bigint) as n_blocking, count(f.rule) = 0 as ok from d_md d left join ({_TEXT_ORACLE}) f on f.subject_id = d.doc_id group by d.doc_id", d_md=v.MD)
 def leak_verdicts(spark, sf_dir):
-    md = v.spark_view(spark, sf_dir, v.MD)
-    found = leaks.regex_findings(md, "doc_id", "md", leaks.TEXT_RULES)
-    return leaks.verdicts(md, found, "doc_id")
+    return leaks.judge(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md", leaks.TEXT_RULES)
 
 
 @query(r"select 'documents' as kind, doc_id as id, cast(len(regexp_extract_all(text, '\*\*[^*\n]{1,80}\*\*')) as bigint) as n from documents where regexp_matches(text, '\*\*[^*\n]{1,80}\*\*') union all select 'pages', page_id, cast(len(regexp_extract_all(html, '\*\*[^*\n]{1,80}\*\*')) as bigint) from pages where regexp_matches(html, '\*\*[^*\n]{1,80}\*\*')")

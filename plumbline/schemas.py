@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Fixed values, in the order in which they are defined.
 KINDS = ("heading", "prose", "caption", "table", "algorithm", "theorem", "reference")
-BASE_CHECKS = ("claim_strength", "coverage", "logic", "numbers_units", "readability", "terminology")
+BASE_CHECKS = ("coverage", "logic", "claim_strength", "terminology", "numbers_units", "readability")
 KIND_CHECKS = {
-    "algorithm": "variables_control_flow",
     "caption": "panel_mapping",
-    "reference": "bibliographic_identity",
     "table": "cells_footnotes",
+    "algorithm": "variables_control_flow",
     "theorem": "conditions_quantifiers",
+    "reference": "bibliographic_identity",
 }
 UNIT_ID = r"^[A-Za-z0-9][A-Za-z0-9_.-]{0,127}$"
-PROFILE_KEYS = ("extractor_version", "formula_mode", "glossary_sha256", "model", "prompt_version", "target_language")
+PROFILE_KEYS = ("model", "target_language", "prompt_version", "glossary_sha256", "extractor_version", "formula_mode")
 
 
 _SIMPLE = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
