@@ -68,9 +68,9 @@ URLS = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/7", "https://
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
-@pytest.mark.parametrize("salt_size", [20_000, 1])
-def test_urls(spark, cluttered, monkeypatch, salt_size):
-    monkeypatch.setattr(urls, "POINTS_PER_SALT", salt_size)
+@pytest.mark.parametrize("block", [256, 4, 1])
+def test_urls(spark, cluttered, monkeypatch, block):
+    monkeypatch.setattr(urls, "BLOCK", block)
     rows = [(k, u) for k, u in enumerate(URLS * 2)] + [(None, URLS[5])]
     pages = cluttered(spark.createDataFrame(rows, "page_id long, url string"))
     rules = RULES + [("allow", "com/en/1"), ("block", "com/"), ("allow", "a.example.com/")]
@@ -78,6 +78,26 @@ def test_urls(spark, cluttered, monkeypatch, salt_size):
     assert order(map(tuple, got)) == order((k, *brute.url_verdict(u, rules, "allow")) for k, u in rows)
 
 
+def test_nested_rules_over_many_blocks(spark, monkeypatch):
+    """Deep nests of rules whose stacks are carried from block to block, against plain Python."""
+    import random
+
+    monkeypatch.setattr(urls, "BLOCK", 8)
+    rng = random.Random(4)
+    hosts = ["com", "a.com", "b.a.com", "c.b.a.com", "net", "a.net", "xcom"]
+    path = lambda: "".join(rng.choices("ab", k=rng.randint(0, 7)))
+    rules = list({f"{rng.choice(hosts)}/{path()}": rng.choice(["allow", "block"]) for _ in range(150)}.items())
+    rules = [(v, r) for r, v in rules]
+    rows = [(k, f"http://{rng.choice(['', 'www.'])}{rng.choice(hosts)}/{path()}") for k in range(400)]
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), urls.rule_table(spark, rules))
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got.select("page_id", "host", "path", "rule", "verdict").collect()}
+    for k, u in rows:
+        want = brute.url_verdict(u, rules, "allow")
+        fits = [r for v, r in rules if want[2] and len(r) == len(want[2]) and brute.url_verdict(u, [(v, r)], "allow")[2]]
+        assert got[k][:2] == want[:2]
+        assert got[k][2:] == want[2:] if len(fits) < 2 else got[k][2] == max(fits, key=lambda r: len(r.partition("/")[0]))
+
+
 def test_urls_edges(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c", "old")], "page_id long, url string, verdict string")
     none = urls.rule_table(spark, RULES).limit(0)
