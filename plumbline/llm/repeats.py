@@ -7,30 +7,31 @@ What tells the two users apart is a Scheme: which grams of a text are named, and
 2. Naming. Each chunk sends the distinct hashes of its grams, packed and dealt out by hash range, and gets back one bit
    for each: whether the corpus holds that name in a second place that matters. So a gram shared by all documents costs one
    entry a chunk, and no task holds more than a range of hashes.
-3. Resolving. Windows go, in runs, to the repeated names that their scheme picks, and equal windows meet there, told by 64-bit
-   hashes of all their symbols. A name with more than HOT occurrences is dealt over salts; what each salt
-   holds once goes on to a second round by window, so no group has to fit in a task.
+3. Resolving. Windows go with their symbols, in runs, to the repeated names that their scheme picks. There they are sorted by hash, so
+   that equal ones stand side by side, and compared symbol by symbol along each run: a hash never decides. A name with more
+   than HOT occurrences is dealt over salts; what each salt holds once goes on to a second round by a 128-bit hash of the
+   window, so no group has to fit in a task.
 
-A place is (doc_id, text digest, start). Everything between steps is in the shared folder or in a shuffle.
+A place is (number of the document, text digest, start). Numbers follow the order of ids: an integer id is its own number, other
+ids are numbered by one sort. Everything between steps is in the shared folder or in a shuffle, and deleted when read for the last time.
 """
 
 from __future__ import annotations
 
-import gc
-import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, col, drop, mix, powers, prefix_hash, stash
+from .common import binary, col, drop, mix, powers, prefix_hash, stash, window_hash
 
 CHUNK_BYTES = 2_000_000
-HOT = 4000
+HOT = 1500
 NAMES_PER_PART = 1_000_000
 RESOLVE_ROWS = 3000
+TASK_BYTES = 64_000_000
 NULL_ID = -(1 << 63)
 _SEGMENT = 1 << 20
 
@@ -57,12 +58,12 @@ class Scheme:
         """Which of the entries, sorted by name, matter; first: starts of groups, total: a group's occurrences."""
         raise NotImplementedError
 
-    def runs(self, data: bytes, symbols: np.ndarray, bounds: np.ndarray, pos: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        """Of the repeated names (pos, hashes): index, first window, number of windows and load of each run."""
+    def runs(self, c: _Chunk, pos: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Of the repeated names (pos, hashes): index, first window, number of windows and load (the symbols of all its windows) of each run."""
         raise NotImplementedError
 
-    def window_hashes(self, load: bytes, counts: np.ndarray) -> np.ndarray:
-        """Hashes of all windows of runs whose loads are joined."""
+    def unpack(self, load: list[bytes]) -> tuple[np.ndarray, np.ndarray, Callable[[int], bytes]]:
+        """Symbols of joined loads, which tell them apart, their hash values, and the bytes of the window that starts at a symbol."""
         raise NotImplementedError
 
 
@@ -86,10 +87,20 @@ def _longs(x) -> pa.Array:
     return pa.array(np.asarray(x), pa.int64())
 
 
+def _numbered(df: DataFrame, id_col: str) -> DataFrame:
+    """df with id, in whose order the ids stand; null is NULL_ID, before all others."""
+    own, kind = col(id_col), df.schema[id_col].dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint") and df.select(F.min(own)).first()[0] != NULL_ID:
+        return df.withColumn("id", F.coalesce(own.cast("long"), F.lit(NULL_ID)))
+    ids = df.select(own.alias("of")).filter("of is not null").distinct().repartitionByRange("of").sortWithinPartitions("of")
+    ids = stash(ids.select("of", F.monotonically_increasing_id().alias("no")), "numbers")
+    return df.join(ids.hint("merge"), own == F.col("of"), "left").withColumn("id", F.coalesce("no", F.lit(NULL_ID))).drop("of", "no")
+
+
 def _classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, digest), and one row a different text with its least and greatest id."""
-    text = F.coalesce(col(text_col), F.lit(""))
-    rows = df.select(F.coalesce(col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+    """Rows (own_id, id, digest), and one row a different text with its least and greatest id."""
+    slim = df.select(col(id_col).alias("own_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
+    rows = _numbered(slim, "own_id").select("own_id", "id", F.unhex(F.sha2("text", 256)).alias("digest"), "text")
     return rows.drop("text"), rows.groupBy("digest").agg(F.min("id").alias("id"), F.max("id").alias("last_id"), F.first("text").alias("text"))
 
 
@@ -151,7 +162,7 @@ class _Names:
         self.packed = np.concatenate([octets[:, :width], octets[:, 7:]], axis=1)
 
 
-def _naming(chunks: DataFrame, scheme: Scheme, width: int, parts: int) -> DataFrame:
+def _naming(chunks: DataFrame, scheme: Scheme, width: int, parts: int, tasks: int) -> DataFrame:
     """For each (chunk, part) with repeated names: a bit for each name sent, and the salts of hot ones."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +202,7 @@ def _naming(chunks: DataFrame, scheme: Scheme, width: int, parts: int) -> DataFr
         return _table({"chunk": _longs([o[0] for o in out]), "part": _longs([part] * len(out)), "bits": pa.array([o[1] for o in out], pa.binary()), "hot": pa.array([o[2] for o in out], pa.binary())})
 
     sent = chunks.select("chunk", "bounds", "data").mapInArrow(send, "part long, chunk long, names binary")
-    return sent.groupBy("part").applyInArrow(meet, "chunk long, part long, bits binary, hot binary")
+    return sent.repartition(tasks, "part").groupBy("part").applyInArrow(meet, "chunk long, part long, bits binary, hot binary")
 
 
 _RUN = "anchor long, salt long, id long, sub long, chunk long, at long, n long, load binary"
@@ -217,7 +228,7 @@ def _runs(chunks: DataFrame, marks: DataFrame, scheme: Scheme, width: int, parts
             salts[a + hot] = many
         here = np.flatnonzero(hit[names.back])
         pos, hashes, salts = names.pos[here], names.hashes[here], salts[names.back[here]]
-        which, at, n, load = scheme.runs(c.data, c.symbols, c.bounds, pos, hashes)
+        which, at, n, load = scheme.runs(c, pos, hashes)
         doc = np.searchsorted(c.bounds, at, side="right") - 1
         many = salts[which]
         dealt = (mix(at.astype(np.uint64) + mix(np.full(1, c.number, np.uint64))) % np.maximum(many, 1).astype(np.uint64)).astype(np.int64)
@@ -229,23 +240,58 @@ def _runs(chunks: DataFrame, marks: DataFrame, scheme: Scheme, width: int, parts
     return chunks.select("chunk", "ids", "digests", "bounds", "data").groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(fn, _RUN)
 
 
-def _resolve(runs: DataFrame, scheme: Scheme, every: bool) -> DataFrame:
+def _same(symbols: np.ndarray, window: int, at: np.ndarray, to: np.ndarray, goes_on: np.ndarray) -> bool:
+    """Whether the windows that start at each of at and to are equal, symbol by symbol; where goes_on, the pair before is one symbol earlier on both sides."""
+    if not np.array_equal(symbols[at[goes_on] + window - 1], symbols[to[goes_on] + window - 1]):
+        return False
+    whole = np.lib.stride_tricks.sliding_window_view(symbols, window) if len(symbols) >= window else symbols.reshape(0, window)
+    a, b = at[~goes_on], to[~goes_on]
+    return all(np.array_equal(whole[a[k : k + 50_000]], whole[b[k : k + 50_000]]) for k in range(0, len(a), 50_000))
+
+
+def _leaders(symbols: np.ndarray, window: int, start: np.ndarray, row: np.ndarray, group: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows (start among the symbols, row, group): an order in which equal ones of a group stand together, where it begins anew, and the first of its kind for each.
+
+    Equal hashes are checked symbol by symbol; should two different windows ever share one, windows are sorted by their symbols instead.
+    """
+    own = hashes ^ group
+    for again in (False, True):
+        order = np.argsort(own, kind="stable")
+        new = np.diff(own[order], prepend=~own[order[:1]]) != 0
+        lead = np.empty(len(order), np.int64)
+        lead[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        # Along a run whose windows all equal those of another run, only one symbol is new at each step.
+        goes_on = np.zeros(len(order), bool)
+        goes_on[1:] = (row[1:] == row[:-1]) & (lead[1:] == lead[:-1] + 1) & (row[lead[1:]] == row[lead[:-1]]) & (lead[:-1] != np.arange(len(order) - 1))
+        other = np.flatnonzero(lead != np.arange(len(order)))
+        if again or (np.array_equal(group[other], group[lead[other]]) and _same(symbols, window, start[other], start[lead[other]], goes_on[other])):
+            break
+        _, kinds = np.unique(np.lib.stride_tricks.sliding_window_view(symbols, window)[start], axis=0, return_inverse=True)
+        _, own = np.unique(np.stack([kinds.reshape(-1).astype(np.uint64), group]), axis=1, return_inverse=True)
+        own = own.reshape(-1).astype(np.uint64)
+    return order, new, lead
+
+
+def _resolve(runs: DataFrame, scheme: Scheme, every: bool, tasks: int) -> DataFrame:
     """Spans of starts of repeated windows (window null), and what hot salts must compare further (to null).
 
     every: all places of a repeated window, else all but its first.
     """
+    import xxhash
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         anchor, salt, ids, subs, chunk, at, n = (np.array(batch.column(c)) for c in _RUN_COLUMNS[:-1])
         total = int(n.sum())
         row = np.repeat(np.arange(len(n)), n)
-        place = at[row] + np.arange(total) - (np.cumsum(n) - n)[row]
+        local = np.arange(total) - (np.cumsum(n) - n)[row]
+        place = at[row] + local
+        symbols, values, content = scheme.unpack(binary(batch, "load"))
+        size = n + scheme.window - 1
+        start = (np.cumsum(size) - size)[row] + local
         # Windows are told apart by name and salt too: what is first is settled within a group.
-        h = scheme.window_hashes(b"".join(binary(batch, "load")), n) ^ mix(anchor.view(np.uint64))[row]
-        own = h ^ mix(salt.view(np.uint64))[row]
-        order = np.argsort(own, kind="stable")
-        new = np.diff(own[order], prepend=~own[order[:1]]) != 0
-        lead = order[np.maximum.accumulate(np.where(new, np.arange(total), 0))]
+        group = mix(anchor.view(np.uint64) ^ mix(salt.view(np.uint64)))[row]
+        order, new, lead = _leaders(symbols, scheme.window, start, row, group, window_hash(prefix_hash(values), scheme.window)[start])
+        lead = lead[order]
 
         def differs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             return (chunk[row[x]] != chunk[row[y]]) | (place[x] != place[y])
@@ -263,7 +309,7 @@ def _resolve(runs: DataFrame, scheme: Scheme, every: bool) -> DataFrame:
         more = more[salt[row[more]] >= 0]
         both, blank = np.concatenate([edge, more]), np.arange(len(edge) + len(more)) < len(edge)
         to = pa.array(np.concatenate([place[stop], more]), pa.int64(), mask=~blank)
-        window = pa.array(np.concatenate([edge, h[more].view(np.int64)]), pa.int64(), mask=blank)
+        window = pa.array([None] * len(edge) + [xxhash.xxh3_128_digest(content(k)) for k in start[more].tolist()], pa.binary())
         return pa.RecordBatch.from_arrays([_longs(ids[row[both]]), _longs(subs[row[both]]), _longs(chunk[row[both]]), _longs(place[both]), to, window], ["id", "sub", "chunk", "from", "to", "window"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,22 +336,12 @@ def _resolve(runs: DataFrame, scheme: Scheme, every: bool) -> DataFrame:
             yield work(t.slice(at, end - at).combine_chunks().to_batches()[0])
             at = end
 
-    placed = runs.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "id", "sub", "at")
-    return placed.mapInArrow(run, "id long, sub long, chunk long, `from` long, `to` long, window long")
-
-
-def release() -> None:
-    """Let Spark delete the shuffle files of finished jobs: it does so for collected objects only, and its scheduler holds on to the last job."""
-    spark = SparkSession.getActiveSession()
-    spark.range(1).count()
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
+    placed = runs.repartition(tasks, "anchor", "salt").sortWithinPartitions("anchor", "salt", "id", "sub", "at")
+    return placed.mapInArrow(run, "id long, sub long, chunk long, `from` long, `to` long, window binary")
 
 
 def find_repeats(df: DataFrame, scheme: Scheme, every: bool, measure, columns: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows (id, digest), and a row a different text: digest, first_id and the columns that measure makes.
+    """Rows (own_id, id, digest), and a row a different text: digest, first_id and the columns that measure makes.
 
     measure(text, removed, several) gets a text, the mask of its symbols inside repeated windows (None: none), and
     whether documents with several ids hold it.
@@ -313,14 +349,13 @@ def find_repeats(df: DataFrame, scheme: Scheme, every: bool, measure, columns: l
     spark = df.sparkSession
     rows, classes = _classes(df, id_col, text_col)
     chunks = stash(_chunks(classes), "chunks")
-    release()
-    names = (chunks.agg(F.sum("size")).first()[0] or 0) * scheme.names_per_byte
-    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(names / NAMES_PER_PART) + 1)
+    size = chunks.agg(F.sum("size")).first()[0] or 0
+    names, shuffles = size * scheme.names_per_byte, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(shuffles, int(size / TASK_BYTES) + 1)
+    parts = max(4 * shuffles, int(names / NAMES_PER_PART) + 1)
     width = min(7, max(4, (int(names).bit_length() + 10 + 7) // 8))
-    marks = stash(_naming(chunks, scheme, width, parts), "marks")
-    release()
-    found = stash(_resolve(_runs(chunks, marks, scheme, width, parts), scheme, every), "repeats")
-    release()
+    marks = stash(_naming(chunks, scheme, width, parts, tasks), "marks")
+    found = stash(_resolve(_runs(chunks, marks, scheme, width, parts), scheme, every, tasks), "repeats")
     drop(marks)
     direct = found.filter("window is null").select("chunk", "from", "to")
     hot = found.filter("window is not null")
@@ -352,4 +387,7 @@ def find_repeats(df: DataFrame, scheme: Scheme, every: bool, measure, columns: l
         return pa.Table.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate(kinds)], ["digest", "first_id", *(c for c, _ in columns)])
 
     schema = "digest binary, first_id long, " + ", ".join(f"{c} {t}" for c, t in columns)
-    return rows, chunks.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(fn, schema)
+    texts = stash(chunks.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(fn, schema), "texts")
+    drop(found)
+    drop(chunks)
+    return rows, texts

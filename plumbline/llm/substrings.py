@@ -3,12 +3,13 @@
 Every document is cut into non-overlapping blocks of (window + 1) // 2 words from its start, which are indexed by hash;
 any window holds one of its own document's blocks whole. Every rolling gram of that length probes the index, so two
 equal windows always meet at the first one's block. A gram is an anchor if it is some document's block and occurs
-twice or more, which its words alone decide. Windows are extended from anchors: each goes to the least anchor hash inside
-it (the same for equal windows), in runs, and is compared there over its whole length; runs of repeated windows
-join up to the maximal repeats.
+twice or more, which its words alone decide. Hits are extended on words, to both sides of an anchor: the words that windows around it
+can reach go to the least anchor inside each (the same for equal windows), where places with the same words are found by sorting and
+checked word by word along the run; runs of repeated windows join up to the maximal exact repeats.
 
-Cases: a null text has no words; a text of fewer words than a window keeps everything; rows equal in id and text are one document and
-get equal results; a null id is an id like any other; an empty table gives an empty table; other columns do not matter.
+Cases: ids may be of any type; a null text has no words; a text of fewer words than a window keeps everything; rows equal in id and text
+are one document and get equal results; rows of one id with different texts are two documents; a null id is an id like any other; a very
+long text is one chunk in one task; an empty table gives an empty table; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .neardup import word_hashes
-from .repeats import NULL_ID, Scheme, find_repeats, gram_hashes
+from .repeats import Scheme, find_repeats, gram_hashes
 
 WINDOW = 35
 _NONE = np.uint64((1 << 64) - 1)
@@ -64,7 +65,8 @@ class Blocks(Scheme):
         indexed = np.maximum.reduceat(tags, first) == 1
         return (total[group] > 1) & indexed[group]
 
-    def runs(self, data, symbols, bounds, pos, hashes):
+    def runs(self, c, pos, hashes):
+        symbols, bounds = c.symbols, c.bounds
         sizes = np.diff(bounds)
         starts = _ranges(bounds[:-1], np.maximum(0, sizes - self.window + 1))
         none = np.zeros(0, np.int64)
@@ -90,13 +92,15 @@ class Blocks(Scheme):
             return none, none, none, pa.array([], pa.binary())
         first = np.flatnonzero((np.diff(picked, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
         n = np.diff(np.append(first, len(starts)))
-        h = gram_hashes(self, symbols, starts, self.window).tobytes()
-        ends = np.append(first, len(starts)) * 8
-        load = pa.array([h[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
+        words = [w for a, b in zip(c.byte_bounds[:-1].tolist(), c.byte_bounds[1:].tolist()) for w in c.data[a:b].split()]
+        load = pa.array([b" ".join(words[a : a + k + self.window - 1]) for a, k in zip(starts[first].tolist(), n.tolist())], pa.binary())
         return np.searchsorted(pos, picked[first]), starts[first], n, load
 
-    def window_hashes(self, load, counts):
-        return np.frombuffer(load, np.uint64)
+    def unpack(self, load):
+        words = b" ".join(load).split(b" ") if load else []
+        numbers: dict[bytes, int] = {}
+        symbols = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+        return symbols, word_hashes(words), lambda k: b" ".join(words[k : k + self.window])
 
 
 def substring_dedup(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,4 +116,4 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
 
     columns = [("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string")]
     rows, found = find_repeats(df, Blocks(window), True, measure, columns, id_col, text_col)
-    return rows.join(found, "digest").select(F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), "n_words", "n_removed", "kept_sha256")
+    return rows.join(found, "digest").select(F.col("own_id").alias(id_col), "n_words", "n_removed", "kept_sha256")

@@ -1,18 +1,18 @@
 """Suffix dedup: bytes inside a string of a window's length that also starts earlier in the corpus.
 
-A difference-cover suffix sort, cut at the window's length. Positions whose place in their document, modulo PERIOD, lies in
+A difference-cover method, cut at the window's length. Positions whose place in their document, modulo PERIOD, lies in
 a difference cover are sampled; the cover is perfect, so of any two suffixes exactly one shift below PERIOD (all of its size if they are
-in step) brings both onto samples. Sampled tuples are sorted and named, here by hash within ranges of hashes. A tuple of
+in step) brings both onto samples. Sampled tuples are named, and names that occur twice are found by ranges. A tuple of
 window - PERIOD + 1 bytes fits into any window at every shift, so suffixes with a common window share a sample's name. The
-remaining suffixes are merged through these names: each goes to the repeated names within its reach, where equal
-prefixes of a window's length stand side by side and all but the first are marked. Prefixes are bounded by the window, so
-names need no recursion: tuple and window are each hashed whole (64 bits) in one step.
+remaining suffixes are merged through these names: each goes to the repeated names within its reach, where suffixes are sorted so that
+equal prefixes of a window's length stand side by side, adjacent ones are compared byte by byte, and all but the first are marked.
 
-The period is 73 rather than 3 since the tables sorted are 9/73 of the text's length instead of 2/3 of it; the README has figures.
+What is left out of the full algorithm: names are hashes, not ranks, and there is no recursion on them, since prefixes are compared to a
+window's length only; the period is 73 rather than 3. README has the reasons with figures.
 
-Cases: a null text counts as empty; a text shorter than a window keeps everything; rows equal in id and text are one document and
-get equal results; rows of one id with different texts are ordered by the SHA-256 of the text; a null id sorts first; an
-empty table gives an empty table; other columns do not matter.
+Cases: ids may be of any type that can be ordered; a null text counts as empty; a text shorter than a window keeps everything; rows equal
+in id and text are one document and get equal results; rows of one id with different texts are ordered by the SHA-256 of the text; a
+null id sorts first; a very long text is one chunk in one task; an empty table gives an empty table; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, window_hash
-from .repeats import NULL_ID, Scheme, find_repeats, gram_hashes
+from .common import mix
+from .repeats import Scheme, find_repeats, gram_hashes
 
 PERIOD = 73
 COVER = np.array(sorted({pow(2, k, PERIOD) for k in range(9)}), np.int64)  # the powers of 2 modulo 73: each difference occurs once
@@ -60,18 +60,18 @@ class Cover(Scheme):
         mixed = np.minimum.reduceat(tags, first) < np.maximum.reduceat(tags, first)
         return (total[group] > 1) & (mixed[group] | (tags == 0))
 
-    def runs(self, data, symbols, bounds, pos, hashes):
+    def runs(self, c, pos, hashes):
+        data, bounds = c.data, c.bounds
         doc = np.searchsorted(bounds, pos, side="right") - 1
         at = np.maximum(bounds[doc], pos - PERIOD + 1)
         n = np.minimum(pos, bounds[doc + 1] - self.window) - at + 1
         load = [data[a:b] for a, b in zip(at.tolist(), (at + n + self.window - 1).tolist())]
         return np.arange(len(pos)), at, n, pa.array(load, pa.binary())
 
-    def window_hashes(self, load, counts):
-        size = counts + self.window - 1
-        row = np.repeat(np.arange(len(counts)), counts)
-        local = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
-        return window_hash(prefix_hash(_BYTE_VALUES[np.frombuffer(load, np.uint8)]), self.window)[(np.cumsum(size) - size)[row] + local]
+    def unpack(self, load):
+        data = b"".join(load)
+        symbols = np.frombuffer(data, np.uint8)
+        return symbols, _BYTE_VALUES[symbols], lambda k: data[k : k + self.window]
 
 
 def suffix_dedup(df: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,7 +88,7 @@ def suffix_dedup(df: DataFrame, window: int = 100, id_col: str = "doc_id", text_
     rows, found = find_repeats(df, Cover(window), False, measure, columns, id_col, text_col)
     copy = (F.col("id") > F.col("first_id")) & (F.col("n_bytes") >= window)  # all of a later copy starts earlier
     return rows.join(found, "digest").select(
-        F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col),
+        F.col("own_id").alias(id_col),
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),

@@ -1,5 +1,7 @@
 """Suffix dedup and substring dedup against plain Python."""
 
+import datetime
+
 import numpy as np
 import pytest
 
@@ -51,6 +53,33 @@ def test_hot_names_are_salted(documents, monkeypatch):
     assert words_of(documents(docs)) == brute.word_repeats(docs, 35)
 
 
+@pytest.mark.parametrize("hot", [1, 1500])
+def test_hashes_do_not_decide(documents, monkeypatch, hot):
+    """With one hash for all windows, symbols alone tell them apart."""
+    monkeypatch.setattr(repeats, "window_hash", lambda p, n: np.zeros(max(0, len(p) - n), np.uint64))
+    monkeypatch.setattr(repeats, "HOT", hot)
+    docs = list(enumerate(brute.passages(6, 25)))
+    assert bytes_of(documents(docs)) == brute.byte_repeats(docs, 100)
+    assert words_of(documents(docs)) == brute.word_repeats(docs, 35)
+
+
+def test_any_id(spark):
+    long = " ".join(f"k{i}" for i in range(60))
+    n = len(long)
+    for kind, ids in (("string", ["b", "a", None, "c"]), ("long", [2, -(1 << 63), None, 3]), ("date", [datetime.date(2020, 1, 2), datetime.date(2020, 1, 1), None, datetime.date(2021, 1, 1)])):
+        df = spark.createDataFrame([(i, t) for i, t in zip(ids, (long, long, "-" + long, "alone"))], f"doc_id {kind}, text string")
+        got = {r["doc_id"]: r["n_removed"] for r in suffixes.suffix_dedup(df).collect()}
+        assert got == {ids[0]: n, ids[1]: n, None: 0, ids[3]: 0}, kind  # the null id comes first
+        got = {r["doc_id"]: r["n_removed"] for r in substrings.substring_dedup(df).collect()}
+        assert got == {ids[0]: 60, ids[1]: 60, None: 59, ids[3]: 0}, kind
+
+
+def test_tables_are_dropped(documents, tmp_path, monkeypatch):
+    monkeypatch.setattr("plumbline.llm.common.shared_dir", lambda spark: f"file://{tmp_path}")
+    assert suffixes.suffix_dedup(documents(list(enumerate(brute.passages(7, 20))))).count() == 20
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["texts"]
+
+
 def test_hash_segments(monkeypatch):
     monkeypatch.setattr(repeats, "_SEGMENT", 64)
     scheme = suffixes.Cover()
