@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import fixed
 from ..functions.scanner import jpeg_dims
 from ..functions.text import data_uri_bytes, image_header, matches
 
@@ -82,10 +83,9 @@ def narrow(images: DataFrame, id_col: str, min_width: int = 200) -> DataFrame:
 
 
 def identity(images: DataFrame, id_col: str) -> DataFrame:
-    """Kind and number an image claims by its label alone: equation, table, then figure forms (with captions: scanner.image_identities)."""
-    number = lambda p: F.regexp_extract("alt", p, 1).try_cast("long")
-    forms = [("eq", r"(?i)(?:公式|\beq(?:uation)?\.?)\s*\(?([0-9]+)"), ("tab", r"(?i)(?:表|\btab(?:le)?\.?)\s*([0-9]+)"), ("fig", r"(?i)(?:图|\bfig(?:ure)?\.?)\s*([0-9]+)"), ("fig", r"(?i)fig_?([0-9]+)\.")]
-    said = F.coalesce(*[F.when(F.regexp_like("alt", F.lit(p)), F.struct(F.lit(k).alias("kind"), number(p).alias("num"))) for k, p in forms])
+    """Kind and number an image claims by its label alone, in the first form that occurs (with captions: scanner.image_identities)."""
+    forms = [(kind, pattern if exact else f"(?i){pattern}") for kind, _, pattern, exact in fixed.IMAGE_NAMES]
+    said = F.coalesce(*[F.when(F.regexp_like("alt", F.lit(p)), F.struct(F.lit(k).alias("kind"), F.regexp_extract("alt", p, 1).try_cast("long").alias("num"))) for k, p in forms])
     return images.withColumn("said", said).select(id_col, "idx", F.col("said.kind").alias("declared_kind"), F.col("said.num").alias("declared_num"))
 
 

@@ -81,22 +81,89 @@ def band(sqdiff: Column) -> Column:
     return F.when(sqdiff.isNull(), "unknown").when(sqdiff <= 0.0003, "clean").when(sqdiff <= 0.0092, "minor").when(sqdiff <= 0.16, "suspect").otherwise("nonmatch")
 
 
-def severity(dup: Column, mismatch: Column, unmatched: Column, iou: Column, missing: Column, cc: Column, limit: Column) -> Column:
-    """label and rank (0 worst) by an ordered ladder over an image's measurements; limit is its type's tolerance of missing ink."""
-    step = lambda label, rank: F.struct(F.lit(label).alias("severity"), F.lit(rank).cast("long").alias("rank"))
-    return (
-        F.when(dup, step("critical", 0)).when(mismatch, step("critical", 1)).when(unmatched, step("critical", 2))
-        .when(iou.isNull() | missing.isNull() | cc.isNull(), step("unknown", 5))
-        .when((iou < 0.35) | (missing > 3 * limit) | (cc < 0.40), step("major", 3))
-        .when((iou < 0.60) | (missing > limit), step("major", 4))
-        .when(iou < 0.80, step("moderate", 6)).when(missing > limit / 2, step("minor", 7)).otherwise(step("ok", 9))
-    )
+# Shares of missing and of extra ink above which a difference is real, by kind of image.
+INK_LIMITS = {"lineart": (0.05, 0.05), "halftone": (0.35, 0.35), "unknown": (0.20, 0.20)}
+DECLARED_OK = 0.020
+PAGE_SHARE = 0.45
+VANISHED_AREA = 40
+STRETCHY_MISSING = 0.02
+LOW_CORRELATION = 0.70
+
+
+def ink_limit(img_type: Column, extra: bool) -> Column:
+    """The limit of missing or of extra ink for a kind of image; other kinds have that of unknown ones."""
+    out = F.lit(INK_LIMITS["unknown"][extra])
+    for name in ("lineart", "halftone"):
+        out = F.when(img_type == name, INK_LIMITS[name][extra]).otherwise(out)
+    return out
+
+
+def _true(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+def slot_mismatch(declared_kind: Column, declared_num: Column, hit_kind: Column, hit_num: Column, ambiguous: Column) -> Column:
+    """Whether an image certainly shows another item of the kind that it is declared to show."""
+    return _true((declared_kind == hit_kind) & (declared_num != hit_num) & (declared_num != 0) & ~F.coalesce(ambiguous, F.lit(False)))
 
 
-def flags(iou: Column, missing: Column, extra: Column, cc: Column, limit: Column) -> Column:
-    """All measurements out of bounds, joined by commas."""
-    named = [("LOW_CORRELATION", cc < 0.70), ("LOW_IOU", iou < 0.60), ("MISSING_INK", missing > limit), ("EXTRA_INK", extra > limit), ("UNKNOWN", iou.isNull() | cc.isNull())]
-    return F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in named])), ",")
+#: severity, rank (0 worst) and condition over the columns of an image's measurements; the first that holds counts. Shares of
+#: ink are in units of the image type's limit. A null correlation decides nothing; without measurements all is unknown.
+LADDER: tuple[tuple[str, int, str], ...] = (
+    ("critical", 0, "dup"),
+    ("critical", 1, "mismatch"),
+    ("critical", 2, "unmatched"),
+    ("unknown", 5, "not measured"),
+    ("major", 3, "iou < 0.35 or missing_share > 3 or extra_share > 3 or cc < 0.40"),
+    ("major", 4, "iou < 0.60 or missing_share > 1 or extra_share > 1"),
+    ("moderate", 6, "iou < 0.80"),
+    ("minor", 7, "missing_share > 0.5 or extra_share > 0.5"),
+    ("ok", 9, "true"),
+)
+
+
+def severity(measured: DataFrame, id_col: str) -> DataFrame:
+    """id, severity and rank by the ladder.
+
+    measured: dup, mismatch, unmatched (booleans), ok (whether there are measurements), iou, missing, extra, cc, img_type.
+    """
+    filled = measured.select(
+        id_col, *[_true(F.col(c)).alias(c) for c in ("dup", "mismatch", "unmatched")], _true(F.col("ok")).alias("measured"), F.coalesce("iou", F.lit(1.0)).alias("iou"), "cc",
+        *[(F.coalesce(c, F.lit(0.0)) / ink_limit(F.col("img_type"), extra)).alias(f"{c}_share") for c, extra in (("missing", False), ("extra", True))],
+    )
+    label, rank = F.lit(None).cast("string"), F.lit(None).cast("long")
+    for name, place, condition in reversed(LADDER):
+        holds = _true(F.expr(condition))
+        label, rank = F.when(holds, name).otherwise(label), F.when(holds, place).otherwise(rank)
+    return filled.select(id_col, label.alias("severity"), rank.cast("long").alias("rank"))
+
+
+def flags(measured: DataFrame, id_col: str) -> DataFrame:
+    """id and all flags of an image, joined by commas.
+
+    measured: as for severity, and decoded, blobs (solid ones only in the crop), vanished_area, stretchy_page, stretchy_crop,
+    page_share, label_conflict, declared_sqdiff.
+    """
+    c = F.col
+    located = c("decoded") & ~c("unmatched")
+    ink = located & c("ok")
+    drawn = ink & (c("img_type") == "lineart")
+    named = (
+        ("UNDECODABLE", ~c("decoded")),
+        ("DUPLICATE_BYTES", c("decoded") & c("dup")),
+        ("UNMATCHED", c("decoded") & c("unmatched")),
+        ("LOW_CORRELATION", located & (c("cc") < LOW_CORRELATION)),
+        ("INK_MISSING", ink & (c("missing") > ink_limit(c("img_type"), False))),
+        ("INK_EXTRA", ink & (c("extra") > ink_limit(c("img_type"), True))),
+        ("SOLID_BLOB", drawn & (c("blobs") > 0)),
+        ("GLYPH_VANISHED", drawn & (c("vanished_area") > VANISHED_AREA)),
+        ("STRETCHY_GLYPH_LOSS", drawn & (c("stretchy_page") > c("stretchy_crop")) & (c("missing") > STRETCHY_MISSING)),
+        ("PAGE_REGION", located & (c("page_share") > PAGE_SHARE)),
+        ("SLOT_MISMATCH", located & c("mismatch")),
+        ("LABEL_CONFLICT", located & c("label_conflict")),
+        ("NOT_AT_DECLARED_SLOT", located & (c("declared_sqdiff") > DECLARED_OK) & ~c("mismatch")),
+    )
+    return measured.select(id_col, F.array_join(F.array_compact(F.array(*[F.when(_true(hit), F.lit(name)) for name, hit in named])), ",").alias("flags"))
 
 
 def ghost_class(med: Column, iou: Column, ink: Column, unexplained: Column, vanished: Column, ratio: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scanner import casefold
 from ..functions.text import blank, numbers, term_present, tokens
 from ..schemas import BASE_CHECKS, KIND_CHECKS, KINDS, UNIT_ID
 
@@ -78,9 +79,9 @@ def term_issues(paired: DataFrame, terms: DataFrame) -> DataFrame:
 def term_conflicts(terms: DataFrame) -> DataFrame:
     """Pairs of approved terms with the same source word and a shared unit that disagree."""
     t = terms.filter("status = 'approved'")
-    key = F.lower("source")
-    a = t.select("doc_id", key.alias("word"), *[F.col(c).alias(f"a_{c}") for c in ("ord", "id", "unit_ids", "target", "sense")])
-    b = t.select("doc_id", key.alias("word"), *[F.col(c).alias(f"b_{c}") for c in ("ord", "id", "unit_ids", "target", "sense")])
+    t = t.withColumn("word", casefold(F.col("source")))
+    a = t.select("doc_id", "word", *[F.col(c).alias(f"a_{c}") for c in ("ord", "id", "unit_ids", "target", "sense")])
+    b = t.select("doc_id", "word", *[F.col(c).alias(f"b_{c}") for c in ("ord", "id", "unit_ids", "target", "sense")])
     j = a.join(b, ["doc_id", "word"]).filter((F.col("a_ord") < F.col("b_ord")) & F.arrays_overlap("a_unit_ids", "b_unit_ids"))
     return j.filter("a_target <> b_target or a_sense <> b_sense").select("doc_id", "word", "a_id", "b_id")
 
@@ -132,12 +133,42 @@ def open_issues(issues: DataFrame, decisions: DataFrame) -> DataFrame:
     return issues.join(d, ["doc_id", "id"], "left").filter((F.col("severity") == "error") | blank("reason")).drop("reason")
 
 
-def assess(units: DataFrame, translations: DataFrame, terms: DataFrame | None, review_units: DataFrame, decisions: DataFrame) -> DataFrame:
-    """status and number of blockers of every document."""
-    blockers = open_issues(inspect(units, translations, terms), decisions).select("doc_id", F.col("id").alias("blocker"))
-    blockers = blockers.unionByName(review_gaps(units, review_units).select("doc_id", F.concat("unit_id", F.lit(":semantic_review")).alias("blocker")))
-    blockers = blockers.unionByName(review_coverage(units, review_units).select("doc_id", F.lit("review_coverage").alias("blocker")))
-    n = blockers.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+def versions(units: DataFrame, translations: DataFrame) -> DataFrame:
+    """doc_id, document_sha256 and translation_sha256: what a review refers to."""
+
+    def version(rows: DataFrame, text: str, name: str) -> DataFrame:
+        held = F.array_sort(F.collect_list(F.struct("ord", "id", F.col(text).alias("text"))))
+        return rows.groupBy("doc_id").agg(F.sha2(F.to_json(held), 256).alias(name))
+
+    return version(units, "source", "document_sha256").join(version(translations, "text", "translation_sha256"), "doc_id", "left")
+
+
+def review_state(current: DataFrame, reviews: DataFrame) -> DataFrame:
+    """doc_id and blocker of documents whose review as a whole is missing, of another version, or unsigned.
+
+    current: as from versions; reviews: doc_id, document_sha256, translation_sha256, reviewer.
+    """
+    r = reviews.select("doc_id", F.lit(True).alias("held"), F.col("document_sha256").alias("of_document"), F.col("translation_sha256").alias("of_translation"), "reviewer")
+    j = current.join(r, "doc_id", "left")
+    stale = ~(F.col("of_document").eqNullSafe(F.col("document_sha256")) & F.col("of_translation").eqNullSafe(F.col("translation_sha256")))
+    held = F.col("held").isNotNull()
+    found = F.array(F.when(~held, "semantic_review_missing"), F.when(held & stale, "stale_review"), F.when(held & blank("reviewer"), "reviewer_missing"))
+    return j.select("doc_id", F.explode(F.array_compact(found)).alias("blocker"))
+
+
+def assess(units: DataFrame, translations: DataFrame, terms: DataFrame | None, reviews: DataFrame, review_units: DataFrame, decisions: DataFrame, current: DataFrame | None = None) -> DataFrame:
+    """status and number of blockers of every document.
+
+    Errors and the state of the review always count; what a review says or leaves open counts where there is one.
+    """
+    state = review_state(versions(units, translations) if current is None else current, reviews)
+    blockers = open_issues(inspect(units, translations, terms), decisions)
+    by_review = blockers.filter("severity <> 'error'").select("doc_id", F.col("id").alias("blocker"))
+    by_review = by_review.unionByName(review_gaps(units, review_units).select("doc_id", F.concat("unit_id", F.lit(":semantic_review")).alias("blocker")))
+    by_review = by_review.unionByName(review_coverage(units, review_units).select("doc_id", F.lit("review_coverage").alias("blocker")))
+    by_review = by_review.join(reviews.select("doc_id").distinct(), "doc_id", "left_semi")
+    every = blockers.filter("severity = 'error'").select("doc_id", F.col("id").alias("blocker")).unionByName(state).unionByName(by_review)
+    n = every.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     out = units.select("doc_id").distinct().join(n, "doc_id", "left").withColumn("n_blockers", F.coalesce("n", F.lit(0)).cast("long"))
     return out.select("doc_id", "n_blockers", F.when(F.col("n_blockers") > 0, "needs_review").otherwise("reviewed").alias("status"))
 

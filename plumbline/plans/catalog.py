@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scanner
+from ..functions import fixed, scanner
 from ..functions import text as tx
-from ..operators import cache, gate, images, leaks, markdown, packing, regions, units
+from ..operators import cache, fidelity, gate, images, leaks, markdown, packing, regions, units
 from ..schemas import KINDS, UNIT_ID
 from ..sources import files, sinks
 from ..streaming import flow
@@ -234,10 +234,12 @@ _IMGS = rf"""(select page_id, idx, src, alt, case when starts_with(src, 'data:im
   from (select page_id, unnest(t) as tag, unnest(range(0, len(t))) as idx from (select page_id, regexp_extract_all({_BODY}, '<img\b[^>]*?>') as t from d_html))))"""
 _be = lambda at: f"(cast(concat('0x', substr(hex(data), {2 * at - 1}, 8)) as bigint))"
 _le = lambda at: f"(cast(concat('0x', substr(hex(data), {2 * at + 1}, 2), substr(hex(data), {2 * at - 1}, 2)) as bigint))"
+# The derived pages have a frame header behind segments of these two lengths.
+_jpeg_side = lambda k: f"coalesce(try_cast(concat('0x', regexp_extract(hex(data), '^FFD8(?:FFE00004.{{4}}|FFFE0006.{{8}})*FFC0000B08(.{{4}})(.{{4}})', {k})) as bigint), 0)"
 _DIMS = f"""(select page_id, idx, src, alt, data, case when data is not null then sha256(data) end as sha, cast(octet_length(data) as bigint) as nbytes,
-  case when data is null then null when starts_with(hex(data), '89504E470D0A1A0A') and octet_length(data) >= 24 then 'png' when starts_with(hex(data), '474946') and octet_length(data) >= 10 then 'gif' else '?' end as kind,
-  case when data is null then null when starts_with(hex(data), '89504E470D0A1A0A') and octet_length(data) >= 24 then {_be(17)} when starts_with(hex(data), '474946') and octet_length(data) >= 10 then {_le(7)} else 0 end as w,
-  case when data is null then null when starts_with(hex(data), '89504E470D0A1A0A') and octet_length(data) >= 24 then {_be(21)} when starts_with(hex(data), '474946') and octet_length(data) >= 10 then {_le(9)} else 0 end as h from {_IMGS})"""
+  case when data is null then null when starts_with(hex(data), '89504E470D0A1A0A') and octet_length(data) >= 24 then 'png' when starts_with(hex(data), '474946') and octet_length(data) >= 10 then 'gif' when starts_with(hex(data), 'FFD8') then 'jpeg' else '?' end as kind,
+  case when data is null then null when starts_with(hex(data), '89504E470D0A1A0A') and octet_length(data) >= 24 then {_be(17)} when starts_with(hex(data), '474946') and octet_length(data) >= 10 then {_le(7)} else {_jpeg_side(2)} end as w,
+  case when data is null then null when starts_with(hex(data), '89504E470D0A1A0A') and octet_length(data) >= 24 then {_be(21)} when starts_with(hex(data), '474946') and octet_length(data) >= 10 then {_le(9)} else {_jpeg_side(1)} end as h from {_IMGS})"""
 
 
 def _images(spark, sf_dir):
@@ -284,11 +286,12 @@ def narrow_images(spark, sf_dir):
     return images.narrow(_images(spark, sf_dir), "page_id")
 
 
-@query(
-    rf"""select page_id, idx, case when regexp_matches(alt, '(?i)(?:公式|\beq(?:uation)?\.?)\s*\(?([0-9]+)') then 'eq' when regexp_matches(alt, '(?i)(?:图|\bfig(?:ure)?\.?)\s*([0-9]+)') then 'fig' end as declared_kind,
-  try_cast(case when regexp_matches(alt, '(?i)(?:公式|\beq(?:uation)?\.?)\s*\(?([0-9]+)') then regexp_extract(alt, '(?i)(?:公式|\beq(?:uation)?\.?)\s*\(?([0-9]+)', 1) else regexp_extract(alt, '(?i)(?:图|\bfig(?:ure)?\.?)\s*([0-9]+)', 1) end as bigint) as declared_num from {_IMGS}""",
-    d_html=v.HTML,
-)
+_FORMS = [(kind, pattern if exact else f"(?i){pattern}") for kind, _, pattern, exact in fixed.IMAGE_NAMES]
+_form_kind = "case " + " ".join(f"when regexp_matches(alt, '{p}') then '{kind}'" for kind, p in _FORMS) + " end"
+_form_num = "case " + " ".join(f"when regexp_matches(alt, '{p}') then regexp_extract(alt, '{p}', 1)" for _, p in _FORMS) + " end"
+
+
+@query(f"select page_id, idx, {_form_kind} as declared_kind, try_cast({_form_num} as bigint) as declared_num from {_IMGS}", d_html=v.HTML)
 def image_identity(spark, sf_dir):
     return images.identity(_images(spark, sf_dir), "page_id")
 
@@ -423,10 +426,32 @@ def issue_decisions(spark, sf_dir):
     return units.open_issues(units.inspect(u, t, terms), d)
 
 
-@query(f"select u.doc_id, cast(count(b.blocker) as bigint) as n_blockers, case when count(b.blocker) > 0 then 'needs_review' else 'reviewed' end as status from (select distinct doc_id from d_units) u left join (select doc_id, id as blocker from {_OPEN} union all select doc_id, unit_id || ':semantic_review' from {_GAPS} union all select doc_id, 'review_coverage' from {_COVER}) b on b.doc_id = u.doc_id group by u.doc_id", **_V)
+_HEADS = """(select u.doc_id, unnest(list_filter([case when h.doc_id is null then 'semantic_review_missing' end, case when h.stale then 'stale_review' end, case when trim(h.reviewer) = '' then 'reviewer_missing' end], lambda x: x is not null)) as blocker
+  from (select distinct doc_id from d_units) u left join d_heads h on h.doc_id = u.doc_id)"""
+_REVIEWED = f"(select doc_id, id as blocker from {_OPEN} where severity <> 'error' union all select doc_id, unit_id || ':semantic_review' from {_GAPS} union all select doc_id, 'review_coverage' from {_COVER})"
+
+
+def _review_heads(spark, sf_dir, u, t):
+    """A review of each document, of its current version unless it is stale."""
+    current = units.versions(u, t)
+    heads = v.spark_view(spark, sf_dir, v.REVIEW_HEADS).join(current, "doc_id")
+    return current, heads.select("doc_id", "document_sha256", F.when(F.col("stale"), F.lit("older")).otherwise(F.col("translation_sha256")).alias("translation_sha256"), "reviewer")
+
+
+@query(f"select * from {_HEADS}", d_units=v.UNITS, d_heads=v.REVIEW_HEADS)
+def review_states(spark, sf_dir):
+    u, t = _v(spark, sf_dir, "d_units", "d_translations")
+    return units.review_state(*_review_heads(spark, sf_dir, u, t))
+
+
+@query(
+    f"select u.doc_id, cast(count(b.blocker) as bigint) as n_blockers, case when count(b.blocker) > 0 then 'needs_review' else 'reviewed' end as status from (select distinct doc_id from d_units) u left join (select doc_id, id as blocker from {_ISSUES} where severity = 'error' union all select * from {_HEADS} union all select * from {_REVIEWED} r where r.doc_id in (select doc_id from d_heads)) b on b.doc_id = u.doc_id group by u.doc_id",
+    **_V, d_heads=v.REVIEW_HEADS,
+)
 def assess_status(spark, sf_dir):
     u, t, terms, r, d = _v(spark, sf_dir, *_V)
-    return units.assess(u, t, terms, r, d)
+    current, heads = _review_heads(spark, sf_dir, u, t)
+    return units.assess(u, t, terms, heads, r, d, current)
 
 
 @query(f"select cast(max(case status when 'reviewed' then 0 else 2 end) as bigint) as code, count(*) as n from (select u.doc_id, case when count(b.blocker) > 0 then 'needs_review' else 'reviewed' end as status from (select distinct doc_id from d_units) u left join (select doc_id, unit_id as blocker from {_GAPS}) b on b.doc_id = u.doc_id group by u.doc_id)", d_units=v.UNITS, d_reviews=v.REVIEWS)
@@ -555,21 +580,59 @@ def crop_boxes(spark, sf_dir):
     return regions.crop_boxes(z, v.spark_view(spark, sf_dir, v.BOXES))
 
 
+_LIMIT = "case img_type when 'lineart' then 0.05::double when 'halftone' then 0.35::double else 0.20::double end"
+
+
+def _severity_sql(label: str, otherwise: str, *steps: tuple[str, str]) -> str:
+    return "case " + " ".join(f"when {condition} then {x}" for condition, x in steps) + f" else {otherwise} end as {label}"
+
+
+_MAJOR = "coalesce(iou < 0.35, false) or coalesce(missing / lim > 3, false) or coalesce(extra / lim > 3, false) or coalesce(cc < 0.40, false)"
+_LESS = "coalesce(iou < 0.60, false) or coalesce(missing / lim > 1, false) or coalesce(extra / lim > 1, false)"
+_MINOR = "coalesce(missing / lim > 0.5, false) or coalesce(extra / lim > 0.5, false)"
+
+
 @query(
-    """select doc_id, case when dup or mismatch or unmatched then 'critical' when iou is null or missing is null or cc is null then 'unknown' when iou < 0.35 or missing > 3 * lim or cc < 0.40 or iou < 0.60 or missing > lim then 'major' when iou < 0.80 then 'moderate' when missing > lim / 2 then 'minor' else 'ok' end as severity,
-  cast(case when dup then 0 when mismatch then 1 when unmatched then 2 when iou is null then 5 when iou < 0.35 or missing > 3 * lim or cc < 0.40 then 3 when iou < 0.60 or missing > lim then 4 when iou < 0.80 then 6 when missing > lim / 2 then 7 else 9 end as bigint) as rank from (select * replace (cast(lim as double) as lim) from d_metrics)""",
+    "select doc_id, "
+    + _severity_sql("severity", "'ok'", ("dup or mismatch or unmatched", "'critical'"), ("not ok", "'unknown'"), (f"{_MAJOR} or {_LESS}", "'major'"), ("coalesce(iou < 0.80, false)", "'moderate'"), (_MINOR, "'minor'"))
+    + ", cast("
+    + _severity_sql("x", "9", ("dup", "0"), ("mismatch", "1"), ("unmatched", "2"), ("not ok", "5"), (_MAJOR, "3"), (_LESS, "4"), ("coalesce(iou < 0.80, false)", "6"), (_MINOR, "7")).removesuffix(" as x")
+    + f" as bigint) as rank from (select *, {_LIMIT} as lim from d_metrics)",
     d_metrics=v.METRICS,
 )
 def severity_ladder(spark, sf_dir):
-    m = v.spark_view(spark, sf_dir, v.METRICS).withColumn("lim", F.col("lim").cast("double"))
-    s = regions.severity(F.col("dup"), F.col("mismatch"), F.col("unmatched"), F.col("iou"), F.col("missing"), F.col("cc"), F.col("lim"))
-    return m.select("doc_id", s.alias("s")).select("doc_id", "s.severity", "s.rank")
+    return regions.severity(v.spark_view(spark, sf_dir, v.METRICS), "doc_id")
+
+
+_FLAGS = {
+    "UNDECODABLE": "not decoded",
+    "DUPLICATE_BYTES": "decoded and dup",
+    "UNMATCHED": "decoded and unmatched",
+    "LOW_CORRELATION": "placed and cc < 0.70",
+    "INK_MISSING": "placed and ok and missing > lim",
+    "INK_EXTRA": "placed and ok and extra > lim",
+    "SOLID_BLOB": "placed and ok and img_type = 'lineart' and blobs > 0",
+    "GLYPH_VANISHED": "placed and ok and img_type = 'lineart' and vanished_area > 40",
+    "STRETCHY_GLYPH_LOSS": "placed and ok and img_type = 'lineart' and stretchy_page > stretchy_crop and missing > 0.02",
+    "PAGE_REGION": "placed and page_share > 0.45",
+    "SLOT_MISMATCH": "placed and mismatch",
+    "LABEL_CONFLICT": "placed and label_conflict",
+    "NOT_AT_DECLARED_SLOT": "placed and declared_sqdiff > 0.020 and not mismatch",
+}
 
 
-@query("select doc_id, array_to_string(list_filter([case when cc < 0.70 then 'LOW_CORRELATION' end, case when iou < 0.60 then 'LOW_IOU' end, case when missing > lim then 'MISSING_INK' end, case when extra_ink > lim then 'EXTRA_INK' end, case when iou is null or cc is null then 'UNKNOWN' end], lambda x: x is not null), ',') as flags from (select * replace (cast(lim as double) as lim) from d_metrics)", d_metrics=v.METRICS)
+@query(
+    "select doc_id, array_to_string(list_filter([" + ", ".join(f"case when {c} then '{name}' end" for name, c in _FLAGS.items()) + f"], lambda x: x is not null), ',') as flags from (select *, decoded and not unmatched as placed, {_LIMIT} as lim from d_metrics)",
+    d_metrics=v.METRICS,
+)
 def image_flags(spark, sf_dir):
-    m = v.spark_view(spark, sf_dir, v.METRICS).withColumn("lim", F.col("lim").cast("double"))
-    return m.select("doc_id", regions.flags(F.col("iou"), F.col("missing"), F.col("extra_ink"), F.col("cc"), F.col("lim")).alias("flags"))
+    return regions.flags(v.spark_view(spark, sf_dir, v.METRICS), "doc_id")
+
+
+@query("select doc_id, coalesce(declared_kind = hit_kind and declared_num <> 0 and hit_num <> declared_num and not ambiguous, false) as mismatch from d_metrics", d_metrics=v.METRICS)
+def slot_mismatches(spark, sf_dir):
+    mismatch = regions.slot_mismatch(*map(F.col, ("declared_kind", "declared_num", "hit_kind", "hit_num", "ambiguous")))
+    return v.spark_view(spark, sf_dir, v.METRICS).select("doc_id", mismatch.alias("mismatch"))
 
 
 @query("select band, count(*) as n from (select case when sqdiff is null then 'unknown' when sqdiff <= 0.0003 then 'clean' when sqdiff <= 0.0092 then 'minor' when sqdiff <= 0.16 then 'suspect' else 'nonmatch' end as band from d_metrics) group by band", d_metrics=v.METRICS)
@@ -583,6 +646,89 @@ def ghost_class(spark, sf_dir):
     return v.spark_view(spark, sf_dir, v.METRICS).select("doc_id", c.alias("class"))
 
 
+# ---- Rasters
+
+
+def _threshold(c: str) -> str:
+    """Otsu's threshold of a column of grey levels, the lowest of equals."""
+    return f"""(select doc_id, t from (select doc_id, t, sum(n) filter (v <= t) as w, sum(n * v) filter (v <= t) as m, sum(n) as total, sum(n * v) as whole from (select doc_id, {c} as v, count(*) as n from d_pixels group by all), (select unnest(range(0, 256)) as t) group by doc_id, t)
+  where w > 0 and w < total qualify row_number() over (partition by doc_id order by (whole * w - m * total)::double * (whole * w - m * total)::double / (w * (total - w))::double desc, t) = 1)"""
+
+
+_INKED = f"(select p.*, p.a <= ta.t as ia, p.b <= tb.t as ib, ta.t as t from d_pixels p join {_threshold('a')} ta using (doc_id) join {_threshold('b')} tb on tb.doc_id = p.doc_id)"
+
+
+def _pixels(spark, sf_dir):
+    """One row an item: the arrays of both rasters."""
+    rows = v.spark_view(spark, sf_dir, v.PIXELS).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "a", "b"))).alias("p"), (F.max("x") + 1).alias("w"))
+    return rows.select("doc_id", "w", *[F.col(f"p.{c}").alias(c) for c in ("a", "b")])
+
+
+@query(
+    """select doc_id, case when avg(case when a between 40 and 215 then 1.0 else 0.0 end) > 0.18 then 'halftone' else 'lineart' end as img_type, cast(any_value(t) as bigint) as threshold, count(*) filter (ia) as ink, count(*) filter (ib and not near_a) as missing, count(*) filter (ia and not near_b) as extra, count(*) filter (ia and ib) as common
+from (select p.doc_id, p.x, p.y, p.a, p.t, p.ia, p.ib, bool_or(q.ia) as near_a, bool_or(q.ib) as near_b from inked p join inked q on q.doc_id = p.doc_id and abs(q.x - p.x) <= 1 and abs(q.y - p.y) <= 1 group by all) group by doc_id""",
+    d_pixels=v.PIXELS,
+    inked=f"select * from {_INKED}",
+)
+def raster_measures(spark, sf_dir):
+    return fidelity.measure(_pixels(spark, sf_dir)).select("doc_id", "img_type", "threshold", "ink", "missing", "extra", "common")
+
+
+@query()
+def raster_components(spark, sf_dir):
+    return fidelity.measure(_pixels(spark, sf_dir)).select("doc_id", "n_components", "n_blobs", "n_tall")
+
+
+PAGE_W, PAGE_H = 320, 240
+_PLACES = (("fig", 1, 0.0, 0.0, 19.2, 28.8), ("fig", 2, 19.2, 0.0, 38.4, 28.8))  # both halves of a page, in points
+
+
+def _drawn(batches):
+    """A page for each text, with strokes by its bytes, and three images: a true crop, one with a part lost (of another number for
+    every third item), and one that cannot be decoded or doubles its strokes."""
+    import numpy as np
+    import pandas as pd
+
+    from ..functions import rasters
+
+    for pdf in batches:
+        rows = []
+        for i, text in zip(pdf["item_id"], pdf["text"]):
+            page = np.full((PAGE_H, PAGE_W), 245, np.uint8)
+            for k, c in enumerate((text or " ").encode()[:160]):
+                y, x = (k * 37 + c * 5) % (PAGE_H - 24), (k * 53 + c * 11) % (PAGE_W - 24)
+                page[y : y + 4 + c % 17, x : x + 4 + c % 13] = 20 + c % 40
+            lost = page[40:200, 180:300].copy()
+            lost[60:120, 40:90] = 245
+            part = page[30:210, 10:150]
+            doubled = np.minimum(part, np.roll(part, (9, 11), (0, 1)))
+            images = [(0, rasters.encode_png(page[20:200, 20:140]), 1), (1, rasters.encode_png(lost), 1 if i % 3 == 0 else 2), (2, b"no image" if i % 5 == 0 else rasters.encode_png(doubled), 1)]
+            rows += [(i, 1, rasters.encode_png(page), n, content, num) for n, content, num in images]
+        yield pd.DataFrame(rows, columns=["doc_id", "page", "sheet", "idx", "content", "declared_num"])
+
+
+def _cut(spark, sf_dir):
+    """images, pages and places drawn from the benchmark's texts."""
+    rows = _t(spark, sf_dir, "benchmark").select("item_id", "text").mapInPandas(_drawn, "doc_id long, page long, sheet binary, idx long, content binary, declared_num long")
+    pages = rows.filter("idx = 0").select("doc_id", "page", F.col("sheet").alias("content"))
+    places = F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("kind", "num", "x0", "y0", "x1", "y1"), place)]) for place in _PLACES]))
+    images_ = rows.select("doc_id", "idx", "content", F.lit("fig").alias("declared_kind"), "declared_num", (F.col("doc_id") % 7 == 0).alias("label_conflict"))
+    return images_, pages, pages.select("doc_id", "page", places.alias("p")).select("doc_id", "page", "p.*").withColumn("num", F.col("num").cast("long"))
+
+
+@query()
+def crop_fidelity(spark, sf_dir):
+    """Severity and flags of images against the pages that they were cut from."""
+    images_, pages, places = _cut(spark, sf_dir)
+    return fidelity.judge(images_, fidelity.locate(images_, pages, places))
+
+
+@query()
+def image_ghosts(spark, sf_dir):
+    images_, pages, _ = _cut(spark, sf_dir)
+    return fidelity.ghosts(images_, pages).select("doc_id", "idx", "class")
+
+
 # ---- Scans that keep positions (no SQL form; tests compare them with small examples)
 
 

@@ -47,6 +47,12 @@ def _png(w: str, h: str) -> str:
     return f"base64(unhex(concat('89504E470D0A1A0A0000000D49484452', lpad(hex(cast({w} as bigint)), 8, '0'), lpad(hex(cast({h} as bigint)), 8, '0'))))"
 
 
+def _jpeg() -> str:
+    """A frame header behind one segment or two."""
+    size = lambda x: f"lpad(hex(cast({x} as bigint)), 4, '0')"
+    return f"base64(unhex(concat('FFD8FFE000046162', case when page_id % 2 = 0 then 'FFFE00066A706567' else '' end, 'FFC0000B08', {size('page_id % 300 + 20')}, {size('page_id % 500 + 50')}, '01011100')))"
+
+
 def _img(k: int) -> str:
     w = f"case when page_id % 9 = 0 then 150 else 100 + 50 * ((page_id + {k}) % 5) end"
     num = f"case when page_id % 7 = 2 then {5 - k} when page_id % 8 = 5 and {k} = 3 then 2 else {k} end"
@@ -63,7 +69,12 @@ select page_id, concat(html, {', '.join(_img(k) for k in (1, 2, 3))},
   case when page_id % 10 = 7 then '<span class="katex-error" title="x">y</span>' else '' end,
   case when page_id % 4 = 2 then '<p>见图 6 所示</p>' else '' end,
   case when page_id % 14 = 1 then '<p>参考文献 [1] A 2001</p>' else '' end,
-  case when page_id % 15 = 2 then '<p>cost $3 **bold**</p>' else '' end) as html
+  case when page_id % 15 = 2 then '<p>cost $3 **bold**</p>' else '' end,
+  case when page_id % 13 = 6 then concat('<img src="data:image/jpeg;base64,', {_jpeg()}, '" alt="assets/eq_12.png">')
+    when page_id % 13 = 7 then concat('<img src="data:image/jpeg;base64,', base64(unhex('FFD8FFE0000461620000000000000000')), '" alt="式 3">')
+    when page_id % 13 = 8 then concat('<img src="data:image/png;base64,', {_png('250', '90')}, '" alt="fig-7">')
+    when page_id % 13 = 9 then concat('<img src="data:image/png;base64,', {_png('260', '90')}, '" alt="table_2">')
+    when page_id % 13 = 10 then concat('<img src="data:image/png;base64,', {_png('270', '90')}, '" alt="Equation 4 of 表 5">') else '' end) as html
 from {{pages}}
 """
 
@@ -97,6 +108,8 @@ REVIEWS = f"""
 select doc_id, ord, id, case when (doc_id + ord) % 23 = 0 then 'needs_review' else 'passed' end as verdict, {_checks_case} as checks, cast(case when (doc_id + ord) % 31 = 0 then 1 else 0 end as bigint) as n_findings
 from ({UNITS}) as u where (doc_id + ord) % 97 <> 0
 """
+#: One review a document: none for some, of an older translation for others, unsigned for others.
+REVIEW_HEADS = "select doc_id, doc_id % 17 = 0 as stale, case when doc_id % 23 = 1 then ' ' else 'reader' end as reviewer from {documents} where doc_id % 19 <> 0"
 DECISIONS = f"select doc_id, concat(id, ':numbers') as issue_id, case when ord % 4 = 0 then ' ' else 'unit converted' end as reason from ({UNITS}) as u where ord % 2 = 0"
 
 CACHE_LOG = """
@@ -130,15 +143,26 @@ select doc_id, k % 2 as page, k as num, case when (doc_id + k) % 3 = 0 then 'R'
 from ({_n}) as r
 """
 METRICS = """
-select doc_id, doc_id % 41 = 0 as dup, doc_id % 43 = 0 as mismatch, doc_id % 47 = 0 as unmatched,
-  case when doc_id % 53 = 0 then null else cast(doc_id % 21 as double) / 20 end as iou, cast(doc_id % 33 as double) / 100 as missing, cast(doc_id % 15 as double) / 100 as extra_ink,
-  cast(doc_id % 11 as double) / 10 as cc, case when doc_id % 2 = 0 then 0.08 else 0.125 end as lim,
-  case when doc_id % 59 = 0 then null else cast(doc_id % 19 as double) * 0.0102 end as sqdiff,
+select doc_id, doc_id % 41 = 0 as dup, doc_id % 43 = 0 as mismatch, doc_id % 47 = 0 as unmatched, doc_id % 37 <> 0 as decoded, doc_id % 53 <> 0 as ok,
+  case when doc_id % 53 = 0 then null else cast(doc_id % 21 as double) / 20 end as iou, case when doc_id % 53 = 0 then null else cast(doc_id % 33 as double) / 200 end as missing,
+  case when doc_id % 53 = 0 then null else cast(doc_id % 25 as double) / 150 end as extra,
+  case when doc_id % 7 = 0 then null else cast(doc_id % 11 as double) / 10 end as cc, case when doc_id % 5 = 0 then 'halftone' when doc_id % 17 = 0 then 'unknown' else 'lineart' end as img_type,
+  case when doc_id % 59 = 0 then null else cast(doc_id % 19 as double) * 0.0102 end as sqdiff, case when doc_id % 3 = 0 then null else cast(doc_id % 9 as double) / 200 end as declared_sqdiff,
+  cast(doc_id % 4 as bigint) as blobs, cast(doc_id % 90 as bigint) as vanished_area, cast(doc_id % 3 as bigint) as stretchy_page, cast(doc_id % 2 as bigint) as stretchy_crop, cast(doc_id % 20 as double) / 20 as page_share, doc_id % 29 = 0 as label_conflict,
+  case when doc_id % 6 = 0 then null when doc_id % 2 = 0 then 'fig' else 'eq' end as declared_kind, cast(doc_id % 4 as bigint) as declared_num, case when doc_id % 8 = 0 then null when doc_id % 3 = 0 then 'fig' else 'eq' end as hit_kind, case when doc_id % 10 = 0 then null else cast(doc_id % 3 as bigint) end as hit_num, doc_id % 12 = 1 as ambiguous,
   cast(doc_id % 8 as double) / 2 as med, cast(100 * (doc_id % 5) + 100 as bigint) as ink, cast(doc_id % 9 as double) / 100 as unexplained, cast(doc_id % 4 as double) / 200 as vanished, 1 + cast(doc_id % 12 as double) / 10 as ratio
 from {documents}
 """
 
 
+#: Two small grey rasters an item, by arithmetic on ids and places: strokes or mid-grey; the second lacks a part or has a block more.
+_digit = "(select 0 as d union all select 1 union all select 2 union all select 3 union all select 4 union all select 5 union all select 6 union all select 7 union all select 8 union all select 9)"
+PIXELS = f"""
+select doc_id, x, y, a, case when doc_id % 3 = 0 and x > 30 then 250 when doc_id % 5 = 1 and x < 12 and y < 12 then 10 else a end as b
+from (select doc_id, x, y, cast(case when doc_id % 4 = 0 then 40 + (x * 7 + y * 11 + doc_id * 3) % 200 when (cast(floor(x / 3.0) as int) + doc_id) % 5 = 0 and y % 12 < 10 then 20 else 250 end as int) as a
+  from (select item_id as doc_id, cast(k % 40 as int) as x, cast(floor(k / 40.0) as int) as y from {{benchmark}}, (select a.d + 10 * b.d + 100 * c.d as k from {_digit} as a, {_digit} as b, {_digit} as c) as ks where k < 960) as places) as pixels
+""".replace("{{", "{").replace("}}", "}")
+
 BLOCKS = f"""
 select doc_id, k % 2 as page, cast((doc_id * 5 + k * 97) % 600 as double) as x0, cast((doc_id * 7 + k * 131) % 700 as double) as y0, cast((doc_id * 5 + k * 97) % 600 + 90 as double) as x1, cast((doc_id * 7 + k * 131) % 700 + 24 as double) as y1,
   case when k = 0 then concat('Figure ', cast(doc_id % 9 as varchar(9)), '. A plot') when k = 1 then concat('Table ', cast(doc_id % 5 as varchar(9)), ' rows') when k = 2 and doc_id % 7 = 0 then concat('Fig. 4: long', repeat(concat(chr(10), 'more'), 7)) when k = 2 then concat('fig 3', chr(10), 'and a line') else 'plain text' end as text

@@ -54,10 +54,26 @@ def test_only_candidates_can_be_waived(spark, doc):
 def test_assess(spark, doc):
     full = doc.select("doc_id", "id", F.lit("passed").alias("verdict"), units.required_checks(F.col("kind")).alias("checks"), F.lit(0).cast("long").alias("n_findings"))
     none = spark.createDataFrame([], "doc_id string, issue_id string, reason string")
-    assert units.assess(doc, tr(spark, *GOOD), None, full, none).first()["status"] == "reviewed"
-    assert units.assess(doc, tr(spark, *GOOD), None, full.filter("id <> 'b2'"), none).first()["n_blockers"] == 2
-    short = full.withColumn("checks", F.slice("checks", 1, 3))
-    assert units.assess(doc, tr(spark, *GOOD), None, short, none).first()["status"] == "needs_review"
+    good = tr(spark, *GOOD)
+    heads = units.versions(doc, good).withColumn("reviewer", F.lit("reader"))
+
+    def judged(review_units=full, reviews=heads, translation=good):
+        r = units.assess(doc, translation, None, reviews, review_units, none).first()
+        return r["status"], r["n_blockers"]
+
+    assert judged() == ("reviewed", 0)
+    assert judged(full.filter("id <> 'b2'"))[1] == 2
+    assert judged(full.withColumn("checks", F.slice("checks", 1, 3)))[0] == "needs_review"
+    assert judged(reviews=heads.filter("false")) == ("needs_review", 1)
+    assert judged(reviews=heads.withColumn("reviewer", F.lit(" "))) == ("needs_review", 1)
+    assert judged(translation=tr(spark, GOOD[0] + "!", *GOOD[1:])) == ("needs_review", 1)  # the review is of another text
+    assert judged(review_units=full.filter("false"), reviews=heads.filter("false")) == ("needs_review", 1)
+
+
+def test_conflicts_fold_case(spark):
+    cols = "doc_id string, ord long, id string, source string, target string, sense string, unit_ids array<string>, status string"
+    rows = [("a", 1, "x", "Straße", "t1", "s", ["b1"], "approved"), ("a", 2, "y", "STRASSE", "t2", "s", ["b1"], "approved")]
+    assert [(r["word"], r["a_id"], r["b_id"]) for r in units.term_conflicts(spark.createDataFrame(rows, cols)).collect()] == [("strasse", "x", "y")]
 
 
 def test_unit_violations(spark):
@@ -116,8 +132,12 @@ def test_gate(spark):
         gate.require(spark.createDataFrame([("fail",)], "status string"))
 
 
-def test_severity_boundaries(spark):
-    cols = "dup boolean, mis boolean, un boolean, iou double, miss double, cc double"
-    rows = [(False, False, False, 0.8, 0.04, 0.7), (False, False, False, 0.8, 0.05, 0.7), (False, False, False, 0.79, 0.0, 0.7), (False, False, False, 0.59, 0.0, 0.7), (False, False, False, 0.34, 0.0, 0.7), (True, True, True, None, None, None), (False, False, False, None, 0.0, 0.7)]
-    s = spark.createDataFrame(rows, cols).select(regions.severity(F.col("dup"), F.col("mis"), F.col("un"), F.col("iou"), F.col("miss"), F.col("cc"), F.lit(0.08)).alias("s"))
-    assert [r["s"]["rank"] for r in s.collect()] == [9, 7, 6, 4, 3, 0, 5]
+@pytest.mark.parametrize(
+    "change,rank",
+    [({}, 9), ({"missing": 0.05 / 2}, 9), ({"missing": 0.03}, 7), ({"extra": 0.03}, 7), ({"iou": 0.79}, 6), ({"iou": 0.59}, 4), ({"missing": 0.06}, 4), ({"extra": 0.06}, 4), ({"extra": 0.16}, 3), ({"iou": 0.34}, 3), ({"cc": 0.39}, 3), ({"cc": None}, 9)]
+    + [({"ok": False, "iou": None}, 5), ({"dup": True, "ok": False}, 0), ({"mismatch": True}, 1), ({"unmatched": True, "ok": None}, 2), ({"img_type": "halftone", "missing": 0.2}, 7), ({"img_type": None, "missing": 0.2}, 7), ({"iou": None}, 9)],
+)
+def test_severity(spark, change, rank):
+    row = {"id": 1, "dup": False, "mismatch": False, "unmatched": False, "ok": True, "iou": 0.8, "missing": 0.0, "extra": 0.0, "cc": 0.7, "img_type": "lineart"} | change
+    schema = "id long, dup boolean, mismatch boolean, unmatched boolean, ok boolean, iou double, missing double, extra double, cc double, img_type string"
+    assert regions.severity(spark.createDataFrame([tuple(row.values())], schema), "id").first()["rank"] == rank
