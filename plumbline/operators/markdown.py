@@ -14,14 +14,17 @@ _EAST_ASIAN = r"[\x{4e00}-\x{9fff}\x{3040}-\x{30ff}]"
 
 def residue_lines(text: Column | str, min_letters: int = 60) -> Column:
     """(line, text) of the lines that look like untranslated prose; lines count from 1."""
-    stripped = F.transform(lines(text), lambda line, k: F.struct((k + 1).cast("long").alias("line"), strip(line).alias("text")))
+    # By rising cost: a line of no more characters than that is passed over before any regular expression runs.
+    numbered = F.transform(lines(text), lambda line, k: F.struct((k + 1).cast("long").alias("line"), line.alias("text")))
+    long = F.filter(numbered, lambda x: F.length(x["text"]) > min_letters)
+    stripped = F.transform(long, lambda x: F.struct(x["line"].alias("line"), strip(x["text"]).alias("text")))
 
     def suspicious(x: Column) -> Column:
         s = x["text"]
         skip = F.contains(s, F.lit("\\"))
         for p in _SKIPPED:
             skip = skip | F.startswith(s, F.lit(p))
-        return ~skip & (F.length(F.regexp_replace(s, "[^A-Za-z]", "")) > min_letters) & ~F.regexp_like(s, F.lit(_EAST_ASIAN))
+        return ~skip & (F.regexp_count(s, F.lit("[A-Za-z]")) > min_letters) & ~F.regexp_like(s, F.lit(_EAST_ASIAN))
 
     return F.filter(stripped, suspicious)
 
@@ -80,16 +83,23 @@ def scope_ambiguity(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return b.select(id_col, "block", F.size(hit).cast("long").alias("n_hints")).filter("n_hints > 0")
 
 
-def missing_texts(df: DataFrame, required: DataFrame, id_col: str, text_col: str, required_col: str) -> DataFrame:
-    """Required texts that a document lacks.
+MAX_REQUIRED = 16_000_000  # characters of required texts, which ride along with every document
 
-    The documents are the large side: the (checked, bounded by the caller) list of required texts rides along as one array, and
-    nothing is shuffled.
+
+def missing_texts(df: DataFrame, required: DataFrame, id_col: str, text_col: str, key_col: str, required_col: str) -> DataFrame:
+    """n_missing and missing (sorted keys, joined by commas) of each document that lacks a required text; required has key_col and required_col.
+
+    The documents are the large side. The required texts are a caller's list: it is measured first, and more than MAX_REQUIRED
+    characters are an error; then it is one array at every document, and nothing is shuffled.
     """
-    wanted = required.agg(F.array_sort(F.collect_set(required_col)).alias("wanted"))
-    joined = df.join(F.broadcast(wanted))
-    lacking = F.filter("wanted", lambda w: ~F.contains(F.col(text_col), w))
-    return joined.select(id_col, F.explode(lacking).alias(required_col))
+    size = required.agg(F.sum(F.length(required_col))).first()[0] or 0
+    if size > MAX_REQUIRED:
+        raise ValueError(f"required texts have {size} characters, more than {MAX_REQUIRED}")
+    wanted = required.agg(F.array_sort(F.collect_set(F.struct(F.col(key_col).alias("key"), F.col(required_col).alias("text")))).alias("wanted"))
+    lacking = F.transform(F.filter("wanted", lambda w: ~F.contains(F.col(text_col), w["text"])), lambda w: w["key"])
+    found = df.join(F.broadcast(wanted)).select(id_col, lacking.alias("keys"))
+    joined = F.array_join(F.transform("keys", lambda k: k.cast("string")), ",")
+    return found.filter(F.size("keys") > 0).select(id_col, F.size("keys").cast("long").alias("n_missing"), joined.alias("missing"))
 
 
 def image_refs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Greedy contiguous packing of a document's units under a byte budget and a unit limit.
 
 Where a unit's cost is its own, the packing is one fold over the ordered array of a document. Where it depends on what a
-batch holds (neighbours, evidence), pack_exact runs the caller's cost function by document.
+batch holds (neighbours, evidence), pack_exact lets the caller prepare a document once and then asks for the cost of spans of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,17 +42,27 @@ def greedy(items: list, cost: Callable[[list], int], budget: int, max_units: int
     return batches
 
 
-def pack_exact(units: DataFrame, cost: Callable[[list[dict], list[dict]], int], budget: int, max_units: int) -> DataFrame:
-    """Like pack_additive for cost(all units, batch); a document that cannot be packed is one row with error set."""
+def pack_exact(units: DataFrame, prepare: Callable[[list[dict]], Callable[[int, int], int]], budget: int, max_units: int) -> DataFrame:
+    """Like pack_additive, where prepare(units of a document in order) gives the cost of its units first..last (both included).
+
+    A document that cannot be packed is one row with error set.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("ord").to_dict("records")
+        cost = prepare(rows)
         try:
-            batches = greedy(rows, lambda b: cost(rows, b), budget, max_units)
+            batches = greedy(list(range(len(rows))), lambda b: cost(b[0], b[-1]), budget, max_units)
         except ValueError as e:
             return pd.DataFrame({"doc_id": [rows[0]["doc_id"]], "ord": [None], "batch_no": [None], "error": [str(e)]})
-        out = [(r["doc_id"], r["ord"], k, None) for k, b in enumerate(batches) for r in b]
+        out = [(rows[k]["doc_id"], rows[k]["ord"], n, None) for n, b in enumerate(batches) for k in b]
         return pd.DataFrame(out, columns=["doc_id", "ord", "batch_no", "error"])
 
     kind = units.schema["doc_id"].dataType.simpleString()
     return units.groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, ord long, batch_no long, error string")
+
+
+def with_neighbours(rows: list[dict]) -> Callable[[int, int], int]:
+    """Bytes of a span with the unit before and the one after it, from running sums (size: the unit's own bytes)."""
+    until = [0, *accumulate(r["size"] for r in rows)]
+    return lambda first, last: until[min(len(rows), last + 2)] - until[max(0, first - 1)]

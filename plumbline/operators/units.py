@@ -208,8 +208,13 @@ def packet_sizes(units: DataFrame) -> DataFrame:
     return units.groupBy("doc_id").agg(F.sum(F.length("source")).cast("long").alias("content_chars"), F.sum(F.octet_length("source")).cast("long").alias("content_utf8_bytes"), F.count(F.lit(1)).alias("n_units"))
 
 
+MAX_TERMS = 10_000  # personal terms, which ride along with every unit
+
+
 def relevant_terms(units: DataFrame, terms: DataFrame) -> DataFrame:
-    """Personal terms (term, target; a bounded list) that occur in a document."""
+    """Personal terms (term, target) that occur in a document; the list is counted first, and more than MAX_TERMS are an error."""
+    if terms.limit(MAX_TERMS + 1).count() > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} personal terms")
     held = terms.agg(F.collect_list(F.struct("term", "target")).alias("all"))
     hit = F.filter("all", lambda t: term_present(F.col("source"), t["term"]))
     return units.join(F.broadcast(held)).select("doc_id", F.explode(hit).alias("t")).select("doc_id", "t.term", "t.target").distinct()

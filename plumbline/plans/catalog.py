@@ -101,7 +101,11 @@ def bracket_pairs(spark, sf_dir):
     return markdown.bracket_pairs(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md")
 
 
-@query()
+@query(
+    r"""select doc_id, block, cast(len(list_filter(list_concat(regexp_extract_all(t, '(?s)\\left\((.{1,80}?)\\right\)\s*\\left\((.{1,140}?)\\right\)', 2), regexp_extract_all(replace(t, '\left(', chr(1)), '(?s)\(([^()\x01]{1,80})\)\s*\(([^()\x01]{1,140})\)', 2)), lambda g: regexp_matches(g, '[-−]') and not regexp_matches(g, '\\frac|\\begin\{'))) as bigint) as n_hints
+from (select doc_id, unnest(b) as t, cast(unnest(range(0, len(b))) as bigint) as block from (select doc_id, regexp_extract_all(md, '(?s)\$\$(.+?)\$\$', 1) as b from d_md)) where n_hints > 0""",
+    d_md=v.MD,
+)
 def scope_ambiguity(spark, sf_dir):
     return markdown.scope_ambiguity(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md")
 
@@ -118,12 +122,12 @@ def delimiter_balance(spark, sf_dir):
 
 
 @query(
-    "select d.doc_id, w.text as wanted from d_md d, (select distinct 'Method summary' as text union select distinct text from benchmark) w where not contains(d.md, w.text)",
+    "select doc_id, count(*) as n_missing, string_agg(cast(id as varchar), ',' order by id) as missing from (select d.doc_id, w.id from d_md d, (select 0 as id, 'Method summary' as text union all select item_id + 1, text from benchmark) w where not contains(d.md, w.text)) group by doc_id",
     d_md=v.MD,
 )
 def missing_sections(spark, sf_dir):
-    wanted = _t(spark, sf_dir, "benchmark").select("text").unionByName(spark.range(1).select(F.lit("Method summary").alias("text"))).distinct()
-    return markdown.missing_texts(v.spark_view(spark, sf_dir, v.MD), wanted.withColumnRenamed("text", "wanted"), "doc_id", "md", "wanted")
+    wanted = _t(spark, sf_dir, "benchmark").select((F.col("item_id") + 1).alias("id"), "text").unionByName(spark.range(1).select("id", F.lit("Method summary").alias("text")))
+    return markdown.missing_texts(v.spark_view(spark, sf_dir, v.MD), wanted, "doc_id", "md", "id", "text")
 
 
 _REFS = r"select doc_id, regexp_extract(r, '[^/]+$') as name from (select doc_id, unnest(regexp_extract_all(md, '!\[[^\]]*\]\(([^)]+\.png)\)', 1)) as r from d_md)"
@@ -140,7 +144,15 @@ def display_formulas(spark, sf_dir):
     return markdown.formulas(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md").filter("kind = 'block'").select("doc_id", "ord", "tex")
 
 
-@query()
+# Inline formulas have single dollars at both ends: with a mark around each run of dollars, no look-around is needed.
+_INLINE = r"regexp_extract_all(regexp_replace(regexp_replace(md, '\$\$[\s\S]+?\$\$', '', 'g'), '(\$+)', chr(1) || '\1' || chr(1), 'g'), '\x01\$\x01([^$\n\x01]+)\x01\$\x01', 1)"
+
+
+@query(
+    rf"""select doc_id, cast(k as bigint) as ord, case when k < n then 'block' else 'inline' end as kind, regexp_replace(t, '^\s+|\s+$', '', 'g') as tex
+from (select doc_id, len(b) as n, unnest(list_concat(b, i)) as t, unnest(range(0, len(b) + len(i))) as k from (select doc_id, regexp_extract_all(md, '\$\$([\s\S]+?)\$\$', 1) as b, {_INLINE} as i from d_md))""",
+    d_md=v.MD,
+)
 def formulas(spark, sf_dir):
     return markdown.formulas(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md")
 
@@ -773,23 +785,34 @@ def page_verdicts(spark, sf_dir):
     return leaks.verdicts(pages, found.unionByName(images.findings(images.extract(pages, "page_id", "html"), "page_id").select("subject_id", "severity")), "page_id")
 
 
-@query()
-def exact_batches(spark, sf_dir):
-    u = units.split_units(_t(spark, sf_dir, "documents"), "doc_id", "text")
-    return packing.pack_exact(u, _with_neighbours, 24_000, 8)
+# Lines of documents as units, as split_units makes them, with their place in the document and running bytes.
+_SIZED = """sized as materialized (select *, sum(size) over (partition by doc_id order by k) as until, count(*) over (partition by doc_id) as n from (select doc_id, ord, octet_length(encode(line)) as size, row_number() over (partition by doc_id order by ord) as k
+  from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as ord from documents) where line <> ''))"""
 
 
-def _with_neighbours(rows: list[dict], batch: list[dict]) -> int:
-    """Bytes of a batch with the unit before and the one after it."""
-    at = {r["ord"]: k for k, r in enumerate(rows)}
-    first, last = at[batch[0]["ord"]], at[batch[-1]["ord"]]
-    return sum(len(r["source"].encode()) for r in rows[max(0, first - 1) : last + 2])
+@query(
+    f"""with recursive {_SIZED},
+cost as materialized (select a.doc_id, a.ord, a.k, a.n, b.k as first, coalesce(c.until, a.until) - coalesce(d.until, 0) as bytes from sized a join sized b on b.doc_id = a.doc_id and b.k between a.k - 7 and a.k left join sized c on c.doc_id = a.doc_id and c.k = a.k + 1 left join sized d on d.doc_id = a.doc_id and d.k = b.k - 2),
+bad as (select distinct doc_id from cost where first = k and bytes > 24000),
+walk as (select doc_id, ord, k, k as first, 0 as batch_no from sized where k = 1
+  union all select x.doc_id, x.ord, x.k, case when x.k - w.first < 8 and y.bytes <= 24000 then w.first else x.k end, w.batch_no + case when x.k - w.first < 8 and y.bytes <= 24000 then 0 else 1 end from walk w join sized x on x.doc_id = w.doc_id and x.k = w.k + 1 left join cost y on y.doc_id = x.doc_id and y.k = x.k and y.first = w.first)
+select doc_id, cast(ord as bigint) as ord, cast(batch_no as bigint) as batch_no, cast(null as varchar) as error from walk where doc_id not in (select doc_id from bad) union all select doc_id, null, null, 'a unit with its full context exceeds the budget' from bad"""
+)
+def exact_batches(spark, sf_dir):
+    u = units.split_units(_t(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "ord", F.octet_length("source").alias("size"))
+    return packing.pack_exact(u, packing.with_neighbours, 24_000, 8)
 
 
 # ---- Workflow
 
 
-@query()
+_blank_units = r"(select doc_id, bool_or(regexp_full_match(line, '\s*')) as bad from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where line <> '' group by doc_id)"
+
+
+@query(
+    f"""select cast(doc_id as varchar) as doc_id, cast(seq as bigint) as seq, case when bad then 'rejected' when seq = 1 then 'started' else 'request' end as outcome, case when not bad then 'analyze' end as phase,
+  case when bad and seq = 1 then 'a unit''s kind or source is invalid' when bad then 'the flow has not started' end as detail from {_blank_units}, (select 1 as seq union all select 2)"""
+)
 def flow_outcomes(spark, sf_dir):
     """Starts a flow for every document and asks for its first request."""
     u = units.split_units(_t(spark, sf_dir, "documents"), "doc_id", "text")

@@ -70,6 +70,27 @@ def test_assess(spark, doc):
     assert judged(review_units=full.filter("false"), reviews=heads.filter("false")) == ("needs_review", 1)
 
 
+def test_spans_with_neighbours():
+    cost = packing.with_neighbours([{"size": 2**k} for k in range(6)])
+    for a in range(6):
+        for b in range(a, 6):
+            assert cost(a, b) == sum(2**k for k in range(max(0, a - 1), min(6, b + 2)))
+
+
+def test_lists_are_measured(spark, monkeypatch):
+    from plumbline.operators import markdown
+
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "none")], "id long, text string")
+    wanted = spark.createDataFrame([(7, "beta"), (8, "gamma")], "key long, t string")
+    assert [tuple(r) for r in markdown.missing_texts(docs, wanted, "id", "text", "key", "t").orderBy("id").collect()] == [(1, 1, "8"), (2, 2, "7,8")]
+    monkeypatch.setattr(markdown, "MAX_REQUIRED", 5)
+    with pytest.raises(ValueError):
+        markdown.missing_texts(docs, wanted, "id", "text", "key", "t")
+    monkeypatch.setattr(units, "MAX_TERMS", 1)
+    with pytest.raises(ValueError):
+        units.relevant_terms(docs, wanted)
+
+
 def test_conflicts_fold_case(spark):
     cols = "doc_id string, ord long, id string, source string, target string, sense string, unit_ids array<string>, status string"
     rows = [("a", 1, "x", "Straße", "t1", "s", ["b1"], "approved"), ("a", 2, "y", "STRASSE", "t2", "s", ["b1"], "approved")]
@@ -105,9 +126,10 @@ def test_packing(spark):
     rows = [tuple(r)[1:] for r in packing.pack_additive(df, 12, 3).orderBy("ord").collect()]
     assert rows == [(0, 0, True), (1, 0, True), (2, 1, True), (3, 2, False), (4, 3, True), (5, 3, True), (6, 3, True), (7, 4, True)]
     ok = df.filter("cost < 20")
-    exact = {r["ord"]: r["batch_no"] for r in packing.pack_exact(ok, lambda rows, b: sum(x["cost"] for x in b), 12, 3).collect()}
+    whole = lambda rows: lambda a, b: sum(r["cost"] for r in rows[a : b + 1])
+    exact = {r["ord"]: r["batch_no"] for r in packing.pack_exact(ok, whole, 12, 3).collect()}
     assert exact == {r["ord"]: r["batch_no"] for r in packing.pack_additive(ok, 12, 3).collect()}
-    assert packing.pack_exact(df, lambda rows, b: sum(x["cost"] for x in b), 12, 3).first()["error"]
+    assert packing.pack_exact(df, whole, 12, 3).first()["error"]
 
 
 def test_cache(spark):
