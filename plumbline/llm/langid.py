@@ -37,7 +37,7 @@ TRAIN_CHARS = 6_000_000
 EVIDENCE = 25
 KNOWN_PRIOR = 2  # a text of a few unseen words tells little
 LONGEST = 4
-MEMO = 200_000
+MEMO = 100_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -107,15 +107,15 @@ def build(rows: Iterable[tuple[str, str, int]]) -> Model:
 
 
 class Scorer:
+    """Judges texts; unseen words are read once and kept in a memo of bounded size beside the model, which is not copied."""
+
     def __init__(self, model: Model):
         self.m = model
         self._fresh()
 
     def _fresh(self) -> None:
-        self.rows = dict(self.m.words)
-        self.logs = np.zeros((len(self.rows) + MEMO, max(1, len(self.m.langs))))
-        self.logs[: len(self.m.words)] = self.m.word_logs if len(self.m.words) else 0
-        self.used = len(self.rows)
+        self.memo: dict[str, int] = {}
+        self.logs = np.zeros((MEMO, max(1, len(self.m.langs))))
 
     def backoff(self, word: str) -> np.ndarray:
         padded, grams = f"^{word}$", self.m.grams
@@ -138,28 +138,33 @@ class Scorer:
         words = words_of(text)
         if not words or not self.m.langs:
             return "und", 0.0, 0.0
-        if self.used + len(words) > len(self.logs):
+        if len(self.memo) + len(words) > MEMO:
             self._fresh()
-        rows, picked, extra = self.rows, [], []
+        model, memo = self.m.words, self.memo
+        known, unseen, total = [], [], np.zeros(len(self.m.langs))
         for w in words:
-            row = rows.get(w)
+            row = model.get(w)
+            if row is not None:
+                known.append(row)
+                continue
+            row = memo.get(w)
             if row is None:
-                if self.used < len(self.logs):
-                    row = rows[w] = self.used
-                    self.logs[row] = self.backoff(w)
-                    self.used += 1
-                else:  # a text with more unseen words than the memo holds
-                    extra.append(self.backoff(w))
+                logs = self.backoff(w)
+                if len(memo) >= MEMO:  # a text with more unseen words than the memo holds
+                    total += logs
                     continue
-            picked.append(row)
-        total = self.logs[picked].sum(axis=0) + (np.sum(extra, axis=0) if extra else 0)
+                row = memo[w] = len(memo)
+                self.logs[row] = logs
+            unseen.append(row)
+        if known:
+            total += self.m.word_logs[known].sum(axis=0)
+        if unseen:
+            total += self.logs[unseen].sum(axis=0)
         z = total * (min(len(words), EVIDENCE) / len(words))
         e = np.exp(z - z.max())
         best = int(z.argmax())
-        held = np.array(picked, np.int64)
-        held = held[held < len(self.m.words)]
-        known = int((self.m.word_logs[held, best] > self.m.floor[best] + 0.1).sum()) if len(held) else 0
-        return self.m.langs[best], float(e[best] / e.sum()), (known + KNOWN_PRIOR) / (len(words) + KNOWN_PRIOR)
+        held = int((self.m.word_logs[known, best] > self.m.floor[best] + 0.1).sum()) if known else 0
+        return self.m.langs[best], float(e[best] / e.sum()), (held + KNOWN_PRIOR) / (len(words) + KNOWN_PRIOR)
 
 
 def key_crc(df: DataFrame, id_col: str):
