@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from ..functions import rasters
 from . import regions
 
-_FOUND = "idx long, decoded boolean, tier long, hit_kind string, hit_num long, page long, sqdiff double, ccoeff double, ambiguous boolean, declared_sqdiff double, page_share double"
+_FOUND = "idx long, decoded boolean, tier long, hit_kind string, hit_num long, page long, sqdiff double, ccoeff double, ambiguous boolean, declared_sqdiff double, page_share double, error string"
 _INK = "ok boolean, img_type string, ink_crop long, ink_page long, missing double, extra double, iou double, ratio double, blobs long, vanished_area long, stretchy_page long, stretchy_crop long, hash_distance long"
 _GHOST = "idx long, class string, page long, scale double, unexplained double, vanished double, ratio double, iou double, ink long, med double, mad double"
 
@@ -55,12 +55,11 @@ def locate(images: DataFrame, pages: DataFrame, places: DataFrame, dpi: int = ra
     def fn(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple]:
         sheets = _sheets(right, dpi)
         held = [rasters.Region(r["kind"], int(r["num"]), int(n), (r["x0"], r["y0"], r["x1"], r["y1"])) for n, rs in zip(right["page"], right["places"]) if rs is not None for r in rs if int(n) in sheets.pages]
-        out = []
-        for r in left.to_dict("records"):
+
+        def one(r: dict) -> tuple:
             crop = rasters.decode_png(bytes(r["content"])) if r["content"] is not None else None
             if crop is None:
-                out.append((r["idx"], False, 0, *[None] * 5, False, None, None, False, *[None] * (len(ink) - 1)))
-                continue
+                return (r["idx"], False, 0, *[None] * 5, False, None, None, None, False, *[None] * (len(ink) - 1))
             num = None if pd.isna(r["declared_num"]) else int(r["declared_num"])
             at = rasters.locate(crop, sheets, held, (r["declared_kind"], num), ladder)
             m = rasters.pair_metrics(crop, at["raster"])
@@ -68,7 +67,14 @@ def locate(images: DataFrame, pages: DataFrame, places: DataFrame, dpi: int = ra
             if at["box_pt"]:
                 page, (x0, y0, x1, y1) = sheets.page(at["page"], rasters.FINE_DPI), at["box_pt"]
                 share = round((x1 - x0) * (y1 - y0) / (page.size * (rasters.POINTS / rasters.FINE_DPI) ** 2), 4)
-            out.append((r["idx"], True, at["tier"], at["kind"], at["num"], at["page"], at["sqdiff"], at["ccoeff"], at["ambiguous"], at["declared_sqdiff"], share, *(m.get(c) for c in ink)))
+            return (r["idx"], True, at["tier"], at["kind"], at["num"], at["page"], at["sqdiff"], at["ccoeff"], at["ambiguous"], at["declared_sqdiff"], share, None, *(m.get(c) for c in ink))
+
+        out = []
+        for r in left.to_dict("records"):
+            try:
+                out.append(one(r))
+            except Exception as e:  # noqa: BLE001  one image's failure is a row, not the job's
+                out.append((r["idx"], True, 0, *[None] * 5, False, None, None, f"{type(e).__name__}: {e}"[:200], False, *[None] * (len(ink) - 1)))
         return out
 
     return _beside(images.drop("label_conflict"), pages.join(by_page, ["doc_id", "page"], "left"), fn, f"{_FOUND}, {_INK}")
@@ -86,6 +92,10 @@ def judge(images: DataFrame, located: DataFrame) -> DataFrame:
     told = regions.flags(m, "key").withColumnRenamed("key", "flag_key")
     both = regions.severity(m, "key").join(told, F.col("key") == F.col("flag_key"))
     undecoded = F.col("flags") == "UNDECODABLE"
+    # An image that could not be judged is unknown, with that flag alone.
+    failed = m.filter("error is not null").select(F.col("key").alias("failed"))
+    both = both.join(failed, F.col("key") == F.col("failed"), "left").withColumn("flags", F.when(F.col("failed").isNotNull(), "ERROR").otherwise(F.col("flags")))
+    both = both.withColumn("severity", F.when(F.col("failed").isNotNull(), "unknown").otherwise(F.col("severity"))).withColumn("rank", F.when(F.col("failed").isNotNull(), 5).otherwise(F.col("rank")))
     return both.select("key.doc_id", "key.idx", F.when(undecoded, "critical").otherwise(F.col("severity")).alias("severity"), F.when(undecoded, 2).otherwise(F.col("rank")).cast("long").alias("rank"), "flags")
 
 

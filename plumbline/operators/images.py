@@ -127,3 +127,8 @@ def missing_figures(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     refs = df.select(id_col, F.explode(matches(html_col, r"图\s*([0-9]+)", 1)).alias("num")).distinct()
     caps = df.select(id_col, F.explode(matches(html_col, r"图\s*([0-9]+)\s*[：:．.、，]", 1)).alias("num")).distinct()
     return refs.join(caps, [id_col, "num"], "left_anti").select(id_col, F.col("num").cast("long").alias("num"))
+
+
+def first_images(images: DataFrame, most: int) -> DataFrame:
+    """The first images of each page; the audit's limit on images."""
+    return images.filter(F.col("idx") < most)

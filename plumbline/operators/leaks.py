@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..functions.text import matches
@@ -70,3 +71,11 @@ def verdicts(subjects: DataFrame, findings: DataFrame, id_col: str) -> DataFrame
     joined = subjects.select(id_col).join(bad, F.col(id_col) == F.col("subject_id"), "left")
     n = F.coalesce("n_blocking", F.lit(0)).cast("long")
     return joined.select(id_col, n.alias("n_blocking"), (n == 0).alias("ok"))
+
+
+def examples(findings: DataFrame, most: int = 6) -> DataFrame:
+    """subject_id, rule, shown (the first matches in order, joined by ' | ') and omitted (how many more there are)."""
+    w = Window.partitionBy("subject_id", "rule").orderBy("ord")
+    first = findings.withColumn("k", F.row_number().over(w)).groupBy("subject_id", "rule")
+    shown = F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= most, F.struct("k", "match")))), lambda x: x["match"])
+    return first.agg(F.array_join(shown, " | ").alias("shown"), F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("omitted"))

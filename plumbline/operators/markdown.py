@@ -108,6 +108,13 @@ def image_refs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return refs.select(id_col, F.col("ord").cast("long").alias("ord"), F.regexp_extract("ref", r"[^/]+$", 0).alias("name"))
 
 
+def image_count_diff(df: DataFrame, id_col: str, text_col: str, expected: Column) -> DataFrame:
+    """n_refs and expected of documents that show another number of PNG files than expected; an expectation of 0 is none."""
+    n = F.size(matches(text_col, r"!\[[^\]]*\]\(([^)]+\.png)\)", 1)).cast("long")
+    found = df.select(id_col, n.alias("n_refs"), expected.cast("long").alias("expected"))
+    return found.filter("expected <> 0 and n_refs <> expected")
+
+
 def asset_diff(refs: DataFrame, assets: DataFrame, id_col: str) -> DataFrame:
     """Referenced files that are not there, and PNG files that nothing refers to; assets has id_col and name."""
     lost = refs.select(id_col, "name").distinct().join(assets, [id_col, "name"], "left_anti").withColumn("finding", F.lit("missing"))

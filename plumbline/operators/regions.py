@@ -68,6 +68,28 @@ def crop_boxes(zones: DataFrame, blocks: DataFrame, wide: float = 0.55) -> DataF
     return g.select("doc_id", "page", "num", F.when(use, F.col("ux0")).otherwise(F.col("x0")).alias("x0"), F.when(use, F.col("uy0")).otherwise(F.col("top")).alias("y0"), F.when(use, F.col("ux1")).otherwise(F.col("x1")).alias("x1"), F.when(use, F.col("uy1")).otherwise(F.col("bottom")).alias("y1"))
 
 
+def candidate_rects(anchors: DataFrame) -> DataFrame:
+    """The rectangle that an item's image would come from: the line of an equation number, the column above a caption.
+
+    anchors: doc_id, page, kind, num, x0, y0, x1, y1 and width (of the page), in points.
+    """
+    c = F.col
+    is_eq = c("kind") == "eq"
+    sides = {
+        "x0": (c("width") * 0.04, F.greatest(F.lit(0.0), c("x0") - 10)),
+        "y0": (c("y0") - 46, F.greatest(F.lit(0.0), c("y0") - 400)),
+        "x1": (c("x1") + 18, F.least(c("width"), c("x1") + 10)),
+        "y1": (c("y1") + 26, c("y1") + 2),
+    }
+    return anchors.select("doc_id", "page", "kind", "num", *[F.round(F.when(is_eq, eq).otherwise(other), 1).alias(name) for name, (eq, other) in sides.items()])
+
+
+def largest(boxes: DataFrame, keys: list[str], size: Column, most: int = 6) -> DataFrame:
+    """The largest rows of each key with their rank; the earlier (ord) of equals first."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("size"), "ord")
+    return boxes.withColumn("size", size).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= most)
+
+
 def to_points(px: Column, dpi: float) -> Column:
     return px * F.lit(72.0) / F.lit(float(dpi))
 

@@ -194,8 +194,20 @@ def md_bold_residue(spark, sf_dir):
 )
 def keyword_lines(spark, sf_dir):
     rows = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.lines("text")).alias("k", "text"))
-    hit = F.exists(F.array(F.lit("HTTP"), F.lit("The thin")), lambda w: F.contains(F.lower("text"), F.lower(w)))
-    return rows.filter(hit).select("doc_id", (F.col("k") + 1).cast("long").alias("line"), "text")
+    return files.lines_with(rows, ["HTTP", "The thin"]).select("doc_id", (F.col("k") + 1).cast("long").alias("line"), "text")
+
+
+@query(
+    f"select subject_id, rule, string_agg(match, ' | ' order by k) filter (k <= 2) as shown, greatest(count(*) - 2, 0) as omitted from (select *, row_number() over (partition by subject_id, rule order by ord) as k from ({_TEXT_ORACLE})) group by subject_id, rule",
+    d_md=v.MD,
+)
+def leak_examples(spark, sf_dir):
+    return leaks.examples(leaks.regex_findings(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md", leaks.TEXT_RULES), 2)
+
+
+@query(r"select doc_id, n_refs, expected from (select doc_id, cast(len(regexp_extract_all(md, '!\[[^\]]*\]\(([^)]+\.png)\)', 1)) as bigint) as n_refs, cast(doc_id % 4 as bigint) as expected from d_md) where expected <> 0 and n_refs <> expected", d_md=v.MD)
+def image_counts(spark, sf_dir):
+    return markdown.image_count_diff(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md", F.col("doc_id") % 4)
 
 
 @query("select doc_id, sha256(to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source})) as fingerprint, sha256(text) as text_sha256 from documents")
@@ -658,6 +670,46 @@ def ghost_class(spark, sf_dir):
     return v.spark_view(spark, sf_dir, v.METRICS).select("doc_id", c.alias("class"))
 
 
+@query(
+    """select doc_id, page, kind, num, round(case when kind = 'eq' then width * 0.04::double else greatest(0, x0 - 10) end, 1) as x0, round(case when kind = 'eq' then y0 - 46 else greatest(0, y0 - 400) end, 1) as y0, round(case when kind = 'eq' then x1 + 18 else least(width, x1 + 10) end, 1) as x1, round(case when kind = 'eq' then y1 + 26 else y1 + 2 end, 1) as y1
+from (select doc_id, page, 'eq' as kind, cast(regexp_extract(text, '^\\(([0-9]{1,3})\\)$', 1) as int) as num, x0, y0, x1, y1, 600::double as width from d_words where regexp_matches(text, '^\\([0-9]{1,3}\\)$') and x0 > 0.42::double * width
+  union all select doc_id, page, kind, cast(regexp_extract(text, '[0-9]+') as int), x0, y0, x1, y1, 600::double from (select *, case when regexp_matches(text, '(?i)^\\s*Table\\s*[0-9]+') then 'tab' when regexp_matches(text, '(?i)^\\s*Fig(?:ure)?\\.?\\s*[0-9]+') then 'fig' end as kind from d_blocks) where kind is not null)""",
+    d_words=v.PDF_WORDS,
+    d_blocks=v.BLOCKS,
+)
+def candidate_rects(spark, sf_dir):
+    anchors = files.anchors(v.spark_view(spark, sf_dir, v.PDF_WORDS), v.spark_view(spark, sf_dir, v.BLOCKS))
+    return regions.candidate_rects(anchors.withColumn("width", F.lit(600.0)))
+
+
+@query("select doc_id, ord, size, rank from (select doc_id, box as ord, (x1 - x0) * (y1 - y0 + box % 3) as size, row_number() over (partition by doc_id order by (x1 - x0) * (y1 - y0 + box % 3) desc, box) as rank from d_boxes) where rank <= 2", d_boxes=v.BOXES)
+def largest_boxes(spark, sf_dir):
+    boxes = v.spark_view(spark, sf_dir, v.BOXES).withColumn("ord", F.col("box"))
+    return regions.largest(boxes, ["doc_id"], (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0") + F.col("box") % 3), 2).select("doc_id", "ord", "size", "rank")
+
+
+@query("select doc_id, page, box, x0 * 72 / 150::double as x0, y0 * 72 / 150::double as y0, round_even(612 * (x0 / 600), 1) as left_share from d_boxes", d_boxes=v.BOXES)
+def point_boxes(spark, sf_dir):
+    b = v.spark_view(spark, sf_dir, v.BOXES)
+    share = F.bround(F.lit(612.0) * (F.col("x0") / 600), 1).alias("left_share")
+    return b.select("doc_id", "page", "box", regions.to_points(F.col("x0"), 150).alias("x0"), regions.to_points(F.col("y0"), 150).alias("y0"), share)
+
+
+_LINES_READ = "select doc_id, page, x0 as x, y0 * 7 as y, text, cast(doc_id % 100 as double) / 100 as score from d_words"
+
+
+@query(f"select doc_id, page, string_agg(text || ' (' || printf('%.2f', score) || ')', ' | ' order by round_even(y / 20, 0), x, text) as text from ({_LINES_READ}) group by doc_id, page", d_words=v.PDF_WORDS)
+def recognised_lines(spark, sf_dir):
+    w = v.spark_view(spark, sf_dir, v.PDF_WORDS)
+    rows = w.select("doc_id", "page", F.col("x0").alias("x"), (F.col("y0") * 7).alias("y"), "text", ((F.col("doc_id") % 100).cast("double") / 100).alias("score"))
+    return files.read_order(rows, ["doc_id", "page"])
+
+
+@query(f"select page_id, idx, alt from {_IMGS} where idx < 2", d_html=v.HTML)
+def first_images(spark, sf_dir):
+    return images.first_images(_images(spark, sf_dir), 2).select("page_id", "idx", "alt")
+
+
 # ---- Rasters
 
 

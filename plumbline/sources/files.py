@@ -60,8 +60,7 @@ def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def registry(spark: SparkSession, path: str, only: list[str] | None = None) -> DataFrame:
     """Entries of a JSON map key -> {status, inv.decodable, html_snap, pdf_snap} that can be audited, the largest first."""
     entry = T.StructType([T.StructField("status", T.StringType()), T.StructField("inv", T.StructType([T.StructField("decodable", T.LongType())])), T.StructField("html_snap", T.StringType()), T.StructField("pdf_snap", T.StringType())])
-    rows = read_json(spark, path, T.StructType([T.StructField("m", T.StringType())])).select("path")
-    text = read_texts(spark, path, "*.json").join(rows, "path", "left_semi")
+    text = read_texts(spark, path, "*.json")
     out = text.select(F.explode(F.from_json("text", T.MapType(T.StringType(), entry))).alias("key", "e"))
     out = out.select("key", "e.status", F.col("e.inv.decodable").alias("decodable"), "e.html_snap", "e.pdf_snap").filter("status = 'OK' and decodable > 0")
     return (out.filter(F.col("key").isin(only)) if only else out).orderBy(F.desc("decodable"), "key")
@@ -71,11 +70,11 @@ CAPTION_LINE = r"^Fig(?:ure)?\.?\s*([0-9]+)\s*[.:]"
 
 
 def captions(blocks: DataFrame, col_x: float = 300.0, max_lines: int = 6) -> DataFrame:
-    """Caption blocks of PDF text blocks (doc_id, page, x0, y0, x1, y1, text), by page, column and height."""
+    """Caption blocks of PDF text blocks (doc_id, page, x0, y0, x1, y1, text), with number and column; in no order."""
     first = F.split("text", "\n")[0]
     hit = blocks.filter(F.regexp_like(first, F.lit(CAPTION_LINE)) & (F.size(F.split(F.rtrim("text"), "\n")) <= max_lines))
     out = hit.withColumn("num", F.regexp_extract(first, CAPTION_LINE, 1).cast("int")).withColumn("col", F.when(F.col("x0") < col_x, "L").otherwise("R"))
-    return out.orderBy("doc_id", "page", "col", "y0")
+    return out
 
 
 def anchors(words: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -89,11 +88,22 @@ def anchors(words: DataFrame, blocks: DataFrame) -> DataFrame:
     return eq.unionByName(caps.select("doc_id", "page", "kind", "num", "x0", "y0", "x1", "y1"))
 
 
-def lines_with(lines: DataFrame, words: list[str]) -> DataFrame:
-    """Positioned text lines that hold any of the words, whatever the case, top to bottom."""
-    hit = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower("text"), F.lower(w)))
-    rounded = {c: F.bround(c, 1) for c in ("x0", "y0", "x1", "y1")}
-    return lines.filter(hit).withColumns(rounded).orderBy("y0", "x0")
+def lines_with(lines: DataFrame, words: list[str], text_col: str = "text") -> DataFrame:
+    """Text lines that hold any of the words, whatever the case; places (x0, y0, x1, y1, where there are) to a tenth. In no order."""
+    hit = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(text_col), F.lower(w)))
+    return lines.filter(hit).withColumns({c: F.bround(c, 1) for c in ("x0", "y0", "x1", "y1") if c in lines.columns})
+
+
+def read_order(lines: DataFrame, keys: list[str], bucket: float = 20.0) -> DataFrame:
+    """Recognised lines (keys, x, y, text, score) of an image as one text: by bands of height, then from the left."""
+    held = F.array_sort(F.collect_list(F.struct(F.bround(F.col("y") / bucket).alias("band"), "x", "text", "score")))
+    said = F.transform(held, lambda r: F.concat(r["text"], F.lit(" ("), F.format_number(r["score"], 2), F.lit(")")))
+    return lines.groupBy(*keys).agg(F.array_join(said, " | ").alias("text"))
+
+
+def total_bytes(spark: SparkSession, path: str | list[str]) -> int:
+    """Bytes of all files of a folder; contents are not read."""
+    return _binary(spark, path).agg(F.sum("length")).first()[0] or 0
 
 
 def probe_stats(df: DataFrame, col: str) -> DataFrame:

@@ -15,6 +15,12 @@ def write_report(findings: DataFrame, path: str, by: str | None = None, fmt: str
     (writer.partitionBy(by) if by else writer).format(fmt).save(path)
 
 
+def write_tables(tables: dict[str, DataFrame], path: str, by: str = "doc_id", fmt: str = "parquet") -> None:
+    """Several tables of an extraction (text, pages, images, ...) side by side, each partitioned by document."""
+    for name, df in tables.items():
+        df.write.mode("errorifexists").partitionBy(by).format(fmt).save(f"{path}/{name}")
+
+
 def write_control_file(path: str, data: bytes) -> None:
     """One small local file, by a temporary one and a rename."""
     folder = os.path.dirname(os.path.abspath(path))

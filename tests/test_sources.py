@@ -35,11 +35,28 @@ def test_registry(spark, tmp_path):
 
 def test_pdf_tables(spark):
     blocks = spark.createDataFrame([("d", 1, 320.0, 9.0, 1.0, 1.0, "Figure 2. b"), ("d", 1, 10.0, 50.0, 1.0, 1.0, "Fig. 1: a\nmore"), ("d", 1, 10.0, 5.0, 1.0, 1.0, "see Fig. 9."), ("d", 2, 10.0, 5.0, 1.0, 1.0, "Table 3 x")], "doc_id string, page int, x0 double, y0 double, x1 double, y1 double, text string")
-    assert [(r["num"], r["col"]) for r in files.captions(blocks).collect()] == [(1, "L"), (2, "R")]
+    assert sorted((r["num"], r["col"]) for r in files.captions(blocks).collect()) == [(1, "L"), (2, "R")]
     words = spark.createDataFrame([("d", 1, 50.0, 1.0, 1.0, 1.0, "(4)", 100.0), ("d", 1, 10.0, 1.0, 1.0, 1.0, "(5)", 100.0)], "doc_id string, page int, x0 double, y0 double, x1 double, y1 double, text string, width double")
     assert {(r["kind"], r["num"]) for r in files.anchors(words, blocks).collect()} == {("eq", 4), ("fig", 1), ("fig", 2), ("tab", 3)}
 
 
+def test_positioned_lines(spark):
+    lines = spark.createDataFrame([("d", 1.25, 2.0, 3.0, 4.0, "See FIG one"), ("d", 1.0, 2.0, 3.0, 4.0, "none")], "doc_id string, x0 double, y0 double, x1 double, y1 double, text string")
+    assert [(r["x0"], r["text"]) for r in files.lines_with(lines, ["fig"]).collect()] == [(1.2, "See FIG one")]
+    read = spark.createDataFrame([("d", 9.0, 31.0, "c", 0.5), ("d", 90.0, 29.0, "b", 1.0), ("d", 5.0, 4.0, "a", 0.994)], "doc_id string, x double, y double, text string, score double")
+    assert files.read_order(read, ["doc_id"]).first()["text"] == "a (0.99) | b (1.00) | c (0.50)"
+
+
+def test_extraction_tables(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_bytes(b"12345")
+    (tmp_path / "in" / "b").write_bytes(b"67")
+    assert files.total_bytes(spark, str(tmp_path / "in")) == 7
+    tables = {"text": spark.createDataFrame([("d", "# x"), ("e", "y")], "doc_id string, markdown string"), "pages": spark.createDataFrame([("d", 1)], "doc_id string, page int")}
+    sinks.write_tables(tables, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out" / "text")).count() == 2 and (tmp_path / "out" / "pages" / "doc_id=d").is_dir()
+
+
 def test_probe(spark):
     df = spark.createDataFrame([(1, "overlaps:2 ## images:loaded:3")], "id long, raw string")
     stats = files.probe_stats(df, "raw").first()["stats"]
@@ -116,10 +133,10 @@ def test_rasters():
     assert same["iou"] == 1 and same["missing"] == 0 and same["hash_distance"] == 0
     gone = page.copy()
     gone[40:44, 5:9] = 255
-    assert rasters.pair_metrics(page, gone)["missing"] > 0
+    assert rasters.pair_metrics(gone, page)["missing"] > 0 == rasters.pair_metrics(gone, page)["extra"]
     assert rasters.ghost_metrics(page, gone)["unexplained"] > 0 == rasters.ghost_metrics(page, gone)["vanished"]
     hit = rasters.match(page, page[8:35, 15:55])
     assert (hit["x"], hit["y"]) == (15, 8) and hit["ccoeff"] > 0.99 and hit["sqdiff"] < 1e-6
-    assert rasters.image_type(page) == "line" and rasters.image_type(np.full((9, 9), 128, np.uint8)) == "halftone"
+    assert rasters.image_type(page) == "lineart" and rasters.image_type(np.full((9, 9), 128, np.uint8)) == "halftone"
     diagonal = np.eye(12, dtype=bool)
     assert len(rasters.components(diagonal)) == 1 and len(rasters.scale_ladder()) > 46
