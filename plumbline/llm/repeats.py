@@ -8,9 +8,9 @@ What tells the two users apart is a Scheme: which grams of a text are named, and
    for each: whether the corpus holds that name in a second place that matters. So a gram shared by all documents costs one
    entry a chunk, and no task holds more than a range of hashes.
 3. Resolving. Windows go with their symbols, in runs, to the repeated names that their scheme picks. There they are sorted by hash, so
-   that equal ones stand side by side, and compared symbol by symbol along each run: a hash never decides. A name with more
-   than HOT occurrences is dealt over salts; what each salt holds once goes on to a second round by a 128-bit hash of the
-   window, so no group has to fit in a task.
+   that equal ones stand side by side, and compared symbol by symbol along each run: a hash never decides. Windows at a name with more
+   than HOT occurrences go by themselves instead, known by a 128-bit hash of theirs: each chunk settles the equal ones it holds and
+   sends the first, so no group holds more than a row a chunk, or HOT runs.
 
 A place is (number of the document, text digest, start). Numbers follow the order of ids: an integer id is its own number, other
 ids are numbered by one sort. Everything between steps is in the shared folder or in a shuffle, and deleted when read for the last time.
@@ -18,7 +18,7 @@ ids are numbered by one sort. Everything between steps is in the shared folder o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +28,20 @@ from pyspark.sql import functions as F
 from .common import binary, col, drop, mix, powers, prefix_hash, stash, window_hash
 
 CHUNK_BYTES = 2_000_000
-HOT = 1500
+HOT = 4000
 NAMES_PER_PART = 1_000_000
 RESOLVE_ROWS = 3000
 TASK_BYTES = 64_000_000
 NULL_ID = -(1 << 63)
 _SEGMENT = 1 << 20
+_SECOND = 0x6A09E667F3BCC909
 
 
 class Scheme:
     """Symbols, named grams and runs of windows of one kind of text."""
 
     window: int
+    gram: int
     names_per_byte: float
 
     def symbols(self, data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,22 +60,27 @@ class Scheme:
         """Which of the entries, sorted by name, matter; first: starts of groups, total: a group's occurrences."""
         raise NotImplementedError
 
-    def runs(self, c: _Chunk, pos: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        """Of the repeated names (pos, hashes): index, first window, number of windows and load (the symbols of all its windows) of each run."""
+    def runs(self, c: _Chunk, pos: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the repeated names (pos, hashes): index, first window and number of windows of each run, by ascending index."""
         raise NotImplementedError
 
-    def unpack(self, load: list[bytes]) -> tuple[np.ndarray, np.ndarray, Callable[[int], bytes]]:
-        """Symbols of joined loads, which tell them apart, their hash values, and the bytes of the window that starts at a symbol."""
+    def loads(self, c: _Chunk, at: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """The symbols of all windows of each run."""
+        raise NotImplementedError
+
+    def unpack(self, load: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of joined loads, which tell them apart, and their hash values."""
         raise NotImplementedError
 
 
-def gram_hashes(scheme: Scheme, symbols: np.ndarray, pos: np.ndarray, n: int) -> np.ndarray:
-    """Rolling hashes of the n symbols from each of the ascending positions, a segment at a time."""
+def gram_hashes(scheme: Scheme, symbols: np.ndarray, pos: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
+    """Rolling hashes of the n symbols from each of the ascending positions, a segment at a time; another salt gives independent ones."""
     out = np.empty(len(pos), np.uint64)
     for a in range(0, len(symbols), _SEGMENT):
         lo, hi = np.searchsorted(pos, (a, a + _SEGMENT))
         if lo < hi:
             part = scheme.values(symbols[a : a + _SEGMENT + n])
+            part = mix(part ^ np.uint64(salt)) if salt else part
             p, q = prefix_hash(part), pos[lo:hi] - a
             out[lo:hi] = mix((p[q + n] - p[q]) * powers(_SEGMENT)[1][q])
     return out
@@ -163,7 +170,7 @@ class _Names:
 
 
 def _naming(chunks: DataFrame, scheme: Scheme, width: int, parts: int, tasks: int) -> DataFrame:
-    """For each (chunk, part) with repeated names: a bit for each name sent, and the salts of hot ones."""
+    """For each (chunk, part) with repeated names: a bit for each name sent, and which are hot."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,14 +197,13 @@ def _naming(chunks: DataFrame, scheme: Scheme, width: int, parts: int, tasks: in
         good = scheme.repeated(first, group, ((keys >> np.uint64(4)) & np.uint64(15)).astype(np.int64), total)
         hit = np.zeros(len(keys), bool)
         hit[order] = good
-        salts = np.zeros(len(keys), np.int64)
-        salts[order] = np.where(good & (total[group] > HOT), -(-total[group] // HOT), 0)
+        often = np.zeros(len(keys), bool)
+        often[order] = good & (total[group] > HOT)
         ends = np.cumsum([len(b) // (width + 1) for b in blobs]).tolist()
         out = []
         for number, a, b in zip(table.column("chunk").to_pylist(), [0, *ends], ends):
             if hit[a:b].any():
-                hot = np.flatnonzero(salts[a:b])
-                out.append((number, np.packbits(hit[a:b]).tobytes(), np.stack([hot, salts[a:b][hot]]).astype(np.int64).tobytes()))
+                out.append((number, np.packbits(hit[a:b]).tobytes(), np.flatnonzero(often[a:b]).astype(np.int64).tobytes()))
         part = table.column("part")[0].as_py()
         return _table({"chunk": _longs([o[0] for o in out]), "part": _longs([part] * len(out)), "bits": pa.array([o[1] for o in out], pa.binary()), "hot": pa.array([o[2] for o in out], pa.binary())})
 
@@ -209,8 +215,32 @@ _RUN = "anchor long, salt long, id long, sub long, chunk long, at long, n long,
 _RUN_COLUMNS = [c.split()[0] for c in _RUN.split(", ")]
 
 
-def _runs(chunks: DataFrame, marks: DataFrame, scheme: Scheme, width: int, parts: int) -> DataFrame:
-    """Runs of windows, each by the repeated name that it goes to."""
+def _hot_windows(scheme: Scheme, c: _Chunk, ids: np.ndarray, subs: np.ndarray, doc_of, at: np.ndarray, n: np.ndarray, every: bool) -> tuple[np.ndarray, ...]:
+    """Of the windows of some runs: start and both halves of the hash of those to be compared with other chunks, and first and last starts of those known to be repeated."""
+    edge = np.zeros(len(c.symbols) + 1, np.int32)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + n, -1)
+    place = np.flatnonzero(np.cumsum(edge[:-1]) > 0)  # each window once, however many names it has
+    key, other = (gram_hashes(scheme, c.symbols, place, scheme.window, salt).view(np.int64) for salt in (0, _SECOND))
+    doc = doc_of(place)
+    order = np.lexsort((place, subs[doc], ids[doc], other, key))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(key[order]) != 0) | (np.diff(other[order]) != 0)
+    again = np.zeros(len(place), bool)
+    again[order] = ~new | (np.append(~new[1:], False) if every else False)
+    first = order[new]
+    edges = np.diff(np.concatenate([[0], again.astype(np.int8), [0]]))
+    # Consecutive starts of one document make a span.
+    breaks = np.flatnonzero((np.diff(place) != 1) | (np.diff(doc) != 0)) + 1
+    cut = np.zeros(len(place) + 1, bool)
+    cut[breaks] = True
+    begin = np.flatnonzero(again & ((edges[:-1] > 0) | cut[:-1]))
+    end = np.flatnonzero(again & ((edges[1:] < 0) | cut[1:]))
+    return place[first], key[first], other[first], place[begin], place[end]
+
+
+def _runs(chunks: DataFrame, marks: DataFrame, scheme: Scheme, width: int, parts: int, every: bool) -> DataFrame:
+    """Runs of windows, each by the repeated name that it goes to; without a load, a single window by its hash (n is 0), or a run known to be repeated."""
     empty = pa.table({c: pa.array([], pa.binary() if c == "load" else pa.int64()) for c in _RUN_COLUMNS})
 
     def fn(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -219,23 +249,30 @@ def _runs(chunks: DataFrame, marks: DataFrame, scheme: Scheme, width: int, parts
         row = left.to_pylist()[0]
         c = _Chunk(scheme, row)
         names = _Names(scheme, c, width, parts)
-        hit, salts = np.zeros(len(names.part), bool), np.zeros(len(names.part), np.int64)
+        hit, often = np.zeros(len(names.part), bool), np.zeros(len(names.part), bool)
         start = dict(zip(names.part[names.cuts].tolist(), zip(names.cuts.tolist(), np.append(names.cuts[1:], len(names.part)).tolist())))
         for m in right.to_pylist():
             a, b = start[m["part"]]
             hit[a:b] = np.unpackbits(np.frombuffer(m["bits"], np.uint8), count=b - a).astype(bool)
-            hot, many = np.frombuffer(m["hot"], np.int64).reshape(2, -1)
-            salts[a + hot] = many
+            often[a + np.frombuffer(m["hot"], np.int64)] = True
         here = np.flatnonzero(hit[names.back])
-        pos, hashes, salts = names.pos[here], names.hashes[here], salts[names.back[here]]
-        which, at, n, load = scheme.runs(c, pos, hashes)
-        doc = np.searchsorted(c.bounds, at, side="right") - 1
-        many = salts[which]
-        dealt = (mix(at.astype(np.uint64) + mix(np.full(1, c.number, np.uint64))) % np.maximum(many, 1).astype(np.uint64)).astype(np.int64)
+        pos, hashes, often = names.pos[here], names.hashes[here], often[names.back[here]]
+        which, at, n = scheme.runs(c, pos, hashes)
+        doc_of = lambda places: np.searchsorted(c.bounds, places, side="right") - 1
         ids = np.frombuffer(row["ids"], np.int64)
         subs = np.frombuffer(row["digests"], np.uint8).reshape(-1, 32)[:, :8].copy().view(np.int64).reshape(-1)
-        columns = (hashes[which].view(np.int64), np.where(many > 1, dealt, -1), ids[doc], subs[doc], np.full(len(at), c.number), at, n)
-        return _table(dict(zip(_RUN_COLUMNS, [*map(_longs, columns), load])))
+        hot = often[which]
+        alone, key, other, start, stop = _hot_windows(scheme, c, ids, subs, doc_of, at[hot], n[hot], every)
+        at, n, names_at = at[~hot], n[~hot], hashes[which[~hot]].view(np.int64)
+        load = [*scheme.loads(c, at, n), *[None] * (len(alone) + len(start))]
+        spread = mix(start.astype(np.uint64) + mix(np.full(1, c.number, np.uint64))).view(np.int64)  # settled rows can go anywhere
+        place = np.concatenate([at, alone, start])
+        doc = doc_of(place)
+        anchor = np.concatenate([names_at, key, spread])
+        salt = np.concatenate([np.full(len(at), -1), other, np.full(len(start), -1)])
+        count = np.concatenate([n, np.zeros(len(alone), np.int64), stop - start + 1])
+        columns = (anchor, salt, ids[doc], subs[doc], np.full(len(place), c.number), place, count)
+        return _table(dict(zip(_RUN_COLUMNS, [*map(_longs, columns), pa.array(load, pa.binary())])))
 
     return chunks.select("chunk", "ids", "digests", "bounds", "data").groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(fn, _RUN)
 
@@ -273,23 +310,34 @@ def _leaders(symbols: np.ndarray, window: int, start: np.ndarray, row: np.ndarra
 
 
 def _resolve(runs: DataFrame, scheme: Scheme, every: bool, tasks: int) -> DataFrame:
-    """Spans of starts of repeated windows (window null), and what hot salts must compare further (to null).
-
-    every: all places of a repeated window, else all but its first.
-    """
-    import xxhash
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        anchor, salt, ids, subs, chunk, at, n = (np.array(batch.column(c)) for c in _RUN_COLUMNS[:-1])
+    """Spans (chunk, first and last start) of repeated windows: all places of one (every), else all but its first."""
+
+    def spans(chunk, start, stop) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_longs(x) for x in (chunk, start, stop)], ["chunk", "from", "to"])
+
+    def work(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        light = whole.filter(whole.column("load").is_null())
+        if light.num_rows:
+            anchor, salt, chunk, start, count = (np.array(light.column(x)) for x in ("anchor", "salt", "chunk", "at", "n"))
+            same = (np.diff(anchor) == 0) & (np.diff(salt) == 0) & (count[1:] == 0) & (count[:-1] == 0)
+            again = np.append(False, same) | (np.append(same, False) if every else False)
+            keep = (count > 0) | again
+            yield spans(chunk[keep], start[keep], (start + np.maximum(count - 1, 0))[keep])
+        heavy = whole.filter(whole.column("load").is_valid())
+        if heavy.num_rows:
+            yield compared(heavy)
+
+    def compared(batch: pa.RecordBatch) -> pa.RecordBatch:
+        anchor, chunk, at, n = (np.array(batch.column(c)) for c in ("anchor", "chunk", "at", "n"))
         total = int(n.sum())
         row = np.repeat(np.arange(len(n)), n)
         local = np.arange(total) - (np.cumsum(n) - n)[row]
         place = at[row] + local
-        symbols, values, content = scheme.unpack(binary(batch, "load"))
+        symbols, values = scheme.unpack(binary(batch, "load"))
         size = n + scheme.window - 1
         start = (np.cumsum(size) - size)[row] + local
-        # Windows are told apart by name and salt too: what is first is settled within a group.
-        group = mix(anchor.view(np.uint64) ^ mix(salt.view(np.uint64)))[row]
+        # Windows are told apart by name too: what is first is settled within a group.
+        group = mix(anchor.view(np.uint64))[row]
         order, new, lead = _leaders(symbols, scheme.window, start, row, group, window_hash(prefix_hash(values), scheme.window)[start])
         lead = lead[order]
 
@@ -305,12 +353,7 @@ def _resolve(runs: DataFrame, scheme: Scheme, every: bool, tasks: int) -> DataFr
         # Runs of repeated windows, within rows.
         edge = np.flatnonzero(away & np.concatenate([[True], ~away[:-1] | (row[1:] != row[:-1])]))
         stop = np.flatnonzero(away & np.concatenate([~away[1:] | (row[1:] != row[:-1]), [True]]))
-        more = order[new]
-        more = more[salt[row[more]] >= 0]
-        both, blank = np.concatenate([edge, more]), np.arange(len(edge) + len(more)) < len(edge)
-        to = pa.array(np.concatenate([place[stop], more]), pa.int64(), mask=~blank)
-        window = pa.array([None] * len(edge) + [xxhash.xxh3_128_digest(content(k)) for k in start[more].tolist()], pa.binary())
-        return pa.RecordBatch.from_arrays([_longs(ids[row[both]]), _longs(subs[row[both]]), _longs(chunk[row[both]]), _longs(place[both]), to, window], ["id", "sub", "chunk", "from", "to", "window"])
+        return spans(chunk[row[edge]], place[edge], place[stop])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -333,11 +376,11 @@ def _resolve(runs: DataFrame, scheme: Scheme, every: bool, tasks: int) -> DataFr
         at = 0
         while at < t.num_rows:
             end = int(ends[min(np.searchsorted(ends, at + RESOLVE_ROWS), len(ends) - 1)])
-            yield work(t.slice(at, end - at).combine_chunks().to_batches()[0])
+            yield from work(t.slice(at, end - at).combine_chunks().to_batches()[0])
             at = end
 
     placed = runs.repartition(tasks, "anchor", "salt").sortWithinPartitions("anchor", "salt", "id", "sub", "at")
-    return placed.mapInArrow(run, "id long, sub long, chunk long, `from` long, `to` long, window binary")
+    return placed.mapInArrow(run, "chunk long, `from` long, `to` long")
 
 
 def find_repeats(df: DataFrame, scheme: Scheme, every: bool, measure, columns: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -355,17 +398,8 @@ def find_repeats(df: DataFrame, scheme: Scheme, every: bool, measure, columns: l
     parts = max(4 * shuffles, int(names / NAMES_PER_PART) + 1)
     width = min(7, max(4, (int(names).bit_length() + 10 + 7) // 8))
     marks = stash(_naming(chunks, scheme, width, parts, tasks), "marks")
-    found = stash(_resolve(_runs(chunks, marks, scheme, width, parts), scheme, every, tasks), "repeats")
+    found = stash(_resolve(_runs(chunks, marks, scheme, width, parts, every), scheme, every, tasks), "repeats")
     drop(marks)
-    direct = found.filter("window is null").select("chunk", "from", "to")
-    hot = found.filter("window is not null")
-    place = F.struct("id", "sub", "chunk", "from")
-    ends = hot.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    again = hot.drop("to").join(ends, "window")
-    if not every:
-        again = again.filter(place != F.col("first"))
-    spans = direct.unionByName(again.select("chunk", "from", F.col("from").alias("to")))
-
     def fn(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if left.num_rows:
@@ -387,7 +421,7 @@ def find_repeats(df: DataFrame, scheme: Scheme, every: bool, measure, columns: l
         return pa.Table.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate(kinds)], ["digest", "first_id", *(c for c, _ in columns)])
 
     schema = "digest binary, first_id long, " + ", ".join(f"{c} {t}" for c, t in columns)
-    texts = stash(chunks.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(fn, schema), "texts")
+    texts = stash(chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(fn, schema), "texts")
     drop(found)
     drop(chunks)
     return rows, texts

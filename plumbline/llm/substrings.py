@@ -47,8 +47,8 @@ class Blocks(Scheme):
     names_per_byte = 1 / 6
 
     def __init__(self, window: int = WINDOW):
-        self.window, self.block = window, (window + 1) // 2
-        self.reach = window - self.block + 1  # grams inside a window
+        self.window, self.gram = window, (window + 1) // 2
+        self.reach = window - self.gram + 1  # grams inside a window
 
     def symbols(self, data, bounds):
         words = [data[a:b].split() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
@@ -56,10 +56,10 @@ class Blocks(Scheme):
 
     def names(self, symbols, bounds):
         sizes = np.diff(bounds)
-        counts = np.where(sizes >= self.window, sizes - self.block + 1, 0)
+        counts = np.where(sizes >= self.window, sizes - self.gram + 1, 0)
         pos = _ranges(bounds[:-1], counts)
-        tags = (_ranges(np.zeros(len(counts), np.int64), counts) % self.block == 0).astype(np.int64)
-        return pos, gram_hashes(self, symbols, pos, self.block), tags
+        tags = (_ranges(np.zeros(len(counts), np.int64), counts) % self.gram == 0).astype(np.int64)
+        return pos, gram_hashes(self, symbols, pos, self.gram), tags
 
     def repeated(self, first, group, tags, total):
         indexed = np.maximum.reduceat(tags, first) == 1
@@ -71,7 +71,7 @@ class Blocks(Scheme):
         starts = _ranges(bounds[:-1], np.maximum(0, sizes - self.window + 1))
         none = np.zeros(0, np.int64)
         if not len(starts) or not len(pos):
-            return none, none, none, pa.array([], pa.binary())
+            return none, none, none
         low = np.uint64((1 << 24) - 1)
         v = np.full(len(symbols), _NONE)
         # The place stands in the low bits, so that of equal hashes the leftmost is least; one segment holds 2**24 places.
@@ -89,18 +89,20 @@ class Blocks(Scheme):
                 picked[lo:hi] = np.where(least != _NONE, (least & low).astype(np.int64) + a, -1)
         starts, picked = starts[picked >= 0], picked[picked >= 0]
         if not len(starts):
-            return none, none, none, pa.array([], pa.binary())
+            return none, none, none
         first = np.flatnonzero((np.diff(picked, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
         n = np.diff(np.append(first, len(starts)))
-        words = [w for a, b in zip(c.byte_bounds[:-1].tolist(), c.byte_bounds[1:].tolist()) for w in c.data[a:b].split()]
-        load = pa.array([b" ".join(words[a : a + k + self.window - 1]) for a, k in zip(starts[first].tolist(), n.tolist())], pa.binary())
-        return np.searchsorted(pos, picked[first]), starts[first], n, load
+        return np.searchsorted(pos, picked[first]), starts[first], n
+
+    def loads(self, c, at, n):
+        words = [w for a, b in zip(c.byte_bounds[:-1].tolist(), c.byte_bounds[1:].tolist()) for w in c.data[a:b].split()] if len(at) else []
+        return [b" ".join(words[a : a + k + self.window - 1]) for a, k in zip(at.tolist(), n.tolist())]
 
     def unpack(self, load):
         words = b" ".join(load).split(b" ") if load else []
         numbers: dict[bytes, int] = {}
         symbols = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-        return symbols, word_hashes(words), lambda k: b" ".join(words[k : k + self.window])
+        return symbols, word_hashes(words)
 
 
 def substring_dedup(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

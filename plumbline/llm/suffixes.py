@@ -38,7 +38,7 @@ class Cover(Scheme):
     def __init__(self, window: int = 100):
         if window <= PERIOD:
             raise ValueError(f"window must exceed {PERIOD}")
-        self.window, self.tuple = window, window - PERIOD + 1
+        self.window, self.gram = window, window - PERIOD + 1
 
     def symbols(self, data, bounds):
         return np.frombuffer(data, np.uint8), bounds
@@ -50,10 +50,10 @@ class Cover(Scheme):
         sizes = np.diff(bounds)
         longest = int(sizes.max(initial=0))
         samples = (np.arange(longest // PERIOD + 1)[:, None] * PERIOD + COVER).reshape(-1)
-        kept = np.where(sizes >= self.window, np.searchsorted(samples, sizes - self.tuple, side="right"), 0)
+        kept = np.where(sizes >= self.window, np.searchsorted(samples, sizes - self.gram, side="right"), 0)
         pos = np.concatenate([np.zeros(0, np.int64), *(samples[:k] + b for k, b in zip(kept.tolist(), bounds.tolist()) if k)])
         tags = np.concatenate([np.zeros(0, np.int64), *(np.arange(k) % len(COVER) for k in kept.tolist() if k)])
-        return pos, gram_hashes(self, symbols, pos, self.tuple), tags
+        return pos, gram_hashes(self, symbols, pos, self.gram), tags
 
     def repeated(self, first, group, tags, total):
         # Suffixes in step share all samples of their common window, so a name held in one residue only is needed for one residue only.
@@ -61,17 +61,16 @@ class Cover(Scheme):
         return (total[group] > 1) & (mixed[group] | (tags == 0))
 
     def runs(self, c, pos, hashes):
-        data, bounds = c.data, c.bounds
-        doc = np.searchsorted(bounds, pos, side="right") - 1
-        at = np.maximum(bounds[doc], pos - PERIOD + 1)
-        n = np.minimum(pos, bounds[doc + 1] - self.window) - at + 1
-        load = [data[a:b] for a, b in zip(at.tolist(), (at + n + self.window - 1).tolist())]
-        return np.arange(len(pos)), at, n, pa.array(load, pa.binary())
+        doc = np.searchsorted(c.bounds, pos, side="right") - 1
+        at = np.maximum(c.bounds[doc], pos - PERIOD + 1)
+        return np.arange(len(pos)), at, np.minimum(pos, c.bounds[doc + 1] - self.window) - at + 1
+
+    def loads(self, c, at, n):
+        return [c.data[a:b] for a, b in zip(at.tolist(), (at + n + self.window - 1).tolist())]
 
     def unpack(self, load):
-        data = b"".join(load)
-        symbols = np.frombuffer(data, np.uint8)
-        return symbols, _BYTE_VALUES[symbols], lambda k: data[k : k + self.window]
+        symbols = np.frombuffer(b"".join(load), np.uint8)
+        return symbols, _BYTE_VALUES[symbols]
 
 
 def suffix_dedup(df: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

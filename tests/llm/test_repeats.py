@@ -1,6 +1,7 @@
 """Suffix dedup and substring dedup against plain Python."""
 
 import datetime
+import random
 
 import numpy as np
 import pytest
@@ -80,6 +81,20 @@ def test_tables_are_dropped(documents, tmp_path, monkeypatch):
     assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["texts"]
 
 
+@pytest.mark.parametrize("chunk", [300, 3000, 10**9])
+def test_names_hot_in_few_or_many_chunks(documents, monkeypatch, chunk):
+    """A passage in every document with different neighbours on both sides, and texts in periods, over few and many chunks."""
+    rng = random.Random(chunk)
+    monkeypatch.setattr(repeats, "HOT", 12)
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(repeats, "RESOLVE_ROWS", 3)
+    common = " ".join(f"c{k}" for k in range(22))
+    sides = [" ".join(f"s{rng.randrange(3)}" for _ in range(20)) for _ in range(6)]
+    docs = [(k, f"{rng.choice(sides)} {common} {rng.choice(sides)}") for k in range(40)] + [(50, "ab " * 200), (51, "ba " * 150), (52, f"{sides[0]} {common}")]
+    assert bytes_of(documents(docs)) == brute.byte_repeats(docs, 100)
+    assert words_of(documents(docs)) == brute.word_repeats(docs, 35)
+
+
 def test_hash_segments(monkeypatch):
     monkeypatch.setattr(repeats, "_SEGMENT", 64)
     scheme = suffixes.Cover()
