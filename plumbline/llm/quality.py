@@ -5,7 +5,8 @@ n-grams of several lengths that occur again. Equal hashes are compared id by id,
 count. Coverage is in characters: those inside an n-gram, or a line, that the document already had.
 
 Cases: a null or empty text has no words, so it fails the base rules and is not kept; repeated rows are judged
-one by one and agree; an empty table gives an empty table; other columns pass by untouched.
+one by one and agree; ids may be of any type and null; a very long text is measured whole, in one task; an empty table gives an
+empty table; other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations

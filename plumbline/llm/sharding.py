@@ -5,7 +5,9 @@ hashes of its name). The shards take turns, each claiming the first slot of its
 the table is full; so shares differ by one slot at most, and adding a shard moves few slots. A row is placed by
 the slot that its key hashes to. The table's size is a parameter and at most MAX_SLOTS, so it can always be broadcast.
 
-Cases: rows with the same key share a shard; a null key counts as an empty one; an empty table gives an empty table.
+Cases: rows with the same key share a shard; a null key counts as an empty one; keys may be of any type; a very long text is not
+looked at; an empty table gives an empty table; other columns are kept, whatever their names, but for one named out_col, which is
+replaced.
 """
 
 from __future__ import annotations

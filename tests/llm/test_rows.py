@@ -28,6 +28,13 @@ def test_quality_verdicts(documents):
     assert got == {1: (False, True), 2: (True, False), 3: (True, False), 4: (True, False), 5: (True, False), 6: (True, False), 7: (False, True)}
 
 
+def test_quality_of_very_long_texts(documents):
+    text = " ".join(f"w{k}" for k in range(80_000)) + " again" * 10
+    got = quality.quality(documents([(1, text), (2, "a b " * 150_000)])).orderBy("doc_id").collect()
+    assert (got[0]["n_words"], got[0]["n_repeat_words"], got[0]["kept"]) == (80_010, 10, True)
+    assert got[1]["n_repeat_words"] == got[1]["n_words"] == 300_000 and got[1]["base_failed"]
+
+
 def test_quality_survives_collisions(monkeypatch):
     import numpy as np
 
