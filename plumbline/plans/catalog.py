@@ -68,14 +68,18 @@ def english_residue(spark, sf_dir):
 
 
 @query(
-    r"select doc_id, cast(len(list_filter(string_split(md, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') = '$$')) as bigint) as display_lines, cast(len(replace(md, '$$', '')) - len(replace(replace(md, '$$', ''), '$', '')) as bigint) as inline_dollars, cast((len(md) - len(replace(md, chr(92) || '(', ''))) / 2 + (len(md) - len(replace(md, chr(92) || ')', ''))) / 2 as bigint) as bracket_delims from d_md",
+    r"select doc_id, cast(len(list_filter(string_split(md, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') = '$$')) as bigint) as display_lines,"
+    r" cast(len(replace(md, '$$', '')) - len(replace(replace(md, '$$', ''), '$', '')) as bigint) as inline_dollars, cast((len(md) - len(replace(md, chr(92) || '(',"
+    r" ''))) / 2 + (len(md) - len(replace(md, chr(92) || ')', ''))) / 2 as bigint) as bracket_delims from d_md",
     d_md=v.MD,
 )
 def delimiter_parity(spark, sf_dir):
     return markdown.delimiter_parity(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md")
 
 
-@query("select doc_id, cast(len(replace(text, '$$', '')) - len(replace(replace(text, '$$', ''), '$', '')) as bigint) as dollars from documents where (len(replace(text, '$$', '')) - len(replace(replace(text, '$$', ''), '$', ''))) % 2 = 1")
+@query(
+    "select doc_id, cast(len(replace(text, '$$', '')) - len(replace(replace(text, '$$', ''), '$', '')) as bigint) as dollars from documents where (len(replace(text, '$$',"
+    " '')) - len(replace(replace(text, '$$', ''), '$', ''))) % 2 = 1")
 def dollar_parity(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
     return d.select("doc_id", tx.count_of(F.replace(F.col("text"), F.lit("$$"), F.lit("")), "$").alias("dollars")).filter("dollars % 2 = 1")
@@ -122,7 +126,8 @@ def delimiter_balance(spark, sf_dir):
 
 
 @query(
-    "select doc_id, count(*) as n_missing, string_agg(cast(id as varchar), ',' order by id) as missing from (select d.doc_id, w.id from d_md d, (select 0 as id, 'Method summary' as text union all select item_id + 1, text from benchmark) w where not contains(d.md, w.text)) group by doc_id",
+    "select doc_id, count(*) as n_missing, string_agg(cast(id as varchar), ',' order by id) as missing from (select d.doc_id, w.id from d_md d, (select 0 as id,"
+    " 'Method summary' as text union all select item_id + 1, text from benchmark) w where not contains(d.md, w.text)) group by doc_id",
     d_md=v.MD,
 )
 def missing_sections(spark, sf_dir):
@@ -133,13 +138,18 @@ def missing_sections(spark, sf_dir):
 _REFS = r"select doc_id, regexp_extract(r, '[^/]+$') as name from (select doc_id, unnest(regexp_extract_all(md, '!\[[^\]]*\]\(([^)]+\.png)\)', 1)) as r from d_md)"
 
 
-@query(f"select distinct doc_id, name, 'missing' as finding from ({_REFS}) r where not exists (select 1 from d_assets a where a.doc_id = r.doc_id and a.name = r.name) union all select distinct doc_id, name, 'unreferenced' from d_assets a where lower(name) like '%.png' and not exists (select 1 from ({_REFS}) r where a.doc_id = r.doc_id and a.name = r.name)", d_md=v.MD, d_assets=v.ASSETS)
+@query(
+    f"select distinct doc_id, name, 'missing' as finding from ({_REFS}) r where not exists (select 1 from d_assets a where a.doc_id = r.doc_id and a.name = r.name)"
+    f" union all select distinct doc_id, name, 'unreferenced' from d_assets a where lower(name) like '%.png' and not exists (select 1 from ({_REFS}) r where a.doc_id = r.doc_id"
+    f" and a.name = r.name)", d_md=v.MD, d_assets=v.ASSETS)
 def asset_references(spark, sf_dir):
     refs = markdown.image_refs(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md")
     return markdown.asset_diff(refs, v.spark_view(spark, sf_dir, v.ASSETS), "doc_id")
 
 
-@query(r"select doc_id, cast(n as bigint) as ord, regexp_replace(t, '^\s+|\s+$', '', 'g') as tex from (select doc_id, unnest(b) as t, unnest(range(0, len(b))) as n from (select doc_id, regexp_extract_all(md, '\$\$([\s\S]+?)\$\$', 1) as b from d_md))", d_md=v.MD)
+@query(
+    r"select doc_id, cast(n as bigint) as ord, regexp_replace(t, '^\s+|\s+$', '', 'g') as tex from (select doc_id, unnest(b) as t, unnest(range(0, len(b))) as n"
+    r" from (select doc_id, regexp_extract_all(md, '\$\$([\s\S]+?)\$\$', 1) as b from d_md))", d_md=v.MD)
 def display_formulas(spark, sf_dir):
     return markdown.formulas(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md").filter("kind = 'block'").select("doc_id", "ord", "tex")
 
@@ -181,7 +191,10 @@ def leak_verdicts(spark, sf_dir):
     return leaks.judge(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md", leaks.TEXT_RULES)
 
 
-@query(r"select 'documents' as kind, doc_id as id, cast(len(regexp_extract_all(text, '\*\*[^*\n]{1,80}\*\*')) as bigint) as n from documents where regexp_matches(text, '\*\*[^*\n]{1,80}\*\*') union all select 'pages', page_id, cast(len(regexp_extract_all(html, '\*\*[^*\n]{1,80}\*\*')) as bigint) from pages where regexp_matches(html, '\*\*[^*\n]{1,80}\*\*')")
+@query(
+    r"select 'documents' as kind, doc_id as id, cast(len(regexp_extract_all(text, '\*\*[^*\n]{1,80}\*\*')) as bigint) as n from documents where regexp_matches(text,"
+    r" '\*\*[^*\n]{1,80}\*\*') union all select 'pages', page_id, cast(len(regexp_extract_all(html, '\*\*[^*\n]{1,80}\*\*')) as bigint) from pages where regexp_matches(html,"
+    r" '\*\*[^*\n]{1,80}\*\*')")
 def md_bold_residue(spark, sf_dir):
     n = lambda c: F.regexp_count(F.col(c), F.lit(leaks.TEXT_RULES["md_bold"][0])).cast("long").alias("n")
     d = _t(spark, sf_dir, "documents").select(F.lit("documents").alias("kind"), F.col("doc_id").alias("id"), n("text"))
@@ -190,7 +203,8 @@ def md_bold_residue(spark, sf_dir):
 
 
 @query(
-    "select doc_id, cast(n as bigint) as line, line as text from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as n from documents) where contains(lower(line), 'http') or contains(lower(line), 'the thin')"
+    "select doc_id, cast(n as bigint) as line, line as text from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text,"
+    " chr(10))) + 1)) as n from documents) where contains(lower(line), 'http') or contains(lower(line), 'the thin')"
 )
 def keyword_lines(spark, sf_dir):
     rows = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.lines("text")).alias("k", "text"))
@@ -198,14 +212,17 @@ def keyword_lines(spark, sf_dir):
 
 
 @query(
-    f"select subject_id, rule, string_agg(match, ' | ' order by k) filter (k <= 2) as shown, greatest(count(*) - 2, 0) as omitted from (select *, row_number() over (partition by subject_id, rule order by ord) as k from ({_TEXT_ORACLE})) group by subject_id, rule",
+    f"select subject_id, rule, string_agg(match, ' | ' order by k) filter (k <= 2) as shown, greatest(count(*) - 2, 0) as omitted from (select *,"
+    f" row_number() over (partition by subject_id, rule order by ord) as k from ({_TEXT_ORACLE})) group by subject_id, rule",
     d_md=v.MD,
 )
 def leak_examples(spark, sf_dir):
     return leaks.examples(leaks.regex_findings(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md", leaks.TEXT_RULES), 2)
 
 
-@query(r"select doc_id, n_refs, expected from (select doc_id, cast(len(regexp_extract_all(md, '!\[[^\]]*\]\(([^)]+\.png)\)', 1)) as bigint) as n_refs, cast(doc_id % 4 as bigint) as expected from d_md) where expected <> 0 and n_refs <> expected", d_md=v.MD)
+@query(
+    r"select doc_id, n_refs, expected from (select doc_id, cast(len(regexp_extract_all(md, '!\[[^\]]*\]\(([^)]+\.png)\)', 1)) as bigint) as n_refs,"
+    r" cast(doc_id % 4 as bigint) as expected from d_md) where expected <> 0 and n_refs <> expected", d_md=v.MD)
 def image_counts(spark, sf_dir):
     return markdown.image_count_diff(v.spark_view(spark, sf_dir, v.MD), "doc_id", "md", F.col("doc_id") % 4)
 
@@ -218,7 +235,10 @@ def fingerprint(spark, sf_dir):
 
 # ---- HTML
 
-_VISIBLE = r"regexp_replace(regexp_replace(regexp_replace(html, '<!--[\s\S]*?-->', ' ', 'g'), '(?i)<(?:script|style|pre|code|textarea|option|noscript)\b[^>]*>[^<]*</[A-Za-z][^>]*>', ' ', 'g'), '<[A-Za-z/!?][^>]*>', ' ', 'g')"
+_VISIBLE = (
+    r"regexp_replace(regexp_replace(regexp_replace(html, '<!--[\s\S]*?-->', ' ', 'g'), '(?i)<(?:script|style|pre|code|textarea|option|noscript)\b[^>]*>[^<]*</[A-Za-z][^>]*>',"
+    r" ' ', 'g'), '<[A-Za-z/!?][^>]*>', ' ', 'g')"
+)
 
 
 @query(f"select page_id, cast(length({_VISIBLE}) as bigint) as n_chars, sha256({_VISIBLE}) as sha from pages")
@@ -300,7 +320,9 @@ def dup_dims_bytes(spark, sf_dir):
     return images.duplicate_sizes(_images(spark, sf_dir), "page_id")
 
 
-@query(f"select page_id, key, count(*) as n, string_agg(cast(idx as varchar), ',' order by idx) as idxs from (select page_id, idx, case when starts_with(src, 'data:') then substr(src, 1, 120) || '#' || cast(length(src) as varchar) else src end as key from {_IMGS}) group by page_id, key having count(*) > 1", d_html=v.HTML)
+@query(
+    f"select page_id, key, count(*) as n, string_agg(cast(idx as varchar), ',' order by idx) as idxs from (select page_id, idx, case when starts_with(src,"
+    f" 'data:') then substr(src, 1, 120) || '#' || cast(length(src) as varchar) else src end as key from {_IMGS}) group by page_id, key having count(*) > 1", d_html=v.HTML)
 def dup_src(spark, sf_dir):
     return images.reused_sources(_images(spark, sf_dir), "page_id")
 
@@ -320,14 +342,19 @@ def image_identity(spark, sf_dir):
     return images.identity(_images(spark, sf_dir), "page_id")
 
 
-_EVENTS = r"(select page_id, cast(unnest(range(0, len(e))) as bigint) as ord, starts_with(unnest(e), '<img') as is_img, try_cast(regexp_extract(unnest(e), '^图\s*([0-9]+)', 1) as bigint) as num from (select page_id, regexp_extract_all(html, '<img\b[^>]*>|图\s*(?:[0-9]+)[：:]') as e from d_html))"
+_EVENTS = (
+    r"(select page_id, cast(unnest(range(0, len(e))) as bigint) as ord, starts_with(unnest(e), '<img') as is_img, try_cast(regexp_extract(unnest(e), '^图\s*([0-9]+)',"
+    r" 1) as bigint) as num from (select page_id, regexp_extract_all(html, '<img\b[^>]*>|图\s*(?:[0-9]+)[：:]') as e from d_html))"
+)
 
 
 def _events(spark, sf_dir):
     return images.caption_sequence(v.spark_view(spark, sf_dir, v.HTML), "page_id", "html")
 
 
-@query(f"select page_id, ord, num, cast(seen - coalesce(lag(seen) over (partition by page_id order by ord), 0) as bigint) as n_images from (select *, sum(cast(is_img as int)) over (partition by page_id order by ord) as seen from {_EVENTS}) where not is_img", d_html=v.HTML)
+@query(
+    f"select page_id, ord, num, cast(seen - coalesce(lag(seen) over (partition by page_id order by ord), 0) as bigint) as n_images from (select *,"
+    f" sum(cast(is_img as int)) over (partition by page_id order by ord) as seen from {_EVENTS}) where not is_img", d_html=v.HTML)
 def imgs_per_caption(spark, sf_dir):
     return images.images_per_caption(_events(spark, sf_dir), "page_id")
 
@@ -342,12 +369,18 @@ def caption_dups(spark, sf_dir):
     return images.caption_duplicates(_events(spark, sf_dir), "page_id")
 
 
-@query(f"select * from (select page_id, array_to_string(list_filter(range(1, 4), lambda n: not list_contains(got, n)), ',') as missing, array_to_string(list_filter(got, lambda n: n > 3), ',') as extra from (select page_id, list_sort(list_distinct(list(num) filter (num is not null))) as got from {_EVENTS} group by page_id)) where missing <> '' or extra <> ''", d_html=v.HTML)
+@query(
+    f"select * from (select page_id, array_to_string(list_filter(range(1, 4), lambda n: not list_contains(got, n)), ',') as missing, array_to_string(list_filter(got,"
+    f" lambda n: n > 3), ',') as extra from (select page_id, list_sort(list_distinct(list(num) filter (num is not null))) as got from {_EVENTS} group by page_id))"
+    f" where missing <> '' or extra <> ''", d_html=v.HTML)
 def expected_diff(spark, sf_dir):
     return images.expected_diff(_events(spark, sf_dir), "page_id", 3)
 
 
-@query(r"select distinct page_id, cast(num as bigint) as num from (select page_id, unnest(regexp_extract_all(html, '图\s*([0-9]+)', 1)) as num from d_html) r where not exists (select 1 from (select page_id, unnest(regexp_extract_all(html, '图\s*([0-9]+)\s*[：:．.、，]', 1)) as num from d_html) c where c.page_id = r.page_id and c.num = r.num)", d_html=v.HTML)
+@query(
+    r"select distinct page_id, cast(num as bigint) as num from (select page_id, unnest(regexp_extract_all(html, '图\s*([0-9]+)', 1)) as num from d_html) r"
+    r" where not exists (select 1 from (select page_id, unnest(regexp_extract_all(html, '图\s*([0-9]+)\s*[：:．.、，]', 1)) as num from d_html) c where c.page_id = r.page_id"
+    r" and c.num = r.num)", d_html=v.HTML)
 def missing_figures(spark, sf_dir):
     return images.missing_figures(v.spark_view(spark, sf_dir, v.HTML), "page_id", "html")
 
@@ -356,9 +389,16 @@ def missing_figures(spark, sf_dir):
 
 _PAIRED = "(select u.*, coalesce(t.text, '') as output from d_units u left join d_translations t on t.doc_id = u.doc_id and t.id = u.id)"
 _BLANK = r"regexp_replace(output, '^\s+|\s+$', '', 'g') = ''"
-_ALIGN = "(select e.doc_id, e.ids as expected, a.ids as actual from (select doc_id, list(id order by ord) as ids from d_units group by doc_id) e left join (select doc_id, list(id order by ord) as ids from d_translations group by doc_id) a on a.doc_id = e.doc_id)"
+_ALIGN = (
+    "(select e.doc_id, e.ids as expected, a.ids as actual from (select doc_id, list(id order by ord) as ids from d_units group by doc_id) e left join (select doc_id, list(id"
+    " order by ord) as ids from d_translations group by doc_id) a on a.doc_id = e.doc_id)"
+)
 _PRESENT = rf"regexp_matches(p.source, '(?i)(^|[^\p{{L}}\p{{N}}_])' || x.source || '([^\p{{L}}\p{{N}}_]|$)')"
-_TERM_ISSUES = f"(select p.doc_id, p.id as unit_id, x.id as term_id, x.source as term, x.target from {_PAIRED} p join (select doc_id, id, source, target, variants, unnest(unit_ids) as unit_id from d_terms where status = 'approved') x on x.doc_id = p.doc_id and x.unit_id = p.id where {_PRESENT} and not contains(p.output, x.target) and len(list_filter(x.variants, lambda w: contains(p.output, w))) = 0)"
+_TERM_ISSUES = (
+    f"(select p.doc_id, p.id as unit_id, x.id as term_id, x.source as term, x.target from {_PAIRED} p join (select doc_id, id, source, target, variants,"
+    f" unnest(unit_ids) as unit_id from d_terms where status = 'approved') x on x.doc_id = p.doc_id and x.unit_id = p.id where {_PRESENT} and not contains(p.output, x.target)"
+    f" and len(list_filter(x.variants, lambda w: contains(p.output, w))) = 0)"
+)
 _ISSUES = f"""(select doc_id, unit_id || ':' || code as id, unit_id, code, severity from (
   select doc_id, id as unit_id, 'empty_translation' as code, 'error' as severity from {_PAIRED} where {_BLANK}
   union all select doc_id, id, 'protected_tokens', 'error' from {_PAIRED} where {toks('source')} <> {toks('output')}
@@ -402,12 +442,16 @@ def term_presence(spark, sf_dir):
     return units.term_issues(units.pair(u, t), terms)
 
 
-@query("select a.doc_id, lower(a.source) as word, a.id as a_id, b.id as b_id from d_terms a join d_terms b on a.doc_id = b.doc_id and lower(a.source) = lower(b.source) and a.ord < b.ord where a.status = 'approved' and b.status = 'approved' and list_has_any(a.unit_ids, b.unit_ids) and (a.target <> b.target or a.sense <> b.sense)", d_terms=v.TERMS)
+@query(
+    "select a.doc_id, lower(a.source) as word, a.id as a_id, b.id as b_id from d_terms a join d_terms b on a.doc_id = b.doc_id and lower(a.source) = lower(b.source)"
+    " and a.ord < b.ord where a.status = 'approved' and b.status = 'approved' and list_has_any(a.unit_ids, b.unit_ids) and (a.target <> b.target or a.sense <> b.sense)", d_terms=v.TERMS)
 def term_conflicts(spark, sf_dir):
     return units.term_conflicts(*_v(spark, sf_dir, "d_terms"))
 
 
-@query("select t.doc_id, t.id as term_id, t.unit_id from (select doc_id, id, unnest(unit_ids) as unit_id from d_terms) t where not exists (select 1 from d_units u where u.doc_id = t.doc_id and u.id = t.unit_id)", d_units=v.UNITS, d_terms=v.TERMS)
+@query(
+    "select t.doc_id, t.id as term_id, t.unit_id from (select doc_id, id, unnest(unit_ids) as unit_id from d_terms) t where not exists (select 1 from d_units u"
+    " where u.doc_id = t.doc_id and u.id = t.unit_id)", d_units=v.UNITS, d_terms=v.TERMS)
 def dangling_terms(spark, sf_dir):
     u, t = _v(spark, sf_dir, "d_units", "d_terms")
     return units.dangling(t.select("doc_id", F.col("id").alias("term_id"), F.explode("unit_ids").alias("unit_id")), u).select("doc_id", "term_id", "unit_id")
@@ -418,7 +462,11 @@ def inspect_issues(spark, sf_dir):
     return units.inspect(*_v(spark, sf_dir, "d_units", "d_translations", "d_terms"))
 
 
-_REQ = "list_sort(list_filter(['claim_strength','coverage','logic','numbers_units','readability','terminology', case kind when 'algorithm' then 'variables_control_flow' when 'caption' then 'panel_mapping' when 'reference' then 'bibliographic_identity' when 'table' then 'cells_footnotes' when 'theorem' then 'conditions_quantifiers' end], lambda x: x is not null))"
+_REQ = (
+    "list_sort(list_filter(['claim_strength','coverage','logic','numbers_units','readability','terminology', case kind when 'algorithm' then 'variables_control_flow'"
+    " when 'caption' then 'panel_mapping' when 'reference' then 'bibliographic_identity' when 'table' then 'cells_footnotes' when 'theorem' then 'conditions_quantifiers' end],"
+    " lambda x: x is not null))"
+)
 
 
 @query(f"select doc_id, id, array_to_string({_REQ}, ',') as checks from d_units", d_units=v.UNITS)
@@ -427,7 +475,10 @@ def required_checks(spark, sf_dir):
     return u.select("doc_id", "id", F.array_join(units.required_checks(F.col("kind")), ",").alias("checks"))
 
 
-_GAPS = f"(select u.doc_id, u.id as unit_id from d_units u left join d_reviews r on r.doc_id = u.doc_id and r.id = u.id where not coalesce(r.verdict = 'passed' and r.n_findings = 0 and len(list_filter({_REQ}, lambda x: not list_contains(r.checks, x))) = 0, false))"
+_GAPS = (
+    f"(select u.doc_id, u.id as unit_id from d_units u left join d_reviews r on r.doc_id = u.doc_id and r.id = u.id where not coalesce(r.verdict = 'passed' and r.n_findings = 0"
+    f" and len(list_filter({_REQ}, lambda x: not list_contains(r.checks, x))) = 0, false))"
+)
 _COVER = "(select distinct coalesce(u.doc_id, r.doc_id) as doc_id from d_units u full join d_reviews r on r.doc_id = u.doc_id and r.id = u.id where u.id is null or r.id is null)"
 
 
@@ -469,7 +520,9 @@ def review_states(spark, sf_dir):
 
 
 @query(
-    f"select u.doc_id, cast(count(b.blocker) as bigint) as n_blockers, case when count(b.blocker) > 0 then 'needs_review' else 'reviewed' end as status from (select distinct doc_id from d_units) u left join (select doc_id, id as blocker from {_ISSUES} where severity = 'error' union all select * from {_HEADS} union all select * from {_REVIEWED} r where r.doc_id in (select doc_id from d_heads)) b on b.doc_id = u.doc_id group by u.doc_id",
+    f"select u.doc_id, cast(count(b.blocker) as bigint) as n_blockers, case when count(b.blocker) > 0 then 'needs_review' else 'reviewed' end as status"
+    f" from (select distinct doc_id from d_units) u left join (select doc_id, id as blocker from {_ISSUES} where severity = 'error' union all select * from {_HEADS}"
+    f" union all select * from {_REVIEWED} r where r.doc_id in (select doc_id from d_heads)) b on b.doc_id = u.doc_id group by u.doc_id",
     **_V, d_heads=v.REVIEW_HEADS,
 )
 def assess_status(spark, sf_dir):
@@ -478,7 +531,10 @@ def assess_status(spark, sf_dir):
     return units.assess(u, t, terms, heads, r, d, current)
 
 
-@query(f"select cast(max(case status when 'reviewed' then 0 else 2 end) as bigint) as code, count(*) as n from (select u.doc_id, case when count(b.blocker) > 0 then 'needs_review' else 'reviewed' end as status from (select distinct doc_id from d_units) u left join (select doc_id, unit_id as blocker from {_GAPS}) b on b.doc_id = u.doc_id group by u.doc_id)", d_units=v.UNITS, d_reviews=v.REVIEWS)
+@query(
+    f"select cast(max(case status when 'reviewed' then 0 else 2 end) as bigint) as code, count(*) as n from (select u.doc_id, case"
+    f" when count(b.blocker) > 0 then 'needs_review' else 'reviewed' end as status from (select distinct doc_id from d_units) u left join (select doc_id, unit_id as blocker"
+    f" from {_GAPS}) b on b.doc_id = u.doc_id group by u.doc_id)", d_units=v.UNITS, d_reviews=v.REVIEWS)
 def review_gate(spark, sf_dir):
     u, r = _v(spark, sf_dir, "d_units", "d_reviews")
     bad = units.review_gaps(u, r).select("doc_id").distinct().withColumn("status", F.lit("needs_review"))
@@ -490,7 +546,9 @@ def neighbor_context(spark, sf_dir):
     return units.neighbours(*_v(spark, sf_dir, "d_units"))
 
 
-@query("select doc_id, ord, id from (select doc_id, ord, id, ord % 5 = 0 as chosen, coalesce(lag(ord % 5 = 0) over w, false) or coalesce(lead(ord % 5 = 0) over w, false) as beside from d_units window w as (partition by doc_id order by ord)) where not chosen and (beside or ord = 1)", d_units=v.UNITS)
+@query(
+    "select doc_id, ord, id from (select doc_id, ord, id, ord % 5 = 0 as chosen, coalesce(lag(ord % 5 = 0) over w, false) or coalesce(lead(ord % 5 = 0) over w,"
+    " false) as beside from d_units window w as (partition by doc_id order by ord)) where not chosen and (beside or ord = 1)", d_units=v.UNITS)
 def read_only_context(spark, sf_dir):
     (u,) = _v(spark, sf_dir, "d_units")
     return units.read_only_context(u, u.filter("ord % 5 = 0"), u.filter("ord = 1"))
@@ -509,7 +567,10 @@ def greedy_batches(spark, sf_dir):
     return packing.pack_additive(u.select("doc_id", "ord", F.octet_length("source").alias("cost")), 4000, 8)
 
 
-ORACLES["greedy_batches"] = f"with recursive d_units as ({v.duck(v.UNITS)}), costs as materialized (select doc_id, ord, row_number() over (partition by doc_id order by ord) as step, cast(strlen(source) as bigint) as cost from d_units)" + ORACLES["greedy_batches"]
+ORACLES["greedy_batches"] = (
+    f"with recursive d_units as ({v.duck(v.UNITS)}), costs as materialized (select doc_id, ord, row_number() over (partition by doc_id order by ord) as step,"
+    f" cast(strlen(source) as bigint) as cost from d_units)"
+) + ORACLES["greedy_batches"]
 
 
 @query("select doc_id, cast(sum(length(source)) as bigint) as content_chars, cast(sum(strlen(source)) as bigint) as content_utf8_bytes, count(*) as n_units from d_units group by doc_id", d_units=v.UNITS)
@@ -517,14 +578,22 @@ def packet_bytes(spark, sf_dir):
     return units.packet_sizes(*_v(spark, sf_dir, "d_units"))
 
 
-@query("select doc_id, unit_id, unnest(list_filter([case when kind in ('table', 'algorithm', 'theorem') then 'structured_' || kind end, case when contains(source, '[[EQ:') then 'protected_formula' end, case when length(source) > 1200 then 'long_source_unit' end], lambda x: x is not null)) as reason, substr(source, 1, 160) as source_quote from (select *, id as unit_id from d_units)", d_units=v.UNITS)
+@query(
+    "select doc_id, unit_id, unnest(list_filter([case when kind in ('table', 'algorithm', 'theorem') then 'structured_' || kind end, case when contains(source,"
+    " '[[EQ:') then 'protected_formula' end, case when length(source) > 1200 then 'long_source_unit' end], lambda x: x is not null)) as reason, substr(source, 1,"
+    " 160) as source_quote from (select *, id as unit_id from d_units)", d_units=v.UNITS)
 def risk_units(spark, sf_dir):
     return units.risks(*_v(spark, sf_dir, "d_units"))
 
 
 # ---- Cache and ledger
 
-_PUT = f"(select block_id, seq, sha256(source) as source_sha256, translation, sha256(translation) as translation_sha256, case when validated and issues <> '' then 'rejected' when validated then 'validated' else 'needs_review' end as status, issues from (select *, array_to_string(list_filter([case when translation = '' then 'empty_translation' end, case when {toks('source')} <> {toks('translation')} then 'protected_tokens_changed' end], lambda x: x is not null), ',') as issues from d_log))"
+_PUT = (
+    f"(select block_id, seq, sha256(source) as source_sha256, translation, sha256(translation) as translation_sha256, case when validated and issues <> '' then 'rejected'"
+    f" when validated then 'validated' else 'needs_review' end as status, issues from (select *, array_to_string(list_filter([case"
+    f" when translation = '' then 'empty_translation' end, case when {toks('source')} <> {toks('translation')} then 'protected_tokens_changed' end], lambda x: x is not null),"
+    f" ',') as issues from d_log))"
+)
 _LAST = f"(select * from {_PUT} where status <> 'rejected' qualify row_number() over (partition by block_id order by seq desc) = 1)"
 
 
@@ -533,7 +602,10 @@ def cache_latest(spark, sf_dir):
     return cache.latest(cache.put(v.spark_view(spark, sf_dir, v.CACHE_LOG))).drop("translation")
 
 
-@query(f"select w.block_id, case when b.status = 'validated' and b.source_sha256 = w.source_sha256 then case when sha256(b.translation) = b.translation_sha256 then 'hit' else 'corrupt' end else 'miss' end as outcome from (select d.block_id, sha256(t.text) as source_sha256 from d_wanted d join documents t on t.doc_id = d.last_id) w left join {_LAST} b on b.block_id = w.block_id", d_log=v.CACHE_LOG, d_wanted=v.CACHE_WANTED)
+@query(
+    f"select w.block_id, case when b.status = 'validated' and b.source_sha256 = w.source_sha256 then case"
+    f" when sha256(b.translation) = b.translation_sha256 then 'hit' else 'corrupt' end else 'miss' end as outcome from (select d.block_id, sha256(t.text) as source_sha256"
+    f" from d_wanted d join documents t on t.doc_id = d.last_id) w left join {_LAST} b on b.block_id = w.block_id", d_log=v.CACHE_LOG, d_wanted=v.CACHE_WANTED)
 def cache_probe(spark, sf_dir):
     wanted = v.spark_view(spark, sf_dir, v.CACHE_WANTED).join(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("last_id"), F.sha2("text", 256).alias("source_sha256")), "last_id")
     return cache.probe(wanted.select("block_id", "source_sha256"), cache.latest(cache.put(v.spark_view(spark, sf_dir, v.CACHE_LOG))))
@@ -557,21 +629,32 @@ def ledger_accepted(spark, sf_dir):
 # ---- Regions and measured images
 
 
-@query("select doc_id, page, box, kind, num from (select b.doc_id, b.page, b.box, r.kind, r.num, row_number() over (partition by b.doc_id, b.page, b.box order by (r.x1 - r.x0) * (r.y1 - r.y0), r.ord) as k from d_boxes b join d_regions r on r.doc_id = b.doc_id and r.page = b.page and (b.x0 + b.x1) / 2 between r.x0 - 6 and r.x1 + 6 and (b.y0 + b.y1) / 2 between r.y0 - 6 and r.y1 + 6) where k = 1", d_boxes=v.BOXES, d_regions=v.REGIONS)
+@query(
+    "select doc_id, page, box, kind, num from (select b.doc_id, b.page, b.box, r.kind, r.num, row_number() over (partition by b.doc_id, b.page, b.box"
+    " order by (r.x1 - r.x0) * (r.y1 - r.y0), r.ord) as k from d_boxes b join d_regions r on r.doc_id = b.doc_id and r.page = b.page and (b.x0 + b.x1) / 2 between r.x0 - 6"
+    " and r.x1 + 6 and (b.y0 + b.y1) / 2 between r.y0 - 6 and r.y1 + 6) where k = 1", d_boxes=v.BOXES, d_regions=v.REGIONS)
 def region_hit(spark, sf_dir):
     return regions.locate(v.spark_view(spark, sf_dir, v.BOXES), v.spark_view(spark, sf_dir, v.REGIONS))
 
 
-@query("select i.doc_id, i.box, r.ord, cast(row_number() over (partition by i.doc_id, i.box order by r.ord) as bigint) as rank from d_boxes i join d_regions r on r.doc_id = i.doc_id and r.kind = case when i.box % 3 = 0 then 'tab' else 'fig' end and r.num = 1 + i.box % 2 qualify rank <= 3", d_boxes=v.BOXES, d_regions=v.REGIONS)
+@query(
+    "select i.doc_id, i.box, r.ord, cast(row_number() over (partition by i.doc_id, i.box order by r.ord) as bigint) as rank from d_boxes i"
+    " join d_regions r on r.doc_id = i.doc_id and r.kind = case when i.box % 3 = 0 then 'tab' else 'fig' end and r.num = 1 + i.box % 2 qualify rank <= 3", d_boxes=v.BOXES, d_regions=v.REGIONS)
 def declared_regions(spark, sf_dir):
     b = v.spark_view(spark, sf_dir, v.BOXES).withColumn("declared_kind", F.when(F.col("box") % 3 == 0, "tab").otherwise("fig")).withColumn("declared_num", 1 + F.col("box") % 2)
     return regions.declared(b, v.spark_view(spark, sf_dir, v.REGIONS))
 
 
-_HITS = "(select doc_id, kind, num from (select b.doc_id, b.page, b.box, r.kind, r.num, row_number() over (partition by b.doc_id, b.page, b.box order by (r.x1 - r.x0) * (r.y1 - r.y0), r.ord) as k from d_boxes b join d_regions r on r.doc_id = b.doc_id and r.page = b.page and (b.x0 + b.x1) / 2 between r.x0 - 6 and r.x1 + 6 and (b.y0 + b.y1) / 2 between r.y0 - 6 and r.y1 + 6) where k = 1)"
+_HITS = (
+    "(select doc_id, kind, num from (select b.doc_id, b.page, b.box, r.kind, r.num, row_number() over (partition by b.doc_id, b.page, b.box"
+    " order by (r.x1 - r.x0) * (r.y1 - r.y0), r.ord) as k from d_boxes b join d_regions r on r.doc_id = b.doc_id and r.page = b.page and (b.x0 + b.x1) / 2 between r.x0 - 6"
+    " and r.x1 + 6 and (b.y0 + b.y1) / 2 between r.y0 - 6 and r.y1 + 6) where k = 1)"
+)
 
 
-@query(f"select * from (select r.doc_id, r.kind, r.num, case when m.n is null then 'uncovered' when m.n > 1 then 'duplicated' end as state from (select distinct doc_id, kind, num from d_regions) r left join (select doc_id, kind, num, count(*) as n from {_HITS} group by all) m using (doc_id, kind, num)) where state is not null", d_boxes=v.BOXES, d_regions=v.REGIONS)
+@query(
+    f"select * from (select r.doc_id, r.kind, r.num, case when m.n is null then 'uncovered' when m.n > 1 then 'duplicated' end as state from (select distinct doc_id, kind, num"
+    f" from d_regions) r left join (select doc_id, kind, num, count(*) as n from {_HITS} group by all) m using (doc_id, kind, num)) where state is not null", d_boxes=v.BOXES, d_regions=v.REGIONS)
 def region_coverage(spark, sf_dir):
     r = v.spark_view(spark, sf_dir, v.REGIONS)
     return regions.coverage(r, regions.locate(v.spark_view(spark, sf_dir, v.BOXES), r))
@@ -582,7 +665,9 @@ def top3_regions(spark, sf_dir):
     return regions.top_candidates(v.spark_view(spark, sf_dir, v.SCORES))
 
 
-@query("select doc_id, box, ord, next_ord from (select *, lead(sqdiff) over w as next_sqdiff, lead(ord) over w as next_ord, row_number() over w as k from d_scores window w as (partition by doc_id, box order by sqdiff, ord)) where k = 1 and next_ord <> ord and next_sqdiff < greatest(0.0015, 2.5 * sqdiff)", d_scores=v.SCORES)
+@query(
+    "select doc_id, box, ord, next_ord from (select *, lead(sqdiff) over w as next_sqdiff, lead(ord) over w as next_ord, row_number() over w as k"
+    " from d_scores window w as (partition by doc_id, box order by sqdiff, ord)) where k = 1 and next_ord <> ord and next_sqdiff < greatest(0.0015, 2.5 * sqdiff)", d_scores=v.SCORES)
 def ambiguous_regions(spark, sf_dir):
     return regions.ambiguous(v.spark_view(spark, sf_dir, v.SCORES))
 
@@ -659,12 +744,16 @@ def slot_mismatches(spark, sf_dir):
     return v.spark_view(spark, sf_dir, v.METRICS).select("doc_id", mismatch.alias("mismatch"))
 
 
-@query("select band, count(*) as n from (select case when sqdiff is null then 'unknown' when sqdiff <= 0.0003 then 'clean' when sqdiff <= 0.0092 then 'minor' when sqdiff <= 0.16 then 'suspect' else 'nonmatch' end as band from d_metrics) group by band", d_metrics=v.METRICS)
+@query(
+    "select band, count(*) as n from (select case when sqdiff is null then 'unknown' when sqdiff <= 0.0003 then 'clean' when sqdiff <= 0.0092 then 'minor'"
+    " when sqdiff <= 0.16 then 'suspect' else 'nonmatch' end as band from d_metrics) group by band", d_metrics=v.METRICS)
 def match_bands(spark, sf_dir):
     return v.spark_view(spark, sf_dir, v.METRICS).groupBy(regions.band(F.col("sqdiff")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select doc_id, case when coalesce(med > 2 or iou < 0.30 or ink < 200, true) then 'unverified' when unexplained >= 0.02 and vanished <= unexplained / 3 and ratio between 1.03 and 1.8 then 'ghost' else 'clean' end as class from d_metrics", d_metrics=v.METRICS)
+@query(
+    "select doc_id, case when coalesce(med > 2 or iou < 0.30 or ink < 200, true) then 'unverified' when unexplained >= 0.02 and vanished <= unexplained / 3"
+    " and ratio between 1.03 and 1.8 then 'ghost' else 'clean' end as class from d_metrics", d_metrics=v.METRICS)
 def ghost_class(spark, sf_dir):
     c = regions.ghost_class(*[F.col(x) for x in ("med", "iou", "ink", "unexplained", "vanished", "ratio")])
     return v.spark_view(spark, sf_dir, v.METRICS).select("doc_id", c.alias("class"))
@@ -682,7 +771,9 @@ def candidate_rects(spark, sf_dir):
     return regions.candidate_rects(anchors.withColumn("width", F.lit(600.0)))
 
 
-@query("select doc_id, ord, size, rank from (select doc_id, box as ord, (x1 - x0) * (y1 - y0 + box % 3) as size, row_number() over (partition by doc_id order by (x1 - x0) * (y1 - y0 + box % 3) desc, box) as rank from d_boxes) where rank <= 2", d_boxes=v.BOXES)
+@query(
+    "select doc_id, ord, size, rank from (select doc_id, box as ord, (x1 - x0) * (y1 - y0 + box % 3) as size, row_number() over (partition by doc_id"
+    " order by (x1 - x0) * (y1 - y0 + box % 3) desc, box) as rank from d_boxes) where rank <= 2", d_boxes=v.BOXES)
 def largest_boxes(spark, sf_dir):
     boxes = v.spark_view(spark, sf_dir, v.BOXES).withColumn("ord", F.col("box"))
     return regions.largest(boxes, ["doc_id"], (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0") + F.col("box") % 3), 2).select("doc_id", "ord", "size", "rank")
@@ -916,14 +1007,18 @@ def overwrite_plan(spark, sf_dir):
     return sinks.overwrite_plan(v.spark_view(spark, sf_dir, v.FILES).drop("doc_id"), v.spark_view(spark, sf_dir, v.TARGETS))
 
 
-@query("select doc_id, sha256(string_agg(text, chr(10) || chr(10) order by ord) || chr(10)) as sha from d_translations where doc_id in (select doc_id from d_states where phase = 'text_reviewed') group by doc_id", d_translations=v.TRANSLATIONS, d_states=v.STATES)
+@query(
+    "select doc_id, sha256(string_agg(text, chr(10) || chr(10) order by ord) || chr(10)) as sha from d_translations where doc_id in (select doc_id from d_states"
+    " where phase = 'text_reviewed') group by doc_id", d_translations=v.TRANSLATIONS, d_states=v.STATES)
 def exported_markdown(spark, sf_dir):
     out = sinks.export_tables(v.spark_view(spark, sf_dir, v.STATES), *_v(spark, sf_dir, "d_translations"))
     return out.select("doc_id", F.sha2("markdown", 256).alias("sha"))
 
 
 @query(
-    r"select doc_id, page, num, col, y0 from (select *, cast(regexp_extract(string_split(text, chr(10))[1], '^Fig(?:ure)?\.?\s*([0-9]+)\s*[.:]', 1) as int) as num, case when x0 < 300 then 'L' else 'R' end as col from (select * from d_blocks where regexp_matches(string_split(text, chr(10))[1], '^Fig(?:ure)?\.?\s*([0-9]+)\s*[.:]') and len(string_split(text, chr(10))) <= 6))",
+    r"select doc_id, page, num, col, y0 from (select *, cast(regexp_extract(string_split(text, chr(10))[1], '^Fig(?:ure)?\.?\s*([0-9]+)\s*[.:]', 1) as int) as num, case"
+    r" when x0 < 300 then 'L' else 'R' end as col from (select * from d_blocks where regexp_matches(string_split(text, chr(10))[1], '^Fig(?:ure)?\.?\s*([0-9]+)\s*[.:]')"
+    r" and len(string_split(text, chr(10))) <= 6))",
     d_blocks=v.BLOCKS,
 )
 def caption_blocks(spark, sf_dir):
@@ -940,12 +1035,16 @@ def pdf_anchors(spark, sf_dir):
     return files.anchors(v.spark_view(spark, sf_dir, v.PDF_WORDS), v.spark_view(spark, sf_dir, v.BLOCKS))
 
 
-@query("select q.doc_id, q.unit_id, q.quote from d_quotes q left join d_units u on u.doc_id = q.doc_id and u.id = q.unit_id where u.id is null or not contains(u.source, q.quote) or trim(q.quote) = ''", d_quotes=v.QUOTES, d_units=v.UNITS)
+@query(
+    "select q.doc_id, q.unit_id, q.quote from d_quotes q left join d_units u on u.doc_id = q.doc_id and u.id = q.unit_id where u.id is null or not contains(u.source,"
+    " q.quote) or trim(q.quote) = ''", d_quotes=v.QUOTES, d_units=v.UNITS)
 def unsupported_quotes(spark, sf_dir):
     return units.unquoted(v.spark_view(spark, sf_dir, v.QUOTES), *_v(spark, sf_dir, "d_units"))
 
 
-@query("select doc_id, row_number() over (partition by doc_id order by first_ord) as ord, id, kind from (select doc_id, kind, min(ord) as first_ord, max_by(id, ord) as id from d_units group by doc_id, kind)", d_units=v.UNITS)
+@query(
+    "select doc_id, row_number() over (partition by doc_id order by first_ord) as ord, id, kind from (select doc_id, kind, min(ord) as first_ord, max_by(id, ord) as id"
+    " from d_units group by doc_id, kind)", d_units=v.UNITS)
 def last_of_kind(spark, sf_dir):
     return units.last_wins(v.spark_view(spark, sf_dir, v.UNITS), "kind")
 
@@ -973,7 +1072,9 @@ def invalid_units(spark, sf_dir):
 _LEGAL = ", ".join(f"('{a}', '{b}')" for a, following in flow.PROCESSING.items() for b in following)
 
 
-@query(f"select doc_id, seq, before, status from (select *, lag(status) over (partition by doc_id order by seq) as before from d_history) where before is not null and (before, status) not in ({_LEGAL})", d_history=v.HISTORY)
+@query(
+    f"select doc_id, seq, before, status from (select *, lag(status) over (partition by doc_id order by seq) as before from d_history) where before is not null and (before,"
+    f" status) not in ({_LEGAL})", d_history=v.HISTORY)
 def illegal_steps(spark, sf_dir):
     return flow.illegal_transitions(v.spark_view(spark, sf_dir, v.HISTORY))
 

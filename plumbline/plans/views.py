@@ -180,12 +180,21 @@ TARGETS = """
 select concat('ABCD', lpad(cast(doc_id % 10000 as varchar(9)), 4, '0')) as key, concat('/lib/', cast(doc_id as varchar(20))) as dir, case when doc_id % 5 = 0 then null when doc_id % 5 = 1 then 'old.HTML' when doc_id % 5 = 2 then 'notes.pdf' else 'a.html' end as name from {documents} where doc_id % 3 <> 1
 """
 STATES = "select doc_id, case when doc_id % 3 = 0 then 'needs_review' when doc_id % 3 = 1 then 'text_reviewed' else 'draft' end as phase from {documents}"
-QUOTES = f"select doc_id, case when ord % 12 = 5 then 'gone' else id end as unit_id, case when ord % 5 = 0 then concat(substr(source, 1, 9), '~') when ord % 7 = 0 then ' ' else substr(source, 2, 12) end as quote from ({UNITS}) as u"
-HISTORY = f"select doc_id, k as seq, case cast((doc_id + k * (1 + doc_id % 2)) % 7 as int) when 0 then 'new' when 1 then 'extracted' when 2 then 'translated' when 3 then 'reviewed' when 4 then 'built' when 5 then 'checked' else 'failed' end as status from ({_n}) as r"
+QUOTES = (
+    f"select doc_id, case when ord % 12 = 5 then 'gone' else id end as unit_id, case when ord % 5 = 0 then concat(substr(source, 1, 9), '~')"
+    f" when ord % 7 = 0 then ' ' else substr(source, 2, 12) end as quote from ({UNITS}) as u"
+)
+HISTORY = (
+    f"select doc_id, k as seq, case cast((doc_id + k * (1 + doc_id % 2)) % 7 as int) when 0 then 'new' when 1 then 'extracted' when 2 then 'translated' when 3 then 'reviewed'"
+    f" when 4 then 'built' when 5 then 'checked' else 'failed' end as status from ({_n}) as r"
+)
 INPUTS = "select concat('/in/', cast(doc_id as varchar(20))) as path, concat('h', cast(doc_id % 50 as varchar(9))) as sha256 from {documents}"
 INPUTS_NOW = "select concat('/in/', cast(doc_id as varchar(20))) as path, case when doc_id % 10 = 3 then 'changed' else concat('h', cast(doc_id % 50 as varchar(9))) end as sha256 from {documents} where doc_id % 17 <> 2"
 STATS = "select page_id, page_id % 5 as overlaps, page_id % 3 as broken, case when page_id % 4 = 0 then null else page_id % 2 end as nonEmbedded, page_id % 7 as leftoverDollar from {pages}"
-BAD_UNITS = f"select doc_id, case when ord % 9 = 3 then 'bad id!' when ord % 9 = 4 then 'twice' else id end as id, case when ord % 11 = 2 then 'poem' else kind end as kind, page - case when ord % 8 = 1 then 9 else 0 end as page, case when ord % 10 = 7 then ' ' else source end as source from ({UNITS}) as u"
+BAD_UNITS = (
+    f"select doc_id, case when ord % 9 = 3 then 'bad id!' when ord % 9 = 4 then 'twice' else id end as id, case when ord % 11 = 2 then 'poem' else kind end as kind, page - case"
+    f" when ord % 8 = 1 then 9 else 0 end as page, case when ord % 10 = 7 then ' ' else source end as source from ({UNITS}) as u"
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
