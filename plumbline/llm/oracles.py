@@ -15,8 +15,13 @@ _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
 def quality(rules: QualityRules) -> str:
     ns = [*rules.ngram_limits]
-    grams = ", ".join(f"g{n} as (select doc_id, pos, row_number() over (partition by doc_id, g order by pos) as k, count(*) over (partition by doc_id, g) as c from (select doc_id, pos, string_agg(w, ' ') over win as g, count(*) over win as len from words window win as (partition by doc_id order by pos rows between current row and {n - 1} following)) where len = {n})" for n in sorted({*ns, rules.window}))
-    covers = ", ".join(f"c{n} as (select doc_id, cast(sum(length(w)) as bigint) as x from (select distinct words.doc_id, words.pos, words.w from words join g{n} g on g.doc_id = words.doc_id and g.k > 1 and words.pos between g.pos and g.pos + {n - 1}) group by doc_id)" for n in ns)
+    grams = ", ".join(
+        f"g{n} as (select doc_id, pos, row_number() over (partition by doc_id, g order by pos) as k, count(*) over (partition by doc_id, g) as c from (select doc_id, pos,"
+        f" string_agg(w, ' ') over win as g, count(*) over win as len from words window win as (partition by doc_id order by pos rows between current row and {n - 1} following))"
+        f" where len = {n})" for n in sorted({*ns, rules.window}))
+    covers = ", ".join(
+        f"c{n} as (select doc_id, cast(sum(length(w)) as bigint) as x from (select distinct words.doc_id, words.pos, words.w from words join g{n} g on g.doc_id = words.doc_id"
+        f" and g.k > 1 and words.pos between g.pos and g.pos + {n - 1}) group by doc_id)" for n in ns)
     chars = ", ".join(f"coalesce(c{n}.x, 0) as dup_chars_{n}" for n in ns)
     joins = " ".join(f"left join c{n} on c{n}.doc_id = d.doc_id" for n in ns)
     bad = " and ".join(f"not dup_chars_{n} > cast({limit} as double) * word_chars" for n, limit in rules.ngram_limits.items())
