@@ -17,6 +17,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 _own_dirs: dict[str, str] = {}
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Batches for Python of a bounded size, whatever the length of rows, unless the session has a limit of its own."""
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, str(size))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +45,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     Spark is asked to delete the write's shuffle files when it is done, since nothing reads them again.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN_UP, None)
     spark.conf.set(_CLEAN_UP, "true")
@@ -93,10 +101,11 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
                     yield out
             pa.default_memory_pool().release_unused()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def judge_texts(text: Column, judge: Callable[[], Callable[[bytes | None], tuple]], schema: T.StructType) -> Column:
+def judge_texts(spark: SparkSession, text: Column, judge: Callable[[], Callable[[bytes | None], tuple]], schema: T.StructType) -> Column:
     """A struct for each text by an Arrow UDF, so that a row's other columns stay in the JVM; judge() is called once a task."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -110,6 +119,7 @@ def judge_texts(text: Column, judge: Callable[[], Callable[[bytes | None], tuple
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(kinds)))
             pa.default_memory_pool().release_unused()
 
+    small_batches(spark)
     # Marked so that no filter on the result makes Spark run it twice.
     return F.arrow_udf(run, schema).asNondeterministic()(text.cast("binary"))
 

@@ -193,7 +193,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, whole_
     def judge():
         return lambda t: (len(words_of(t)), xxhash.xxh3_128_digest(t) if t else None)
 
-    told = judge_texts(col(text_col), judge, T.StructType([T.StructField("n_words", T.LongType()), T.StructField("key", T.BinaryType())]))
+    told = judge_texts(docs.sparkSession, col(text_col), judge, T.StructType([T.StructField("n_words", T.LongType()), T.StructField("key", T.BinaryType())]))
     row = (whole_row(docs) if whole_rows else F.struct(col(id_col))).alias("row")
     judged = docs.select(row, told.alias("told")).select("row", "told.n_words", F.col("told.key").alias("own_key"))
     all_ = judged.join(hits, F.col("own_key") == F.col("key"), "left")

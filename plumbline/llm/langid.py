@@ -205,7 +205,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         scorer = Scorer(sent.value)
         return lambda t: ("und", 0.0, 0.0) if t is None else scorer.judge(t.decode("utf-8", "replace"))
 
-    found = df.select(whole_row(df).alias("row"), judge_texts(col(text_col), judge, schema).alias("told"))
+    found = df.select(whole_row(df).alias("row"), judge_texts(df.sparkSession, col(text_col), judge, schema).alias("told"))
     if whole_rows:
         return found.select("row", "told.*")
     return found.select(F.col("row").getField(id_col).alias(id_col), "told.lang_pred", "told.score")
