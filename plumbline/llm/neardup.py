@@ -43,21 +43,30 @@ _memo: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words; those of words met before come from a memo of bounded size."""
     import xxhash
 
     memo = _memo
     if len(memo) + len(words) > MEMO and len(memo) > MEMO // 2:
         memo.clear()
-    get, h = memo.get, xxhash.xxh3_64_intdigest
-    out = np.empty(len(words), np.uint64)
-    for k, w in enumerate(words):
-        x = get(w)
-        if x is None:
-            x = h(w)
-            if len(memo) < MEMO:
-                memo[w] = x
-        out[k] = x
-    return out
+    found = list(map(memo.get, words))
+    for k in [k for k, x in enumerate(found) if x is None]:
+        x = found[k] = xxhash.xxh3_64_intdigest(words[k])
+        if len(memo) < MEMO:
+            memo[words[k]] = x
+    return np.fromiter(found, np.uint64, len(words))
+
+
+def numbered(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word, equal for equal words alone, and the words' hashes."""
+    import xxhash
+
+    first = dict.fromkeys(words)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, first), np.uint64, len(first))
+    for k, w in enumerate(first):
+        first[w] = k
+    numbers = np.fromiter(map(first.__getitem__, words), np.int64, len(words))
+    return numbers, hashes[numbers] if len(words) else np.zeros(0, np.uint64)
 
 
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:

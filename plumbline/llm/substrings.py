@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neardup import word_hashes
+from .neardup import numbered
 from .repeats import Scheme, find_repeats, gram_hashes
 
 WINDOW = 35
@@ -52,7 +52,7 @@ class Blocks(Scheme):
 
     def symbols(self, data, bounds):
         words = [data[a:b].split() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        return word_hashes([w for ws in words for w in ws]), np.cumsum([0, *map(len, words)])
+        return numbered([w for ws in words for w in ws])[1], np.cumsum([0, *map(len, words)])
 
     def names(self, symbols, bounds):
         sizes = np.diff(bounds)
@@ -99,10 +99,7 @@ class Blocks(Scheme):
         return [b" ".join(words[a : a + k + self.window - 1]) for a, k in zip(at.tolist(), n.tolist())]
 
     def unpack(self, load):
-        words = b" ".join(load).split(b" ") if load else []
-        numbers: dict[bytes, int] = {}
-        symbols = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-        return symbols, word_hashes(words)
+        return numbered(b" ".join(load).split(b" ") if load else [])
 
 
 def substring_dedup(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
