@@ -9,21 +9,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.batches import slices, small_batches
+
 _own_dirs: dict[str, str] = {}
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
-    """Batches for Python of a bounded size, whatever the length of rows, unless the session has a limit of its own."""
-    if spark.conf.get(_BATCH_BYTES, None) is None:
-        spark.conf.set(_BATCH_BYTES, str(size))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -78,18 +72,6 @@ def binary(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return (col if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else col.cast(kind)).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, rows: int = 2000, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Bounded pieces of a batch, by rows and bytes (or one row), so that working arrays stay small."""
-    kinds = (pa.string(), pa.binary(), pa.large_string(), pa.large_binary())
-    lengths = sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns if c.type in kinds), np.zeros(batch.num_rows, np.int64))
-    ends = np.cumsum(lengths)
-    at = 0
-    while at < batch.num_rows:
-        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, ends[at] - lengths[at] + size, side="right"))))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
     """mapInArrow over bounded slices; fn returns a batch (or None) for each."""
 
