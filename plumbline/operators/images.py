@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed
+from ..functions.batches import small_batches
 from ..functions.scanner import jpeg_dims
 from ..functions.text import data_uri_bytes, image_header, matches
 
@@ -29,6 +30,7 @@ def extract(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     attrs = tags.select(id_col, F.col("idx").cast("long").alias("idx"), attribute(F.col("tag"), "src").alias("src"), attribute(F.col("tag"), "alt").alias("alt"))
     held = attrs.withColumn("data", F.when(F.startswith("src", F.lit("data:image")), data_uri_bytes(F.col("src"))))
     # Only JPEG payloads go to Python, whose frame header stands behind other segments.
+    small_batches(df.sparkSession)
     jpeg = F.hex(F.substring("data", 1, 2)) == "FFD8"
     walked = held.withColumn("jpeg", jpeg_dims(F.when(jpeg, F.col("data"))))
     dims = walked.withColumn("dims", F.when(jpeg, F.struct(F.lit("jpeg").alias("kind"), F.col("jpeg.w").alias("w"), F.col("jpeg.h").alias("h"))).otherwise(image_header(F.col("data"))))
